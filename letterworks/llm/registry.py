@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from letterworks.llm.chat_format import OP10_SQL, op10_chat_format
+from letterworks.llm.decontamination import op6_decontamination
 from letterworks.llm.line_dedup import OP7_SQL, op7_line_dedup
 from letterworks.llm.mixing import op9_mixing
+from letterworks.llm.near_dedup import op5_near_dedup
 from letterworks.llm.quality_rules import op4_quality_rules
 from letterworks.llm.secrets import op3_secret_scan
+from letterworks.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_warc,
         op3_secret_scan,
         op4_quality_rules,
+        op5_near_dedup,
+        op6_decontamination,
         op7_line_dedup,
         op9_mixing,
         op10_chat_format,
     )
 }
 
-ORACLES = {"op7_line_dedup": OP7_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_chat_format": OP10_SQL}
