@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from letterworks.llm.chat_format import OP10_SQL, op10_chat_format
 from letterworks.llm.decontamination import op6_decontamination
+from letterworks.llm.language_id import op2_language_id
 from letterworks.llm.line_dedup import OP7_SQL, op7_line_dedup
+from letterworks.llm.lm_scoring import op8_lm_scoring
 from letterworks.llm.mixing import op9_mixing
 from letterworks.llm.near_dedup import op5_near_dedup
 from letterworks.llm.quality_rules import op4_quality_rules
@@ -15,11 +17,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc,
+        op2_language_id,
         op3_secret_scan,
         op4_quality_rules,
         op5_near_dedup,
         op6_decontamination,
         op7_line_dedup,
+        op8_lm_scoring,
         op9_mixing,
         op10_chat_format,
     )
