@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from letterworks.plans import text_queries  # noqa: F401  (registers its queries)
+from letterworks.plans.registry import ORACLES, QUERIES
 
 
-def queries():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
 
 
-def oracles():
-    return {}
+def oracles() -> dict:
+    return dict(ORACLES)

@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: The fields that may hold a document's amount, by priority.
 AMOUNT_FIELDS = (
@@ -37,12 +38,12 @@ STRONG_KINDS = ("company_number", "registration_number", "tax_id", "vat_id")
 PLAIN = r"^[\x00-\x7FÀ-ſ€–„“‚‘’”…§]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 

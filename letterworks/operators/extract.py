@@ -381,7 +381,7 @@ def text_differences(pairs: DataFrame, base: str = "base", cand: str = "candidat
     kinds = {"amounts": (AMOUNT, 0), "dates": (r"\b\d{1,2}[.]\d{1,2}[.]\d{4}\b", 0), "identifiers": (IDENTIFIER, 1)}
     out = {}
     for name, (pattern, group) in kinds.items():
-        found = lambda c, p=pattern, g=group: F.array_distinct(F.transform(F.regexp_extract_all(F.col(c), F.lit(p), F.lit(g)), F.trim))
+        found = lambda c, p=pattern, g=group: F.array_distinct(F.transform(F.regexp_extract_all(F.col(c), F.lit(p), F.lit(g)), lambda x: F.trim(x)))
         lost, gained = F.array_except(found(base), found(cand)), F.array_except(found(cand), found(base))
         out |= {
             f"missing_{name}": F.slice(F.array_sort(lost), 1, first),
