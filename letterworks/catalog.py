@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from letterworks.plans import text_queries  # noqa: F401  (registers its queries)
+from letterworks.plans import report_queries, text_queries  # noqa: F401  (they register their queries)
 from letterworks.plans.registry import ORACLES, QUERIES
 
 
