@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from letterworks.plans import import_queries, report_queries, review_queries, search_queries, text_queries  # noqa: F401  (they register their queries)
+from letterworks.plans import import_queries, report_queries, review_queries, search_queries, stream_queries, text_queries  # noqa: F401  (they register their queries)
 from letterworks.plans.registry import ORACLES, QUERIES
 
 
