@@ -213,7 +213,10 @@ class Index:
             if best.get((owner[i], item), (1 << 30, 0))[0] == 0:
                 continue
             lo, hi = w.bounds[owner[i]], w.bounds[owner[i] + 1]
-            edits = alignment(h, w.hashes[max(lo, start[i] - e) : min(hi, start[i] + len(h) + e)])
+            near = w.hashes[max(lo, start[i] - e) : min(hi, start[i] + len(h) + e)]
+            if np.isin(h, near).sum() < len(h) - e:  # each other word of the item costs an edit
+                continue
+            edits = alignment(h, near)
             if edits <= e:
                 best[owner[i], item] = min(best.get((owner[i], item), (1 << 30, 0)), (edits, int(start[i] - lo)))
         return [(int(o), item, at, len(self.items[item]), edits) for (o, item), (edits, at) in best.items()]
