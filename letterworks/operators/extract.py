@@ -95,6 +95,8 @@ FACTS = (
     ("tenant_name", r"(?im)^\s*Mieter(?:in)?\s*:\s*([^\n]{2,120})$", 0.96),
     ("landlord_name", r"(?im)^\s*Vermieter(?:in)?\s*:\s*([^\n]{2,120})$", 0.96),
 )
+#: Every fact holds one of these words, so most texts need one search only.
+FACT_WORDS = r"(?i)riesterrente|mietobjekt|wohnung|objekt|mieter"
 GERMAN_DATE = r"(\d{1,2}\.\d{1,2}\.\d{4})"
 EVENTS = (
     ("contract_started", rf"(?iu)(?:Vertragsbeginn|beginnt am)\s*:?\s*{GERMAN_DATE}"),
@@ -134,19 +136,21 @@ def dates(text: Column, ocr: Column) -> Column:
     """Dates typed by the first rule that their line meets; dates that no rule names are left out."""
 
     def typed(found: Column) -> Column:
-        def one(x: Column) -> Column:
-            line, at = line_around(text, x["start"], x["end"])
-            low = F.lower(line)
+        def rule(low: Column, at: Column) -> Column:
             reach = lambda p: low.rlike(UNICODE + p) & (at > F.length(F.regexp_extract(low, rf"{UNICODE}^.*?{p}", 0)))
-            rule = F.lit(None).cast("struct<field:string,base:double>")
+            out = F.lit(None).cast("struct<field:string,base:double>")
             for field, pattern, base in reversed(DATE_FIELDS):
                 period = field.startswith("statement_period")
                 hit = low.rlike(PERIOD_LINE) & reach(pattern) if period else low.rlike(UNICODE + pattern)
-                rule = F.when(hit, F.struct(F.lit(field).alias("field"), F.lit(base).alias("base"))).otherwise(rule)
+                out = F.when(hit, F.struct(F.lit(field).alias("field"), F.lit(base).alias("base"))).otherwise(out)
+            return out
+
+        def one(x: Column) -> Column:
+            line, at = line_around(text, x["start"], x["end"])
             day = T.parse_german_date(x["hit"])
             again = F.size(F.filter(found, lambda y: y["hit"] == x["hit"])) > 1
             return let(
-                rule,
+                let(F.lower(line), lambda low: rule(low, at)),
                 lambda r: _finding(
                     "date",
                     F.when(day.isNotNull(), r["field"]),
@@ -175,18 +179,22 @@ def amounts(text: Column, ocr: Column) -> Column:
             line, _ = line_around(text, x["start"], x["end"])
             begin = F.greatest(x["start"] - 60, F.lit(0))
             near = F.substring(text, begin + 1, x["end"] + 40 - begin)
-            field, pattern, base = UNTYPED_AMOUNT
-            struct = lambda f, b, n: F.struct(F.lit(f).alias("field"), F.lit(b).alias("base"), F.lit(n).alias("note"))
-            rule = F.when(near.rlike(FOLDED + pattern), struct(field, base, "explicit_but_untyped_amount"))
-            for field, pattern, base in reversed(AMOUNT_FIELDS):
-                note = "explicit_current_value" if field in ("retirement_assets", "cancellation_value") else "explicit_financial_label"
-                rule = F.when(line.rlike(FOLDED + pattern), struct(field, base, note)).otherwise(rule)
+
+            def rule(line: Column) -> Column:
+                struct = lambda f, b, n: F.struct(F.lit(f).alias("field"), F.lit(b).alias("base"), F.lit(n).alias("note"))
+                field, pattern, base = UNTYPED_AMOUNT
+                out = F.when(near.rlike(FOLDED + pattern), struct(field, base, "explicit_but_untyped_amount"))
+                for field, pattern, base in reversed(AMOUNT_FIELDS):
+                    note = "explicit_current_value" if field in ("retirement_assets", "cancellation_value") else "explicit_financial_label"
+                    out = F.when(line.rlike(FOLDED + pattern), struct(field, base, note)).otherwise(out)
+                return F.when(~line.rlike(UNREAL_AMOUNT), out)
+
             normal = F.concat(T.parse_german_amount(x["hit"]).cast("string"), F.lit(" EUR"))
             return let(
-                rule,
+                let(line, rule),
                 lambda r: _finding(
                     "amount",
-                    F.when(~line.rlike(UNREAL_AMOUNT), r["field"]),
+                    r["field"],
                     F.trim(x["hit"]),
                     normal,
                     T.confidence(r["base"], ocr, many),
@@ -233,7 +241,7 @@ def facts(text: Column) -> Column:
         start = first["start"] + F.instr(first["hit"], first["part"]) - 1
         value = T.collapse(first["part"])
         out.append(_finding("fact", F.when(first.isNotNull(), F.lit(field)), value, value, F.lit(base), start, start + F.length(first["part"]), _none()))
-    return _present(F.array(*out))
+    return F.when(text.rlike(FACT_WORDS), _present(F.array(*out))).otherwise(F.array().cast(_SCHEMA))
 
 
 def document_type(text: Column) -> Column:
