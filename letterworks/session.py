@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made by ``scratch`` in this process.
+_MADE: list[str] = []
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -40,7 +42,15 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "letterworks-scratch")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders of this process, once the results that read them have been written elsewhere."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,8 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
 
+from letterworks.session import release_scratch  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -23,4 +25,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release_scratch(session)
     session.stop()
