@@ -103,6 +103,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOC
     for batch in range(n_batches):
         runs.add(lines.where(F.pmod(F.xxhash64("text_key"), F.lit(n_batches)) == batch))
     hits = lines.select("text_key", "pos", "key").join(runs.frequent(), "key").groupBy("text_key").agg(F.collect_set("pos").alias("_drop"))
+    hits = stage(hits, "line-drops")  # so that copies of one text in the join below can be split
     parts = F.split(whole(F.col(text_col)), "\n", -1)
     kept = let(
         parts,
