@@ -156,11 +156,11 @@ def o93_hybrid_gate(spark, sf):
     return Q.hybrid_gate(lexical, hybrid, relevant, short)
 
 
-@query("""WITH o AS (SELECT doc_id, source, text, replace(text, 'e', 'c') AS seen FROM documents WHERE length(text) < 400), w AS (SELECT doc_id, list_distinct(string_split(text, ' ')[1:5]) AS ws FROM o),
+@query("""WITH o AS (SELECT doc_id, source, text, replace(text, 'e', 'c') AS seen FROM documents), w AS (SELECT doc_id, list_distinct(string_split(text, ' ')[1:5]) AS ws FROM o),
 c AS (SELECT o.doc_id, source, seen, unnest(ws) AS w FROM o JOIN w USING (doc_id)), f AS (SELECT doc_id, avg(contains(seen, w)::INT::DOUBLE) AS critical FROM c GROUP BY 1)
 SELECT source AS category, count(*) AS samples, round(avg(critical), 6) AS critical_found FROM o JOIN f USING (doc_id) GROUP BY 1""")
 def o94_ocr_scorecard(spark, sf):
-    short = table(prepare(spark), sf, "documents").where("length(text) < 400")
-    outputs = short.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("category"), F.replace("text", F.lit("e"), F.lit("c")).alias("text"), F.col("text").alias("truth"))
-    critical = short.select(F.col("doc_id").alias("sample_id"), F.explode(F.array_distinct(F.slice(F.split("text", " "), 1, 5))).alias("value"))
+    docs = table(prepare(spark), sf, "documents")
+    outputs = docs.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("category"), F.replace("text", F.lit("e"), F.lit("c")).alias("text"), F.col("text").alias("truth"))
+    critical = docs.select(F.col("doc_id").alias("sample_id"), F.explode(F.array_distinct(F.slice(F.split("text", " "), 1, 5))).alias("value"))
     return Q.ocr_scorecard(outputs, critical).drop("similarity")

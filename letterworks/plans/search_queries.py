@@ -9,24 +9,24 @@ from letterworks.plans import frames as fr
 from letterworks.plans.registry import query
 from letterworks.session import prepare, table
 
-_AREA = "CASE t WHEN 0 THEN 'finance' ELSE 'personal' END"
-_TYPE = "CASE t WHEN 0 THEN 'invoice' WHEN 3 THEN 'official_letter' ELSE 'contract' END"
+_AREA = "CASE WHEN t = 0 THEN 'finance' WHEN t < 4 THEN 'personal' END"
+_TYPE = "CASE WHEN t = 0 THEN 'invoice' WHEN t = 3 THEN 'official_letter' WHEN t < 3 THEN 'contract' END"
 
 
 def projection(spark, sf):
-    """Search rows with the documents' columns, straight from the orders of the first four templates."""
-    letters = fr.letters(spark, sf).where("doc_id % 6 < 4")
+    """Search rows with the documents' columns, straight from the orders; letters of no known type have no title."""
+    letters = fr.letters(spark, sf)
     o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "doc_id")
     t = F.col("doc_id") % 6
-    kind = F.when(t == 0, "invoice").when(t == 3, "official_letter").otherwise("contract")
-    area = F.when(t == 0, "finance").otherwise("personal")
-    org = F.when(t < 3, F.substring_index("text", "\n", 1)).otherwise("")
+    kind = F.when(t == 0, "invoice").when(t == 3, "official_letter").when(t < 3, "contract")
+    area = F.when(t == 0, "finance").when(t < 4, "personal")
+    org = F.when((t < 3) | (t == 4), F.substring_index("text", "\n", 1)).otherwise("")
     re8, c6 = F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")
-    ids = F.when(t == 0, F.concat(F.lit("RE-"), re8, F.lit("\nKD-"), c6)).when(t == 3, F.concat(F.lit("AZ-"), re8)).otherwise(F.concat(F.lit("V-"), c6))
+    ids = F.when(t == 0, F.concat(F.lit("RE-"), re8, F.lit("\nKD-"), c6)).when(t == 3, F.concat(F.lit("AZ-"), re8)).when(t < 3, F.concat(F.lit("V-"), c6)).otherwise("")
     day = F.add_months(F.col("o_orderdate").cast("date"), 300)
     return letters.join(o, "doc_id").select(
         "doc_id",
-        F.concat_ws(" – ", F.when(org != "", org), kind).alias("title_text"),
+        F.when(kind.isNull(), "").otherwise(F.concat_ws(" – ", F.when(org != "", org), kind)).alias("title_text"),
         org.alias("organization_text"),
         ids.alias("identifier_text"),
         F.concat_ws("\n", kind, area).alias("metadata_text"),
@@ -41,11 +41,11 @@ def projection(spark, sf):
     )
 
 
-PROJECTION = f"""{fr.LETTERS}, {fr.BASE}, proj AS (SELECT l.doc_id, CASE WHEN t < 3 THEN split_part(l.text, chr(10), 1) || ' – ' || {_TYPE} ELSE {_TYPE} END AS title_text,
-  CASE WHEN t < 3 THEN split_part(l.text, chr(10), 1) ELSE '' END AS organization_text, CASE t WHEN 0 THEN 'RE-' || re8 || chr(10) || 'KD-' || c6 WHEN 3 THEN 'AZ-' || re8 ELSE 'V-' || c6 END AS identifier_text,
-  {_TYPE} || chr(10) || {_AREA} AS metadata_text, 'all' || chr(10) || 'tag' || (l.doc_id % 4) AS tags_text, CASE WHEN t < 3 THEN CAST(b.o_totalprice AS DECIMAL(18,2)) END AS amount_value, l.text AS body_text,
+PROJECTION = f"""{fr.LETTERS}, {fr.BASE}, proj AS (SELECT l.doc_id, CASE WHEN t < 3 THEN split_part(l.text, chr(10), 1) || ' – ' || {_TYPE} ELSE coalesce({_TYPE}, '') END AS title_text,
+  CASE WHEN t < 3 OR t = 4 THEN split_part(l.text, chr(10), 1) ELSE '' END AS organization_text, CASE WHEN t = 0 THEN 'RE-' || re8 || chr(10) || 'KD-' || c6 WHEN t = 3 THEN 'AZ-' || re8 WHEN t < 3 THEN 'V-' || c6 ELSE '' END AS identifier_text,
+  coalesce({_TYPE} || chr(10) || {_AREA}, '') AS metadata_text, 'all' || chr(10) || 'tag' || (l.doc_id % 4) AS tags_text, CASE WHEN t < 3 THEN CAST(b.o_totalprice AS DECIMAL(18,2)) END AS amount_value, l.text AS body_text,
   CASE WHEN o_orderstatus = 'O' THEN 'needs_review' ELSE 'ready' END AS status, {_AREA} AS life_area, {_TYPE} AS document_type, CASE WHEN l.doc_id % 5 <> 0 THEN d END AS document_date, 'src' || (b.o_custkey % 3) AS source
-  FROM letters l JOIN base b ON l.doc_id = b.doc_id JOIN orders o ON o.o_orderkey = l.doc_id WHERE t < 4)"""
+  FROM letters l JOIN base b ON l.doc_id = b.doc_id JOIN orders o ON o.o_orderkey = l.doc_id)"""
 
 
 def search_batch(spark, sf):
@@ -67,17 +67,17 @@ BATCH = """batch AS (SELECT * FROM (SELECT o_orderkey AS query_id, CASE WHEN o_o
 _F = "replace(lower({0}), 'ß', 'ss')"
 _MATCH = f"""{PROJECTION}, {BATCH}, terms AS (SELECT query_id, q, list_transform(list_filter(string_split({_F.format('q')}, ' '), lambda x: x <> ''), lambda x: x) AS terms FROM batch),
 m AS (SELECT query_id, q, terms, p.*, {_F.format("title_text || chr(10) || organization_text || chr(10) || identifier_text || chr(10) || metadata_text || chr(10) || body_text")} AS combined FROM terms, proj p),
-hits AS (SELECT *, round(len(terms) * 0.05 + CASE WHEN list_contains(string_split({_F.format('identifier_text')}, chr(10)), {_F.format('q')}) THEN 2.0 ELSE 0 END + CASE WHEN {_F.format('organization_text')} = {_F.format('q')} THEN 0.8 ELSE 0 END
+hits AS (SELECT *, round(len(terms) * 0.05 + CASE WHEN identifier_text <> '' AND list_contains(string_split({_F.format('identifier_text')}, chr(10)), {_F.format('q')}) THEN 2.0 ELSE 0 END + CASE WHEN {_F.format('organization_text')} = {_F.format('q')} THEN 0.8 ELSE 0 END
   + CASE WHEN contains({_F.format('title_text')}, {_F.format('q')}) THEN 0.6 ELSE 0 END + CASE WHEN contains({_F.format('metadata_text')}, {_F.format('q')}) THEN 0.3 ELSE 0 END, 6)::DOUBLE AS score
   FROM m WHERE len(list_filter(terms, lambda x: NOT contains(combined, x))) = 0)"""
 _TOP = f"{_MATCH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_date DESC NULLS LAST, doc_id::VARCHAR) AS rank FROM hits)"
 
 
-@query(f"""WITH {fr.BASE} SELECT doc_id, CASE WHEN t = 3 THEN 'official_letter – ' || year(d) ELSE 'Haus ' || i2 || CASE t WHEN 0 THEN ' GmbH' ELSE ' AG' END || ' – ' || {_TYPE} END AS title_text,
- CASE t WHEN 0 THEN 'RE-' || re8 || chr(10) || 'KD-' || c6 WHEN 3 THEN 'AZ-' || re8 ELSE 'V-' || c6 END AS identifier_text, {_TYPE} || chr(10) || {_AREA} || chr(10) || strftime(d, '%Y-%m-%d') AS metadata_text,
- CASE WHEN t < 3 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS amount_value FROM base WHERE t < 4""")
+@query(f"""WITH {fr.BASE} SELECT doc_id, CASE WHEN t = 3 THEN 'official_letter – ' || year(d) WHEN t < 3 THEN 'Haus ' || i2 || CASE t WHEN 0 THEN ' GmbH' ELSE ' AG' END || ' – ' || {_TYPE} ELSE '' END AS title_text,
+ CASE WHEN t = 0 THEN 'RE-' || re8 || chr(10) || 'KD-' || c6 WHEN t = 3 THEN 'AZ-' || re8 WHEN t < 3 THEN 'V-' || c6 ELSE '' END AS identifier_text,
+ CASE WHEN t < 4 THEN {_TYPE} || chr(10) || {_AREA} || chr(10) || strftime(d, '%Y-%m-%d') ELSE '' END AS metadata_text, CASE WHEN t < 3 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS amount_value FROM base""")
 def o58_build_projection(spark, sf):
-    return S.build_projection(fr.letters(spark, sf).where("doc_id % 6 < 4")).select("doc_id", "title_text", "identifier_text", "metadata_text", "amount_value")
+    return S.build_projection(fr.letters(spark, sf)).select("doc_id", "title_text", "identifier_text", "metadata_text", "amount_value")
 
 
 def _states(spark, sf):
@@ -88,14 +88,14 @@ def _states(spark, sf):
     return old.unionByName(extra), now
 
 
-@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 10 = 0 THEN 'created' WHEN o_orderkey % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS outcome FROM orders WHERE o_orderkey % 6 < 4
-UNION ALL SELECT o_orderkey + 1000000000, 'removed' FROM orders WHERE o_orderkey % 6 < 4 AND o_orderkey % 100 = 1""")
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 10 = 0 THEN 'created' WHEN o_orderkey % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS outcome FROM orders
+UNION ALL SELECT o_orderkey + 1000000000, 'removed' FROM orders WHERE o_orderkey % 100 = 1""")
 def o59_refresh_projection(spark, sf):
     return S.refresh_projection(*_states(spark, sf))
 
 
 @query("""SELECT count(*) AS documents, count(*) FILTER (WHERE o_orderkey % 10 <> 0) AS indexed, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS missing, count(*) FILTER (WHERE o_orderkey % 10 <> 0 AND o_orderkey % 7 = 0) AS stale
-FROM orders WHERE o_orderkey % 6 < 4""")
+FROM orders""")
 def o60_verify_projection(spark, sf):
     old, now = _states(spark, sf)
     return S.verify_projection(now, old, now)
@@ -160,6 +160,6 @@ def o67_list_documents(spark, sf):
 
 def flagship(spark, sf):
     """Which letters answer a batch of searches, best first."""
-    letters = fr.letters(spark, sf).where("doc_id % 6 < 4")
+    letters = fr.letters(spark, sf)
     rows = S.build_projection(letters).withColumn("document_date", F.lit(None).cast("date"))
     return S.search_lexical(search_batch(spark, sf), rows).select("query_id", "doc_id", "score", "rank")

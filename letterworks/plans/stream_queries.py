@@ -119,8 +119,8 @@ def o98_sessions(spark, sf):
     return out.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
 
 
-@query(f"""WITH {fr.BASE} SELECT doc_id, CASE t WHEN 0 THEN 'RE-' || re8 || chr(10) || 'KD-' || c6 WHEN 3 THEN 'AZ-' || re8 ELSE 'V-' || c6 END AS identifier_text, CASE WHEN t < 3 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS amount_value FROM base WHERE t < 4 AND doc_id % 7 = 0""")
+@query(f"""WITH {fr.BASE} SELECT doc_id, CASE WHEN t = 0 THEN 'RE-' || re8 || chr(10) || 'KD-' || c6 WHEN t = 3 THEN 'AZ-' || re8 WHEN t < 3 THEN 'V-' || c6 ELSE '' END AS identifier_text, CASE WHEN t < 3 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS amount_value FROM base""")
 def o99_stream_projection(spark, sf):
-    letters = fr.letters(spark, sf).where("doc_id % 6 < 4 and doc_id % 7 = 0")
+    letters = fr.letters(spark, sf)
     out = I.stream_projection(spark, I.as_files(letters, "doc_id", 6), letters.schema, S.build_projection, "doc_id")
     return out.select("doc_id", "identifier_text", "amount_value")

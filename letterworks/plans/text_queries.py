@@ -265,13 +265,13 @@ def o34_propose_relationships(spark, sf):
     return X.propose_relationships(letters, X.propose_contracts(letters))
 
 
-@query(f"""WITH {fr.BASE} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN amt || ' EUR' ELSE '' END AS missing_amounts, CASE WHEN doc_id % 3 = 0 THEN '0,01 EUR' ELSE '' END AS added_amounts,
- CASE WHEN doc_id % 4 = 0 THEN strftime(d + 14, '%d.%m.%Y') ELSE '' END AS missing_dates, CAST(0 AS INTEGER) AS n_missing_identifiers FROM base WHERE t = 0""")
+@query(f"""WITH {fr.BASE} SELECT doc_id, CASE WHEN t = 0 AND doc_id % 3 = 0 THEN amt || ' EUR' ELSE '' END AS missing_amounts, CASE WHEN t = 0 AND doc_id % 3 = 0 THEN '0,01 EUR' ELSE '' END AS added_amounts,
+ CASE WHEN t = 0 AND doc_id % 4 = 0 THEN strftime(d + 14, '%d.%m.%Y') ELSE '' END AS missing_dates, CAST(0 AS INTEGER) AS n_missing_identifiers FROM base""")
 def o35_text_differences(spark, sf):
     k = F.col("doc_id")
     changed = F.when(k % 3 == 0, F.regexp_replace("text", r"Gesamtbetrag: \S+", "Gesamtbetrag: 0,01")).otherwise(F.col("text"))
     changed = F.when(k % 4 == 0, F.regexp_replace(changed, r"Zahlbar bis zum \S+", "Zahlbar bis zum")).otherwise(changed)
-    pairs = fr.letters(spark, sf).where(k % 6 == 0).select("doc_id", F.col("text").alias("base"), changed.alias("candidate"))
+    pairs = fr.letters(spark, sf).select("doc_id", F.col("text").alias("base"), changed.alias("candidate"))
     out = X.text_differences(pairs)
     return out.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("missing_amounts", "added_amounts", "missing_dates")], "n_missing_identifiers")
 
