@@ -8,13 +8,14 @@ count as that floor and weights behave alike at every size: passages that many
 documents share weigh less, and all others the same.
 
 Improved consistent weighted sampling draws 24 samples of each text; 8 bands of 3
-give buckets. In a bucket all members are compared with its leader, never with
-one another; those that are not similar to it go on to a next round among
-themselves. After ``ROUNDS`` rounds what is left is dealt anew by pairs of bands
-for ``FINER_ROUNDS`` more, each bucket with a leader of its own. Candidate pairs whose samples agree too rarely are passed over (for a
-pair at the threshold that has a chance under 1e-4); the others are verified
-exactly by weighted Jaccard similarity of the whole texts. Verified links give
-classes as connected components.
+give buckets. In a bucket all members are first compared with its leader, so that
+a large class is a star. Those left over are then compared with one another, in
+blocks of bounded size, until no two are left that might be linked: samples in
+numpy, and what agrees by its whole texts in the same task. Candidate pairs whose samples agree
+too rarely are passed over (for a pair at the threshold that has a chance under
+1e-4); the others are verified exactly by weighted Jaccard similarity of the whole
+texts, but for pairs that other links have put into one class before. Verified
+links give classes as connected components.
 
 Defined results: a text without words is alone in its class; texts of fewer than
 five words are one shingle; equal texts are always one class, handled as one text
@@ -47,8 +48,10 @@ BANDS, ROWS = 8, 3
 SAMPLES = BANDS * ROWS
 #: Samples of a candidate pair that must agree before it is verified.
 MIN_AGREE = 10
-#: Rounds among the members of a bucket, and among those of the finer buckets of what is left.
-ROUNDS, FINER_ROUNDS = 3, 2
+#: About how many members of a bucket are compared at once with as many others.
+BLOCK = 512
+#: Columns of a matrix of texts and shingles at once.
+TOKENS = 4096
 DF_FLOOR = 0.05
 SKETCH_BITS, SKETCH_ROWS, SKETCH_BLOCKS = 20, 2, 16
 ID_BITS = 50
@@ -152,7 +155,7 @@ def draw(s: Shingles, w: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text_col: str, idf: np.ndarray) -> DataFrame:
-    """``docs`` (columns but the text) with ``sig``: the samples as bytes, null for texts without words."""
+    """``docs`` (columns but the text) with ``sig``: the samples and the weight of the whole text as bytes, null for texts without words."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)
     rest = [c for c in docs.columns if c != text_col]
@@ -162,8 +165,10 @@ def signatures(docs: DataFrame, text_col: str, idf: np.ndarray) -> DataFrame:
             sigs: list[bytes | None] = [None] * batch.num_rows
             for row, raw, offs in pieces(batch.column(batch.schema.get_field_index(text_col))):
                 s = Shingles(raw, offs)
-                for owner, sample in zip(s.owner[s.starts].tolist(), draw(s, weights(s, shared.value)), strict=True):
-                    sigs[row + owner] = sample.tobytes()
+                w = weights(s, shared.value)
+                total = np.add.reduceat(w, s.starts, dtype=float).astype(np.float32) if len(s.starts) else np.zeros(0, np.float32)
+                for owner, sample, whole in zip(s.owner[s.starts].tolist(), draw(s, w), total, strict=True):
+                    sigs[row + owner] = sample.tobytes() + whole.tobytes()
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in rest], pa.array(sigs, pa.binary())], names=[*rest, "sig"])
 
     types = dict(docs.dtypes)
@@ -220,37 +225,162 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def bucket_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, rounds: int = ROUNDS, spread: bool = False) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links of bucket members (bucket, node, sig) with their leaders, round by round, and the members that remain.
+def leader_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links of bucket members (bucket, node, sig) with the smallest node of their bucket, so that large classes are stars."""
+    leaders = members.groupBy("bucket").agg(F.min(F.struct("node", "sig")).alias("lead"))
+    pairs = members.join(leaders.select("bucket", F.col("lead.node").alias("a"), F.col("lead.sig").alias("sig_a")), "bucket")
+    pairs = pairs.where(F.col("node") != F.col("a")).withColumnsRenamed({"node": "b", "sig": "sig_b"})
+    return stage(verified(stage(_agreeing(pairs).select("a", "b").distinct(), "near-pairs"), texts, idf, threshold), "near-links")
 
-    The leader is the smallest node, so that buckets with the same members verify the same pairs; with ``spread``
-    each bucket has a leader of its own, so that they verify different ones.
+
+def _blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (bucket, x, y, own, node, root, sig) dealt to the pairs of blocks in which they meet all that may yet be linked to them.
+
+    Members of the leader's class have negative blocks, which are not compared with one another; the rest of the bucket
+    has blocks from 0, each compared with itself and all others. No block grows with its bucket.
+    """
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lead = rooted.groupBy("bucket").agg(F.min(F.struct("node", "root")).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rooted = rooted.join(lead.select("bucket", F.col("lead.root").alias("lead")), "bucket").withColumn("led", F.col("root") == F.col("lead"))
+    n_blocks = lambda led: F.ceil(F.count(F.when(F.col("led") == F.lit(led), 1)) / BLOCK).cast("int")
+    rooted = stage(rooted, "near-rooted")
+    sizes = rooted.groupBy("bucket").agg(n_blocks(True).alias("n_led"), n_blocks(False).alias("n_rest"))
+    place = F.xxhash64("node", "bucket")
+    own = F.when(F.col("led"), -1 - F.pmod(place, F.col("n_led"))).otherwise(F.pmod(place, F.col("n_rest"))).cast("int")
+    others = F.when(F.col("led"), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.col("n_rest") - 1))
+    dealt = rooted.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(others))
+    return dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "sig")
+
+
+def _fixed(column: pa.ChunkedArray, dtype: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+
+
+def _compare(rows: pa.Table, diagonal: bool, left: np.ndarray, right: np.ndarray, root: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the pairs of two blocks that are of different classes and agree often enough, and how often.
+
+    Texts whose whole weights differ by more than the threshold allows cannot reach it and are left out.
     """
-    order = F.xxhash64("bucket", "node") if spread else F.lit(0)
-    links: list[DataFrame] = []
-    rest: DataFrame | None = members
-    for _ in range(rounds):
-        leaders = rest.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "node", "sig")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        pairs = rest.join(leaders.select("bucket", F.col("lead.node").alias("a"), F.col("lead.sig").alias("sig_a")), "bucket")
-        pairs = stage(pairs.where(F.col("node") != F.col("a")).withColumnsRenamed({"node": "b", "sig": "sig_b"}), "near-pairs")
-        good = stage(verified(_agreeing(pairs).select("a", "b").distinct(), texts, idf, threshold), "near-links")
-        links.append(good)
-        rest = stage(pairs.join(good, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("node"), F.col("sig_b").alias("sig")), "near-rest")
-        if rest.isEmpty():
-            rest = None
-            break
-    return reduce(DataFrame.unionByName, links), rest
-
-
-def _buckets(nodes: DataFrame, together: int) -> DataFrame:
-    """(bucket, node, sig) for each choice of ``together`` bands; a bucket is a hash of the choice and its samples."""
+    sigs = _fixed(rows.column("sig"), "u4", SAMPLES + 1)
+    total = sigs[:, SAMPLES].view("f4")
+    pair = lambda test, of: test(of[left][:, None], of[right][None, :])
+    near = pair(np.not_equal, root) & (pair(np.minimum, total) >= pair(np.maximum, total) * np.float32(threshold - 1e-3))
+    if diagonal:
+        near &= np.tri(len(left), len(right), -1, bool).T
+    agree = np.zeros(near.shape, np.uint8)
+    if near.any():
+        for k in range(SAMPLES):
+            agree += pair(np.equal, sigs[:, k])
+    i, j = np.nonzero(near & (agree >= MIN_AGREE))
+    return left[i], right[j], agree[i, j]
+
+
+def _shared_weight(s: Shingles, w: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The weight that texts ``left`` share with texts ``right`` of ``n`` texts, to about six digits, as products of matrices.
+
+    The k-th occurrence of a shingle in a text is a token of its own, so a token is in a text or not.
+    """
+    _, code, docs = np.unique(s.ids, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(docs[code] > 1)
+    count = s.count[often]
+    token = np.repeat(code[often], count).astype(np.uint64) << np.uint64(32)
+    token |= (np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+    owner = np.repeat(s.owner[often], count)
+    weight = np.repeat(w[often] / count, count)
+    _, first, token = np.unique(token, return_index=True, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    token, owner, weight = token[order], owner[order], weight[first]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(weight), TOKENS):
+        high = min(low + TOKENS, len(weight))
+        part = slice(*np.searchsorted(token, [low, high]))
+        has = np.zeros((n, high - low), np.float32)
+        has[owner[part], token[part] - low] = 1
+        both += (has[left] * weight[low:high]) @ has[right].T
+    return both
+
+
+def _joining(texts: pa.Array, root: np.ndarray, i: np.ndarray, j: np.ndarray, agree: np.ndarray, idf: np.ndarray, threshold: float) -> list[int]:
+    """Places in the candidates (i, j) of pairs that reach the threshold, enough to join all classes that some pair joins."""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    at_i, at_j = at[: len(i)], at[len(i) :]
+    _, raw, offs = next(pieces(texts.take(pa.array(used)), 1 << 62))
+    s = Shingles(raw, offs)
+    w = weights(s, idf)
+    total = np.bincount(s.owner, w, len(used))
+    likely = agree.astype(float)
+    if len(i) > 64:
+        left, row = np.unique(at_i, return_inverse=True)
+        right, column = np.unique(at_j, return_inverse=True)
+        both = _shared_weight(s, w, len(used), left, right)[row, column]
+        likely = both / (total[at_i] + total[at_j] - both)
+    bounds = np.searchsorted(s.owner, np.arange(len(used) + 1))
+    parent = list(range(int(root.max()) + 1))
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    out = []
+    order = np.argsort(-likely, kind="stable")
+    for k in (order if len(i) <= 64 else order[likely[order] >= threshold - 1e-3]).tolist():
+        x, y = top(int(root[i[k]])), top(int(root[j[k]]))
+        if x == y:
+            continue
+        a, b = (slice(bounds[d], bounds[d + 1]) for d in (at_i[k], at_j[k]))
+        _, p, q = np.intersect1d(s.ids[a], s.ids[b], assume_unique=True, return_indices=True)
+        both = np.minimum(w[a][p], w[b][q]).sum(dtype=float)
+        if both >= threshold * (total[at_i[k]] + total[at_j[k]] - both):
+            parent[x] = y
+            out.append(k)
+    return out
+
+
+def block_links(blocks: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Verified links (a, b) of the texts in each pair of blocks, as many as join their classes; pairs never leave their task."""
+    shared = blocks.sparkSession.sparkContext.broadcast(idf)
+
+    def found(rows: pa.Table, key: tuple[int, int], own: np.ndarray) -> pa.RecordBatch | None:
+        _, root = np.unique(_fixed(rows.column("root"), "S16", 1), return_inverse=True)
+        root = root.reshape(-1)
+        i, j, agree = _compare(rows, key[0] == key[1], np.flatnonzero(own == key[0]), np.flatnonzero(own == key[1]), root, threshold)
+        if not len(i):
+            return None
+        good = _joining(rows.column("text"), root, i, j, agree, shared.value, threshold)
+        node = rows.column("node")
+        return pa.RecordBatch.from_arrays([node.take(pa.array(x[good])).combine_chunks() for x in (i, j)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            rows = pa.Table.from_batches([*kept, batch] if batch is not None else kept) if batch is not None or kept else []
+            if not len(rows):
+                continue
+            bucket, x, y, own = (rows.column(c).to_numpy() for c in ("bucket", "x", "y", "own"))
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            cuts = [0, *cuts.tolist(), *([len(rows)] if batch is None else [])]
+            for start, stop in itertools.pairwise(cuts):
+                out = found(rows.slice(start, stop - start), (x[start], y[start]), own[start:stop]) if stop - start > 1 else None
+                if out is not None and len(out):
+                    yield out
+            kept = rows.slice(cuts[-1]).to_batches()
+
+    dealt = blocks.join(texts, "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def bucket_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) between similar texts of a bucket, as many as make their classes: leaders first, then blocks."""
+    links = leader_links(members, texts, idf, threshold)
+    roots = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return links.unionByName(block_links(_blocks(members, roots), texts, idf, threshold))
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, sig) for each band; a bucket is a hash of the band and its samples."""
     width = 4 * ROWS
-    keys = F.array(
-        *[
-            F.xxhash64(F.lit(i), *[F.substring("sig", band * width + 1, width) for band in choice])
-            for i, choice in enumerate(itertools.combinations(range(BANDS), together))
-        ]
-    )
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(BANDS)])
     return nodes.select(F.explode(keys).alias("bucket"), "node", "sig")
 
 
@@ -264,7 +394,7 @@ def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     idf = idf_table(counts, n_docs)
     rows = stage(signatures(slim, "text", idf), "near-signatures")
     nodes = rows.where("sig is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
-    banded = _buckets(nodes, 1)
+    banded = _buckets(nodes)
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = stage(banded.join(shared, "bucket"), "near-members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id"))
@@ -272,11 +402,7 @@ def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     wanted = wanted.withColumnsRenamed({"node": "n", "doc_id": "d"})
     one = slim.join(wanted, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     texts = stage(one.select("node", "text").dropDuplicates(["node"]), "near-texts")
-    links, rest = bucket_links(members, texts, idf, threshold, ROUNDS)
-    if rest is not None:
-        finer = _buckets(rest.select("node", "sig").distinct(), 2)
-        more, _ = bucket_links(stage(finer, "near-members"), texts, idf, threshold, FINER_ROUNDS, spread=True)
-        links = links.unionByName(more)
+    links = bucket_links(members, texts, idf, threshold)
     links = stage(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "near-edges")
     roots = connected_components(links)
     joined = rows.select("doc_id", "node", F.col("sig").isNotNull().alias("worded")).join(roots, "node", "left")
