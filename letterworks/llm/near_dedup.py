@@ -9,9 +9,9 @@ documents share weigh less, and all others the same.
 
 Improved consistent weighted sampling draws 24 samples of each text; 8 bands of 3
 give buckets. In a bucket all members are first compared with its leader, so that
-a large class is a star. Those left over are then compared with one another, in
-blocks of bounded size, until no two are left that might be linked: samples in
-numpy, and what agrees by its whole texts in the same task. Candidate pairs whose samples agree
+a large class is a star. Those left over are then compared with one another and
+with the members that the leader has, in blocks of bounded size, until no two of
+different classes are left that might be linked: samples in numpy, and what agrees by its whole texts in the same task. Candidate pairs whose samples agree
 too rarely are passed over (for a pair at the threshold that has a chance under
 1e-4); the others are verified exactly by weighted Jaccard similarity of the whole
 texts, but for pairs that other links have put into one class before. Verified
@@ -236,8 +236,8 @@ def leader_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshol
 def _blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members (bucket, x, y, own, node, root, sig) dealt to the pairs of blocks in which they meet all that may yet be linked to them.
 
-    Members of the leader's class have negative blocks, which are not compared with one another; the rest of the bucket
-    has blocks from 0, each compared with itself and all others. No block grows with its bucket.
+    Members of the leader's class have negative blocks, which are not compared with one another, being one class; the
+    rest of the bucket has blocks from 0, each compared with itself and all others. No block grows with its bucket.
     """
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lead = rooted.groupBy("bucket").agg(F.min(F.struct("node", "root")).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
@@ -247,7 +247,7 @@ def _blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
     sizes = rooted.groupBy("bucket").agg(n_blocks(True).alias("n_led"), n_blocks(False).alias("n_rest"))
     place = F.xxhash64("node", "bucket")
     own = F.when(F.col("led"), -1 - F.pmod(place, F.col("n_led"))).otherwise(F.pmod(place, F.col("n_rest"))).cast("int")
-    others = F.when(F.col("led"), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.col("n_rest") - 1))
+    others = F.sequence(F.when(F.col("led"), F.lit(0)).otherwise(-F.col("n_led")), F.col("n_rest") - 1)
     dealt = rooted.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(others))
     return dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "sig")
 

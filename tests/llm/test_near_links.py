@@ -31,3 +31,21 @@ def test_pairs_among_many_that_share_a_passage(spark):
     rng.shuffle(rows)
     rows = [(int(i), str(t)) for i, t in rows]
     assert classes(spark, rows) == sorted(want)
+
+
+def test_chains_of_versions(spark):
+    """Each version is a near copy of the one before only; with the smallest node in the middle or at an end, all are one class."""
+    rng = np.random.default_rng(12)
+    rows, want = [], []
+    for c in range(400):
+        words = [f"c{c}w{k}" for k in range(200)]
+        for v in range(3):
+            for k in (30, 80, 130):  # three edits: similarity 0.86 to the version before, 0.74 to the one before that
+                if v:
+                    words[k + 10 * v] = f"c{c}v{v}k{k}"
+            rows.append((10 * c + v, " ".join(words)))
+        want.append([10 * c, 10 * c + 1, 10 * c + 2])
+    rng.shuffle(rows)
+    got = classes(spark, [(int(i), str(t)) for i, t in rows])
+    whole = [x for x in got if len(x) == 3]
+    assert all(x in want for x in whole) and len(whole) >= 0.99 * len(want)
