@@ -3,9 +3,9 @@
 Word counts cover all training documents and stay distributed. The most frequent
 words of a fixed number are broadcast; the others of each document are joined with
 their counts by hash. The recurrent model's vocabulary is the head of the counts.
-It is trained by tasks on their own documents: a fixed share of the windows of
-every training document, so training grows with the corpus, and the tasks'
-parameters are averaged after each round. Then every text is scored whole, its
+It is trained by tasks on their own documents: windows drawn by chance with a
+fixed share, so training grows with the corpus but many short documents have no
+window in it, and the tasks' parameters are averaged after each round. Then every text is scored whole, its
 state carried across windows.
 
 A text's score is the log10-probability of its words and of the end that follows
