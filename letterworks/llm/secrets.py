@@ -1,21 +1,25 @@
 """Secret scans with multipart credential linking.
 
 Base findings are regular-expression matches of three kinds. The linking step
-looks at parts that prove nothing alone: account names, short or unlabelled
-secrets and service endpoints. Each has a scope, its span widened by ``SCOPE``
-code points on either side. Parts are interval-joined with the parts of other
-roles in their scope (equal text and bin of positions, then the exact overlap, as
-semi-joins, so pairs are never listed); a weak part is reported only where the
-complementary parts co-occur:
+looks at parts that prove nothing alone: account names and mail addresses, short
+or unlabelled secrets, and service endpoints (addresses of hosts and URLs). Each
+has a scope, its span widened by ``SCOPE`` code points on either side. Parts are
+interval-joined with the parts of other roles in their scope (equal text and bin of
+positions, then the exact overlap, as semi-joins, so pairs are never listed); a
+weak part is reported only where a complementary part co-occurs:
 
-* ``ident`` where a secret is in scope, of whatever strength;
-* ``weak`` (secret) where an identifier or an endpoint is in scope;
-* ``endpoint`` where both an identifier and a secret are in scope.
+* ``ident`` and ``endpoint`` where a secret is in scope;
+* ``weak`` (secret) where an identifier or an endpoint is in scope.
+
+Secrets are base findings of kind ``assign``, those of kind ``hex`` that have both
+a letter and a digit (a run of digits alone is no secret), and weak secrets.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts
 have no findings; equal texts have equal findings; repeated rows are scanned each;
-weak secrets that overlap a base finding are left out; an empty table gives an
-empty result.
+weak parts that overlap a base finding, and endpoints inside an identifier, are
+left out; texts of any length are scanned whole, in time that grows with their
+length; kept columns may have any name, those named ``base`` or ``linked`` give way
+to the results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,13 +38,20 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 #: Patterns of the weak parts.
 IDENT = r"""(?i:(user(?:name|_?id)?|login|client_?id|account(?:_?id)?|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+#: Identifiers whose makers mark them by a prefix.
+MARKED = r"(?<![A-Za-z0-9])(?:ASIA[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|[0-9]{12}-[a-z0-9]{32}\.apps|AC[0-9a-f]{32})(?![A-Za-z0-9])"
 BLOB = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[^\x20\x09-\x0D"'<>,;]+"""
 
+ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9]|\.[0-9])"
+
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 SCOPE = 200
 BIN = 512
 MIN_WEAK = 6
+#: Matches that are located together; see ``_spans``.
+BLOCK = 256
 
 
 def _spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Column:
@@ -51,22 +62,27 @@ def _spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Colum
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     rank = KINDS.index(kind)
 
+    def step(a: Column, x: Column) -> Column:
+        begin = a["at"] + x["gap"]
+        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
+        good = x["hit"].isNotNull() & keep(x["hit"], x["part"])
+        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(good, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
+
+    def in_block(a: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(a["at"].alias("at"), empty.alias("out")), step)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+
     def located(gaps: Column) -> Column:
         found = F.arrays_zip(
             F.transform(gaps, F.length).alias("gap"),
             F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
             F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
         )
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            begin = a["at"] + x["gap"]
-            end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-            good = x["hit"].isNotNull() & keep(x["hit"], x["part"])
-            span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-            return F.struct(end.alias("at"), F.when(good, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
-
-        return F.aggregate(found, start, step, lambda a: a["out"])
+        # Appending copies, so spans are gathered in blocks and the blocks in a list of their own.
+        blocks = let(found, lambda f: F.transform(F.sequence(F.lit(0), F.floor((F.size(f) - 1) / BLOCK).cast("int")), lambda k: F.slice(f, k * BLOCK + 1, BLOCK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,rank:int,end:int>>>").alias("out"))
+        return F.aggregate(blocks, start, in_block, lambda a: F.flatten(a["out"]))
 
     return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), located)).otherwise(empty)
 
@@ -84,35 +100,34 @@ def base_spans(text: Column) -> Column:
 
 
 def weak_spans(text: Column, base: Column) -> Column:
-    """Array of the spans of weak parts, without secrets that overlap a base span."""
+    """Array of the spans of weak parts, without those that overlap a base span."""
     mixed = lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
+    every = lambda m, g: F.lit(True)
+    over = lambda x, spans: F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    names = F.array_distinct(F.concat(_spans(text, IDENT, "ident", every, 2), _spans(text, MAIL, "ident", every), _spans(text, MARKED, "ident", every)))
     short = _spans(text, ASSIGN, "weak", lambda m, g: F.length(g).between(MIN_WEAK, MIN_ASSIGN - 1), 2)
-    blobs = _spans(text, BLOB, "weak", lambda m, g: mixed(m))
-    clear = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return F.concat(
-        _spans(text, IDENT, "ident", lambda m, g: F.lit(True), 2),
-        F.filter(F.array_distinct(F.concat(short, blobs)), clear),
-        _spans(text, ENDPOINT, "endpoint", lambda m, g: F.lit(True)),
-    )
+    secrets = F.array_distinct(F.concat(short, _spans(text, BLOB, "weak", lambda m, g: mixed(m))))
+    ends = F.array_distinct(F.concat(_spans(text, ENDPOINT, "endpoint", every), _spans(text, ADDRESS, "endpoint", every)))
+    ends = let(names, lambda n: F.filter(ends, lambda x: ~over(x, n)))
+    return F.filter(F.concat(names, secrets, ends), lambda x: ~over(x, base))
 
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The weak parts to report of ``parts`` (text_key, start, rank, end): interval semi-joins by role."""
+    """The weak parts to report of ``parts`` (text_key, start, rank, end, secret): interval semi-joins by role."""
     rank = {k: i for i, k in enumerate(KINDS)}
     binned = lambda df, low, high: df.withColumn("bin", F.explode(F.sequence(F.floor(low / BIN), F.floor(high / BIN))))
-    others = binned(parts, F.col("start"), F.col("end")).select(F.col("text_key").alias("k"), F.col("bin").alias("b"), F.col("start").alias("s"), F.col("end").alias("e"), "rank")
-    others = others.withColumnRenamed("rank", "r")
+    others = binned(parts, F.col("start"), F.col("end")).select(
+        F.col("text_key").alias("k"), F.col("bin").alias("b"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("rank").alias("r"), F.col("secret").alias("proof")
+    )
 
-    def near(kind: str, *roles: str) -> DataFrame:
-        weak = parts.where(F.col("rank") == rank[kind]).distinct()
+    def near(kinds: tuple[str, ...], there) -> DataFrame:
+        weak = parts.where(F.col("rank").isin([rank[k] for k in kinds])).select("text_key", "start", "rank", "end").distinct()
         weak = binned(weak, F.col("start") - scope, F.col("end") + scope)
-        there = others.where(F.col("r").isin([rank[x] for x in roles]))
         on = (F.col("text_key") == F.col("k")) & (F.col("bin") == F.col("b")) & (F.col("s") <= F.col("end") + scope) & (F.col("e") >= F.col("start") - scope)
-        return weak.join(there, on, "left_semi").select("text_key", "start", "rank", "end").distinct()
+        return weak.join(others.where(there), on, "left_semi").select("text_key", "start", "rank", "end").distinct()
 
-    secrets, names = ("assign", "hex", "weak"), ("access", "ident")
-    ends = near("endpoint", *secrets).join(near("endpoint", *names), ["text_key", "start", "rank", "end"], "left_semi")
-    return near("ident", *secrets).unionByName(near("weak", *names, "endpoint")).unionByName(ends)
+    company = F.col("r").isin([rank[k] for k in ("access", "ident", "endpoint")])
+    return near(("ident", "endpoint"), F.col("proof")).unionByName(near(("weak",), company))
 
 
 def _listed(spans: Column) -> Column:
@@ -123,16 +138,26 @@ def _listed(spans: Column) -> Column:
 def scan(docs: DataFrame, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",), scope: int = SCOPE) -> DataFrame:
     """``keep_cols``, base (array of spans) and linked (array of reported weak spans) for every row.
 
-    Texts are read once and never shuffled; only parts of texts with weak parts are.
+    Texts are read once and never shuffled; only parts of texts with weak parts are. What is linked is written before it
+    is joined back, so that copies of one text can be split in that join.
     """
     text = whole(F.col(text_col))
-    found = docs.select(*keep_cols, text_key(F.col(text_col)).alias("text_key"), text.alias("_text"), base_spans(text).alias("base"))
-    found = found.select(*keep_cols, "text_key", "base", weak_spans(F.col("_text"), F.col("base")).alias("weak"))
+    rest = [c for c in keep_cols if c not in ("base", "linked")]
+    row = F.struct(*[F.col(c) for c in rest], F.lit(0).alias("_")).alias("_row")
+    found = docs.select(row, text_key(F.col(text_col)).alias("text_key"), text.alias("_text"), base_spans(text).alias("base"))
+    found = found.select("_row", "text_key", "_text", "base", weak_spans(F.col("_text"), F.col("base")).alias("weak"))
+    both = lambda m: m.rlike("[0-9]") & m.rlike("[a-f]")
+    hexed = lambda x: (x["rank"] == KINDS.index("hex")) & both(F.substring("_text", x["start"] + 1, x["end"] - x["start"]))
+    secret = F.transform("base", lambda x: (x["rank"] == KINDS.index("assign")) | hexed(x))
+    found = found.select("_row", "text_key", "base", "weak", F.when(F.size("weak") > 0, secret).alias("proofs"))
     found = stage(found, "secret-spans")
-    parts = found.where(F.size("weak") > 0).select("text_key", F.explode(F.concat("base", "weak")).alias("p")).select("text_key", "p.*")
-    linked = link(parts, scope).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias("linked"))
+    part = lambda x, proof: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), proof.alias("secret"))
+    proved = F.concat(F.transform("base", lambda x, i: part(x, F.get("proofs", i))), F.transform("weak", lambda x: part(x, x["rank"] == KINDS.index("weak"))))
+    parts = found.where(F.size("weak") > 0).select("text_key", F.explode(proved).alias("p")).select("text_key", "p.*").distinct()
+    linked = link(stage(parts, "secret-parts"), scope).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias("linked"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    return found.join(linked, "text_key", "left").select(*keep_cols, "base", F.coalesce("linked", none).alias("linked"))
+    out = found.join(stage(linked, "secret-links"), "text_key", "left")
+    return out.select(*[F.col("_row")[c].alias(c) for c in rest], "base", F.coalesce("linked", none).alias("linked"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
