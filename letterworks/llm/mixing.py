@@ -10,8 +10,11 @@ bins of bounded size, so a large source is spread over many tasks.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; documents without words are taken as 0 words; a source without
-words has target 0; repeated rows are documents of their own; an empty table
-gives an empty result. Reruns give the same rows.
+words has target 0; repeated rows are documents of their own, and those of equal id
+and size may be taken in any order; texts of any length count whole; other columns of
+the table, whatever their names, are not read; an empty table gives an empty result.
+Reruns give the same rows. A source whose multiplier is not found raises an error
+instead of missing its target.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from letterworks.session import prepare, stage, table
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
 MAX_COPIES = 2
-STEPS = 30
+#: Newton steps before the bracket of a source is only halved, and steps in all (halving to the last digit takes 60).
+STEPS, MOST_STEPS = 30, 100
 TOLERANCE = 1e-6
 #: Documents in a rounding bin on average.
 BIN_DOCS = 2000
@@ -67,12 +71,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return sizes.sparkSession.createDataFrame(data, schema)
 
 
-def balance(histogram: DataFrame, targets: DataFrame, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def balance(histogram: DataFrame, targets: DataFrame, steps: int = STEPS, most_steps: int = MOST_STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """``targets`` plus the multiplier of each source, by Newton steps safeguarded by a bracket.
 
     ``histogram``: source, x (size over the source's mean size), size, n. At a
     multiplier ``m`` a source takes ``sum n * size * min(2, exp(m * x))``, which
-    grows with ``m``; a step that leaves the bracket is replaced by its middle.
+    grows with ``m``; a step that leaves the bracket is replaced by its middle, and
+    after ``steps`` all are.
     Each step's sums come from one aggregation; the driver holds a row for each
     source.
     """
@@ -82,7 +87,7 @@ def balance(histogram: DataFrame, targets: DataFrame, steps: int = STEPS, tolera
     for s, v in state.items():
         if s not in open_:
             v["m"] = None if v["t"] > 0 else -np.inf
-    for _ in range(steps):
+    for turn in range(most_steps):
         if not open_:
             break
         at = spark.createDataFrame([(s, state[s]["m"]) for s in open_], "s string, m double")
@@ -103,8 +108,12 @@ def balance(histogram: DataFrame, targets: DataFrame, steps: int = STEPS, tolera
                 open_.discard(r.s)
                 continue
             v["hi" if gap > 0 else "lo"] = v["m"]
-            step = v["m"] - gap / r.slope if r.slope > 0 else np.inf
+            step = v["m"] - gap / r.slope if r.slope > 0 and turn < steps else np.inf
             v["m"] = step if v["lo"] < step < v["hi"] else (v["lo"] + v["hi"]) / 2
+            if v["m"] in (v["lo"], v["hi"]):  # the bracket has no number inside: this is the multiplier
+                open_.discard(r.s)
+    if open_:
+        raise ArithmeticError(f"no multiplier found for {len(open_)} sources after {most_steps} steps")
     found = [(s, v["m"]) for s, v in state.items()]
     found = spark.createDataFrame(found, "s string, multiplier double")
     return targets.join(found, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -139,14 +148,9 @@ def _round_bin(rows: pd.DataFrame) -> pd.DataFrame:
 
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """doc_id, size, source_size, target, rate, copies, taken for every document."""
-    sizes = stage(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            n_words(F.col(text_col)).alias("size"),
-        ),
-        "mix-sizes",
-    )
+    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    row_key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "size")
+    sizes = stage(sizes.withColumns({"row_key": row_key, "place": F.monotonically_increasing_id()}), "mix-sizes")
     targets = stage(source_targets(sizes), "mix-targets")
     t = targets.select(F.col("source").alias("s"), "n_docs", "source_size", "target")
     histogram = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("size") > 0)
@@ -162,12 +166,11 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
         .otherwise(F.least(F.exp(F.least(m * x, F.lit(1.0))), F.lit(float(MAX_COPIES))))
     )
     bins = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BIN_DOCS)).cast("int")
-    rated = (
-        sizes.join(solved, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("rate", rate)
-        .withColumn("row_key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "size"))
-        .withColumn("bin", F.pmod("row_key", bins))
-    )
+    rated = sizes.join(solved, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", rate)
+    # Bins are drawn by id and size. Rows that repeat both oftener than a bin holds are alike, so any order spreads them.
+    often = stage(sizes.groupBy("row_key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BIN_DOCS), "mix-often")
+    spread = F.when(F.col("rows").isNull(), F.col("row_key")).otherwise(F.col("place"))
+    rated = rated.join(often, "row_key", "left").withColumn("bin", F.pmod(spread, bins))
     schema = "doc_id long, size long, source_size long, target double, rate double, copies long"
     rounded = rated.select("s", "bin", "doc_id", "size", "source_size", "target", "rate", "row_key").groupBy("s", "bin").applyInPandas(_round_bin, schema)
     return rounded.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
