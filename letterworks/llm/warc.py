@@ -4,15 +4,23 @@ Reading plans one partition for each group of archive files. Record types and
 header predicates are pushed down; each record's headers are parsed first, and
 the payload of an unwanted record is not inflated: archives written here carry
 the length of each gzip member in the member's own header, so the reader seeks to
-the next one. Foreign archives (``.warc``, ``.warc.gz``) are read too.
+the next one. Foreign archives (``.warc``, ``.warc.gz``) are read too, whether each
+record is a gzip member of its own or a member holds many; payloads of unwanted
+records are then inflated piece by piece and dropped.
 
 Writing is safe to retry: tasks write files of their own, and a manifest that
 lists the files of the successful attempts is written at the commit; the reader
 takes only those files. Files are opened through ``pyarrow.fs``, so any folder it
 knows (``file``, ``hdfs``, ``s3`` ...) works on all executors.
 
-Defined results: a null payload is empty; null urls and ids have no header and
-read as null; of equal payloads of at least ``MIN_REVISIT`` bytes the one with the
+Defined results: an archive that breaks off or is damaged gives all records before
+the damage and one row of type ``damaged`` with the file, the offset and nulls
+elsewhere, so the loss can be seen; the rest of that file is not read. Records of one
+member have its offset. Urls read back as they were, whatever characters they hold:
+those with blanks or controls have a header of their own (as JSON) beside
+``WARC-Target-URI``. A null payload is empty; a payload of any length is one record;
+null urls and ids have no header and read as null; other columns of the table,
+whatever their names, are not written; of equal payloads of at least ``MIN_REVISIT`` bytes the one with the
 smallest id is the response (all rows with that id are) and a group without ids
 has responses only; an empty table gives an empty archive.
 """
@@ -42,7 +50,7 @@ from pyspark.sql.datasource import (
 )
 
 from letterworks.llm.columns import whole
-from letterworks.session import prepare, scratch, table
+from letterworks.session import prepare, scratch, stage, table
 
 SCHEMA = (
     "file string, offset long, record_type string, record_id string, target_uri string, date string, page_id long, "
@@ -51,6 +59,7 @@ SCHEMA = (
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 WRITE_COLUMNS = ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
 MIN_REVISIT = 100
+DAMAGED = "damaged"
 FILE_BYTES = 128 << 20
 HEAD_BYTES = 8192
 #: Fixed values of the WARC and gzip formats.
@@ -82,7 +91,10 @@ def record_bytes(page_id, url, payload, digest, record_type, refers_to, date="19
         ("Content-Length", str(len(block))),
     ]
     if url is not None:
-        heads.append(("WARC-Target-URI", " ".join(url.split())))
+        shown = " ".join(url.split())
+        heads.append(("WARC-Target-URI", shown))
+        if shown != url or not url:
+            heads.append(("X-Target-URI", json.dumps(url)))
     if page_id is not None:
         heads.append(("X-Page-Id", str(page_id)))
     if record_type == "revisit":
@@ -100,7 +112,7 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 
 class _Member:
-    """One gzip member at an offset, inflated no further than asked for."""
+    """One gzip member at an offset, inflated no further than asked for. ``out`` is what is inflated and not yet passed."""
 
     def __init__(self, file, offset: int):
         self.file, self.offset, self.out = file, offset, b""
@@ -131,8 +143,9 @@ class _Member:
         return found + len(mark)
 
     def upto(self, n: int) -> bytes:
-        while len(self.out) < n and self._more(max(n - len(self.out), 1)):
-            pass
+        while len(self.out) < n:
+            if not self._more(max(n - len(self.out), 1)):
+                raise ValueError("a record that breaks off")
         return self.out[:n]
 
     def _more(self, n: int) -> bool:
@@ -143,18 +156,25 @@ class _Member:
             data = self.file.read_at(max(1 << 16, n // 4), self.next)
             self.next += len(data)
             if not data:
-                return False
+                raise ValueError("a member that breaks off")
         self.out += self.unpack.decompress(data, n)
         return True
 
-    def end(self) -> int:
+    def passed(self, n: int) -> int | None:
+        """Go behind the record of ``n`` bytes: the offset of the next member, or None if this one holds more records."""
         if self.length:
+            if self.offset + self.length > self.file.size():
+                raise ValueError("a member that breaks off")
             return self.offset + self.length
-        while not self.unpack.eof:  # a foreign member has to be inflated to find its end
+        while len(self.out) < n:
+            n -= len(self.out)
             self.out = b""
             if not self._more(1 << 20):
-                break
-        return self.next - len(self.unpack.unused_data) + 8
+                raise ValueError("a record that breaks off")
+        self.out = self.out[n:].lstrip(b"\r\n")
+        while not self.out and self._more(HEAD_BYTES):
+            self.out = self.out.lstrip(b"\r\n")
+        return None if self.out else self.next - len(self.unpack.unused_data) + 8
 
 
 class _Plain:
@@ -176,8 +196,11 @@ class _Plain:
             self.out += self.file.read_at(n - len(self.out), self.offset + len(self.out))
         return self.out[:n]
 
-    def end_of(self, n: int) -> int:
-        return self.offset + n + 4
+    def passed(self, n: int) -> int:
+        if self.offset + n > self.file.size():
+            raise ValueError("a record that breaks off")
+        at = self.offset + n
+        return at + 4 if self.file.read_at(4, at) == b"\r\n\r\n" else at
 
 
 def _heads(block: bytes) -> dict[str, str]:
@@ -187,41 +210,59 @@ def _heads(block: bytes) -> dict[str, str]:
 
 def records(file, name: str, payload: bool, wanted) -> Iterator[tuple]:
     """The rows of one archive. ``wanted`` sees a row without its payload and decides before that is inflated."""
-    offset, size = 0, file.size()
+    offset, size, record = 0, file.size(), None
     while offset < size:
-        start = file.read_at(2, offset)
-        packed = start == b"\x1f\x8b"
-        record = _Member(file, offset) if packed else _Plain(file, offset)
-        body = record.until(b"\r\n\r\n")
-        heads = _heads(record.out[:body])
-        length = int(heads.get("content-length", 0))
-        kind = heads.get("warc-type")
-        row = {
-            "file": name,
-            "offset": offset,
-            "record_type": kind,
-            "record_id": heads.get("warc-record-id"),
-            "target_uri": heads.get("warc-target-uri"),
-            "date": heads.get("warc-date"),
-            "page_id": int(heads["x-page-id"]) if "x-page-id" in heads else None,
-            "refers_to": int(heads["x-refers-to-page"]) if "x-refers-to-page" in heads else None,
-            "payload_digest": heads.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-            "payload_bytes": None,
-            "payload": None,
-        }
-        if wanted(row):
-            http, at = {}, body
-            if "application/http" in heads.get("content-type", "") and length:
-                inner = record.upto(body + min(length, HEAD_BYTES))[body:].find(b"\r\n\r\n")
-                if inner >= 0:
-                    http, at = _heads(record.out[body : body + inner]), body + inner + 4
-            stored = body + length - at
-            row["payload_bytes"] = int(http["content-length"]) if http.get("content-length", "").isdigit() else stored
-            if payload and kind != "revisit":
-                row["payload"] = record.upto(body + length)[at:]
-                row["payload_bytes"] = len(row["payload"])
-            yield tuple(row[c] for c in COLUMNS)
-        offset = record.end() if packed else record.end_of(body + length)
+        try:
+            if record is None:
+                packed = file.read_at(2, offset) == b"\x1f\x8b"
+                record = _Member(file, offset) if packed else _Plain(file, offset)
+            found, n = _record(record, name, payload, wanted)
+            after = record.passed(n)
+        except (ValueError, IndexError, struct.error, zlib.error):
+            damaged = dict.fromkeys(COLUMNS) | {"file": name, "offset": offset, "record_type": DAMAGED}
+            if wanted(damaged):
+                yield tuple(damaged.values())
+            return
+        if found:
+            yield found
+        if after is not None:
+            offset, record = after, None
+
+
+def _record(record: _Member | _Plain, name: str, payload: bool, wanted) -> tuple[tuple | None, int]:
+    """The row of a record, None if it is not wanted, and the record's bytes."""
+    body = record.until(b"\r\n\r\n")
+    if not record.out.startswith(b"WARC/"):
+        raise ValueError("no record")
+    heads = _heads(record.out[:body])
+    length = int(heads.get("content-length", 0))
+    kind = heads.get("warc-type")
+    row = {
+        "file": name,
+        "offset": record.offset,
+        "record_type": kind,
+        "record_id": heads.get("warc-record-id"),
+        "target_uri": json.loads(heads["x-target-uri"]) if "x-target-uri" in heads else heads.get("warc-target-uri"),
+        "date": heads.get("warc-date"),
+        "page_id": int(heads["x-page-id"]) if "x-page-id" in heads else None,
+        "refers_to": int(heads["x-refers-to-page"]) if "x-refers-to-page" in heads else None,
+        "payload_digest": heads.get("warc-payload-digest", "").removeprefix("sha256:") or None,
+        "payload_bytes": None,
+        "payload": None,
+    }
+    if not wanted(row):
+        return None, body + length
+    http, at = {}, body
+    if "application/http" in heads.get("content-type", "") and length:
+        inner = record.upto(body + min(length, HEAD_BYTES))[body:].find(b"\r\n\r\n")
+        if inner >= 0:
+            http, at = _heads(record.out[body : body + inner]), body + inner + 4
+    stored = body + length - at
+    row["payload_bytes"] = int(http["content-length"]) if http.get("content-length", "").isdigit() else stored
+    if payload and kind != "revisit":
+        row["payload"] = record.upto(body + length)[at:]
+        row["payload_bytes"] = len(row["payload"])
+    return tuple(row[c] for c in COLUMNS), body + length
 
 
 class Files(InputPartition):
@@ -353,15 +394,21 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 
 def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The rows to write: ``WRITE_COLUMNS``. Only digests that occur twice are joined back."""
+    """The rows to write: ``WRITE_COLUMNS``.
+
+    The first page of each digest that occurs twice is found on narrow rows and written, so that Spark can split a
+    very common payload in the join; payloads too small to be revisited are spread over all tasks.
+    """
     payload = F.encode(whole(F.col(html_col)), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
-    large = rows.where(F.octet_length("payload") >= MIN_REVISIT)
-    firsts = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.where("n > 1 and first is not null").select("payload_digest", "first")
+    large = F.octet_length("payload") >= MIN_REVISIT
+    firsts = rows.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = firsts.where("n > 1 and first is not null").select(F.col("payload_digest").alias("key"), "first")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    out = rows.join(firsts, "payload_digest", "left").withColumn("record_type", F.when(again, "revisit").otherwise("response"))
+    key = F.when(large, F.col("payload_digest")).otherwise(F.hex(F.xxhash64("page_id", "url")))
+    out = rows.withColumn("key", key).join(stage(firsts, "warc-firsts"), "key", "left")
+    out = out.withColumn("record_type", F.when(again, "revisit").otherwise("response"))
     return out.withColumn("refers_to", F.when(again, F.col("first"))).select(*WRITE_COLUMNS)
 
 
