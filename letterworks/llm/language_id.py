@@ -12,7 +12,12 @@ Learning sees text and language of documents with ``crc32(doc_id) % FOLDS <> 0``
 only; prediction sees the text only. Defined results: a text that is null or has
 no letter is ``und`` with score 0; without training documents every text is; a
 row with a null id is predicted, not learned from, and not held out; null
-languages are not learned from; repeated rows are predicted each.
+languages are not learned from; repeated rows are predicted each; of languages with
+equal logits the first in order is predicted; a table too small to spare documents
+for the temperature keeps it at 1, and one whose documents all fall to it is fitted on
+them; texts of any length are scored whole; columns called ``lang_pred`` or ``score``
+give way to the results, all others are returned whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 from letterworks.llm.textvec import pieces
 from letterworks.session import prepare, stage, table
@@ -216,8 +222,13 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
         w, bias = fit(samples, len(order))
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([bias.tobytes()], pa.binary())], names=["w", "bias"])
 
+    fitting = sample.where("not calibrate")
+    if fitting.isEmpty():
+        fitting = sample
     # The sample is bounded, so one task can hold it; rows come in a fixed order.
-    fitted = sample.where("not calibrate").select("text", "lang", "id").repartition(1).sortWithinPartitions("id", "lang", F.xxhash64("text")).mapInArrow(learn, "w binary, bias binary").first()
+    fitted = fitting.select("text", "lang", "id").repartition(1).sortWithinPartitions("id", "lang", F.xxhash64("text")).mapInArrow(learn, "w binary, bias binary").first()
+    if fitted is None:  # the draw took no document at all
+        return Model(langs, idf, np.zeros((BUCKETS, len(langs))), np.zeros(len(langs)))
     model = Model(langs, idf, np.frombuffer(fitted.w, np.float32).reshape(BUCKETS, -1), np.frombuffer(fitted.bias))
     rest = scored(sample.where("calibrate").select("text", "lang"), model, spark).where("has").select("lang", "logits").toPandas()
     if len(rest):
@@ -226,36 +237,37 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
 
 
 def scored(docs: DataFrame, model: Model, spark: SparkSession) -> DataFrame:
-    """The other columns of ``docs``, logits, and ``has`` (a letter)."""
+    """The columns of ``docs`` but ``text``, logits, and ``has`` (a letter). The others are read by place, so any names do."""
     shared = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "text"]
-    types = dict(docs.dtypes)
+    rest = [f for f in docs.schema.fields if f.name != "text"]
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             logits, has = np.zeros((batch.num_rows, m.table.shape[1])), np.zeros(batch.num_rows, bool)
-            for row, raw, offs in pieces(batch.column(batch.schema.get_field_index("text"))):
+            for row, raw, offs in pieces(batch.column(at)):
                 logits[row : row + len(offs) - 1], has[row : row + len(offs) - 1] = m.logits(raw, offs)
-            own = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(list(logits), pa.list_(pa.float64())), pa.array(has)], names=[*rest, "logits", "has"])
+            own = [c for i, c in enumerate(batch.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(list(logits), pa.list_(pa.float64())), pa.array(has)], names=[*[f.name for f in rest], "logits", "has"])
 
-    return docs.mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in rest], "logits array<double>", "has boolean"]))
+    return docs.mapInArrow(run, StructType([*rest, StructField("logits", ArrayType(DoubleType())), StructField("has", BooleanType())]))
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, plus ``lang_pred`` and ``score`` (the calibrated probability)."""
-    rest = [c for c in docs.columns if c != text_col and c not in ("lang_pred", "score", "logits", "has")]
+    rest = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
     if model is None:
         return docs.select(*rest, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shaped = docs.select(*rest, F.col(text_col).alias("text")) if text_col == "text" or "text" not in rest else docs.select(*[c for c in rest if c != "text"], F.col(text_col).alias("text"))
-    out = scored(shaped, model, docs.sparkSession)
+    row = F.struct(*[F.col(c) for c in rest], F.lit(0).alias("_")).alias("_row")
+    out = scored(docs.select(row, F.col(text_col).alias("text")), model, docs.sparkSession)
     best = F.array_max("logits")
     total = F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp((x - best) / model.t))
     names = F.array(*[F.lit(k) for k in model.langs])
     lang = F.when(F.col("has"), F.get(names, (F.array_position("logits", best) - 1).cast("int"))).otherwise(UNKNOWN)
-    kept = [c for c in shaped.columns if c != "text"]
-    return out.select(*kept, lang.alias("lang_pred"), F.when(F.col("has"), 1 / total).otherwise(0.0).alias("score"))
+    # In a step of its own, so that no name of the table is taken for one of these columns.
+    out = out.select("_row", lang.alias("lang_pred"), F.when(F.col("has"), 1 / total).otherwise(0.0).alias("score"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in rest], "lang_pred", "score")
 
 
 def labelled_rows(docs: DataFrame) -> DataFrame:
