@@ -9,7 +9,7 @@ from letterworks.llm.line_dedup import OP7_SQL, op7_line_dedup
 from letterworks.llm.lm_scoring import op8_lm_scoring
 from letterworks.llm.mixing import op9_mixing
 from letterworks.llm.near_dedup import op5_near_dedup
-from letterworks.llm.quality_rules import op4_quality_rules
+from letterworks.llm.quality_rules import OP4_SQL, op4_quality_rules
 from letterworks.llm.secrets import op3_secret_scan
 from letterworks.llm.warc import OP1_SQL, op1_warc
 
@@ -29,4 +29,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op4_quality_rules": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_chat_format": OP10_SQL}

@@ -44,3 +44,26 @@ def secrets(text):
     listed = [f"{k}:{s}:{e}" for s, _, e, k in found]
     n = Counter(k for *_, k in found)
     return n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(listed).encode()).hexdigest(), listed
+
+
+def weak_parts(text, patterns, base):
+    """(start, end, role) of the parts to link: ``patterns`` are (pattern, role, test of the match)."""
+    found = set()
+    for pattern, role, test in patterns:
+        found |= {(m.start(), m.end(), role) for m in re.finditer(pattern, text) if test(m)}
+    over = lambda x, y: x[0] < y[1] and y[0] < x[1]
+    names = [x for x in found if x[2] == "ident"]
+    found = {x for x in found if x[2] != "endpoint" or not any(over(x, n) for n in names)}
+    return sorted(x for x in found if not any(over(x, b) for b in base))
+
+
+def links(text, patterns, scope=200):
+    """Weak parts with a complementary part in scope, by pairs."""
+    text = text or ""
+    base = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in secrets(text)[4])]
+    weak = weak_parts(text, patterns, base)
+    digits = lambda x: x[2] == "hex" and (text[x[0] : x[1]].isdigit() or text[x[0] : x[1]].isalpha())
+    proof = [x for x in base if x[2] == "assign" or x[2] == "hex" and not digits(x)] + [x for x in weak if x[2] == "weak"]
+    company = [x for x in base if x[2] == "access"] + [x for x in weak if x[2] != "weak"]
+    near = lambda x, y: x[0] <= y[1] + scope and x[1] >= y[0] - scope
+    return [x for x in weak if any(near(y, x) for y in (company if x[2] == "weak" else proof))]

@@ -57,6 +57,17 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language_id.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_language_of_one_labelled_row(spark):
+    """Whether the row falls to the fit or to the temperature."""
+    falls = {r.id: r.c for r in spark.range(1, 60).selectExpr("id", "pmod(hash(id, 1), 1000) < 250 c").collect()}
+    for want in (True, False):
+        i = next(i for i, c in falls.items() if c == want)
+        df = spark.createDataFrame([(i, "the cat", "en")], "id long, text string, lang string")
+        model = language_id.train(df)
+        out = language_id.predict(df.selectExpr("id doc_id", "text", "1 as logits", "2 as has", "3 as _row"), model)
+        assert out.columns == ["doc_id", "logits", "has", "_row", "lang_pred", "score"] and [r.lang_pred for r in out.collect()] == ["en"]
+
+
 def test_elastic_net_makes_sparse_weights():
     rng = np.random.default_rng(0)
     samples = [(np.array([label, 2 + int(rng.integers(0, 500))]), np.array([1.0, 0.01]), label) for label in rng.integers(0, 2, 400).tolist()]

@@ -205,3 +205,36 @@ def test_foreign_archives(spark, tmp_path):
         got = warc.read_warc(spark, str(tmp_path), payload).where("target_uri <> 'http://x/0'").collect()
         assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((i, 5000 * i) for i in range(1, 6) for _ in range(2))
         assert all((r.payload is not None) == payload for r in got)
+
+
+def test_many_records_in_a_member_and_damage(spark, tmp_path):
+    import gzip
+
+    data = [warc.record_bytes(i, f"http://x/{i}", bytes([65 + i]) * i * 5000, "ab", "response", None) for i in range(6)]
+    one = gzip.compress(b"".join(data))
+    (tmp_path / "one.warc.gz").write_bytes(one + gzip.compress(b"".join(data[:2])))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(data[0]) + gzip.compress(data[5])[:-30])
+    (tmp_path / "cut.warc").write_bytes(b"".join(data[:3])[:-100])
+    (tmp_path / "own.warc.gz").write_bytes(warc.member(data[1]) + warc.member(data[2])[:-20])
+    (tmp_path / "junk.warc").write_bytes(b"no archive at all\r\n\r\n")
+    (tmp_path / "zip.warc.gz").write_bytes(b"\x1f\x8b\x08")
+    for payload in (True, False):
+        rows = warc.read_warc(spark, str(tmp_path), payload).collect()
+        got = {f: sorted((r.page_id, r.payload_bytes) for r in rows if r.file == f and r.record_type == "response") for f in {r.file for r in rows}}
+        assert got == {
+            "one.warc.gz": sorted([(i, 5000 * i) for i in range(6)] + [(0, 0), (1, 5000)]),
+            "cut.warc.gz": [(0, 0)] if payload else got["cut.warc.gz"], "cut.warc": [(0, 0), (1, 5000)] if payload else got["cut.warc"],
+            "own.warc.gz": [(1, 5000)] if payload else got["own.warc.gz"], "junk.warc": [], "zip.warc.gz": [],
+        }
+        assert sorted(r.file for r in rows if r.record_type == "damaged") == ["cut.warc", "cut.warc.gz", "junk.warc", "own.warc.gz", "zip.warc.gz"]
+        assert all(bytes(r.payload) == bytes([65 + r.page_id]) * r.page_id * 5000 for r in rows if r.payload is not None)
+    (r,) = warc.read_warc(spark, str(tmp_path)).where("target_uri = 'http://x/4'").collect()
+    assert r.file == "one.warc.gz" and len(r.payload) == 20_000
+
+
+def test_urls_read_back_as_they_were(spark, tmp_path):
+    urls = ["http://x/a  b", " lead", "tab\there", "two\r\nlines: x", "", "é ü", "plain", '"quoted"']
+    df = spark.createDataFrame([(i, u, "p") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    warc.write_warc(df, str(tmp_path / "w"))
+    assert [r.target_uri for r in warc.read_warc(spark, str(tmp_path / "w")).orderBy("page_id").collect()] == urls
+    assert warc.read_warc(spark, str(tmp_path / "w")).where("target_uri = 'http://x/a  b'").count() == 1
