@@ -92,7 +92,8 @@ def test_lm_base_is_brute_force_and_the_model_beats_it(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id, 10), len(ts), sum(c[x] > 0 for x in ts), total)
         assert r.base_score == pytest.approx(sum(math.log10(c[x] + 0.1) - log_all for x in ts), rel=1e-9)
     tests = [r for r in out if r.held_out]
-    assert sum(r.score for r in tests) > sum(r.base_score for r in tests)
+    gain = sum(r.score - r.base_score for r in tests) / sum(r.n_tokens for r in tests)
+    assert gain > 0.15  # log10 for each held-out word
 
 
 def test_tail_words_are_joined(spark, monkeypatch):
@@ -108,15 +109,34 @@ def test_tail_words_are_joined(spark, monkeypatch):
 
 def test_lm_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "a " * 50_000), (3, "a"), (3, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as row", "1 as n")
-    df = df.select("doc_id", "text")
-    out = lm_scoring.score(df, lm_scoring.in_training(df.doc_id)).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as row", "1 as n", "2 as n_tokens", "3 as key", "4 as ids", "5 as _row", "6 as tail_log")
+    out = lm_scoring.score(df, lm_scoring.in_training(df.doc_id))
+    assert out.columns == ["doc_id", "row", "n", "key", "ids", "_row", "tail_log", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    out = out.collect()
+    assert {(r.row, r.n, r.key, r.ids) for r in out} == {(7, 1, 3, 4)}
     assert sorted(r.n_tokens for r in out) == [1, 1, 2, 2, 3, 50_001] and all(r.score <= 0 and math.isfinite(r.score) for r in out)
     assert lm_scoring.score(df.limit(0), lm_scoring.in_training(df.doc_id)).count() == 0
     none = lm_scoring.score(df, lm_scoring.F.lit(False)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in none)
 
 
+def test_same_model_for_any_layout_and_all_documents_are_learned_from(spark, monkeypatch):
+    """Trainers of few words, so that parameters are averaged in a tree of several levels."""
+    monkeypatch.setattr(lm_scoring, "FAN", 3)
+    df = docs(spark).where("doc_id < 400").select("doc_id", "text")
+    seen = []
+    learn = gru.Gru.learn
+    score = lm_scoring.train
+    for layout in (df.repartition(1), df.repartition(7, "text")):
+        counts = lm_scoring.word_counts(layout.select("text"))
+        lex = lm_scoring.lexicon(counts)
+        rows = lm_scoring.coded_rows(layout.select(lm_scoring.F.xxhash64("doc_id", "text").alias("key"), "text"), lex)
+        assert rows.agg({"n_tokens": "sum"}).first()[0] == lex.total
+        seen.append(score(rows.select("key", "ids"), lex, trainer_tokens=20_000).flat())
+    assert np.array_equal(*seen) and learn is gru.Gru.learn
+    assert sorted(x for r in lm_scoring.ROUNDS for x in r) == list(range(16))  # every document is in one round
+
+
 def model(n=100):
     rng = np.random.default_rng(2)
     return gru.Gru.start(np.sort(rng.integers(1, 50, n))[::-1].astype(float), 20.0)
@@ -124,7 +144,8 @@ def model(n=100):
 
 def test_probabilities_sum_to_one():
     m = model()
-    h = np.random.default_rng(1).normal(0, 0.5, (1, gru.HIDDEN)).astype(np.float32)
+    h = np.random.default_rng(1).normal(0, 0.5, (1, gru.HIDDEN + 1)).astype(np.float32)
+    h[:, gru.HIDDEN] = 1
     targets = np.arange(101)  # the last stands for all other words
     total = np.exp(m.log_probs(np.repeat(h, 101, axis=0), targets)).sum()
     assert total == pytest.approx(1, abs=1e-4)
@@ -140,21 +161,43 @@ def test_state_is_carried_through_whole_texts():
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         h, total, last = np.zeros((1, gru.HIDDEN), np.float32), 0.0, m.size + 1
         for word in ids[a:b]:
-            h = m.advance(h, np.array([last]))
-            total += m.log_probs(h, np.array([word]))[0]
+            h = m.advance(h, m.p["inputs"][[last]])[0]
+            total += m.log_probs(np.append(h, [[np.float32(1)]], axis=1), np.array([word]))[0]
             last = word
         want.append(total)
     assert m.score(ids, bounds) == pytest.approx(want, abs=1e-2)
 
 
-def test_gradients_are_those_of_the_loss():
-    """A step on one window lowers its loss, and words in a fixed order are learned."""
+def test_gradients_are_those_of_the_loss(monkeypatch):
+    """Every gradient that a window yields against differences of the loss, and words in a fixed order are learned."""
+    m = model(100)
+    for k in ("classes", "words"):  # larger weights than at the start, so that states matter
+        m.p[k][..., : gru.HIDDEN, :] *= 20
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 101, 60)
+    bounds = np.array([0, 25, 25, 60])  # windows of 25 and 32 words, and one of 3 behind
+    grads = {}
+    monkeypatch.setattr(m, "_move", lambda name, at, g, memory: grads.setdefault(name, []).append((at, g.copy())))
+    m._learn_window(ids, np.array([25, 0]), np.array([57, 25]), np.array([25, 0]), np.zeros((2, gru.HIDDEN), np.float32), m.memory())
+    whole = {k: np.zeros(v.shape) for k, v in m.p.items()}
+    for k, parts in grads.items():
+        for at, g in parts:
+            whole[k][at] += g
+    loss = lambda: -m.score(ids[:57], np.array([0, 25, 57])).sum() / 57
+    for k, v in m.p.items():
+        flat, g = v.reshape(-1), whole[k].reshape(-1)
+        for i in [*np.argsort(-np.abs(g))[:6], *rng.integers(0, len(flat), 4)]:
+            was, step = flat[i], np.float32(2e-2)
+            flat[i] = was + step
+            up = loss()
+            flat[i] = was - step
+            down = loss()
+            flat[i] = was
+            assert g[i] == pytest.approx((up - down) / (2 * step), abs=1e-4, rel=0.02), (k, i)
     m = model(20)
     ids = np.tile(np.arange(10), 200)
-    bounds = np.array([0, len(ids)])
-    memory = m.memory()
+    bounds, memory = np.array([0, len(ids)]), m.memory()
     before = m.score(ids, bounds)[0]
-    for k in range(150):
-        begin = np.arange(0, 1900, 61) + k % 7
-        m.learn(ids, begin, np.full(len(begin), len(ids)), np.zeros(len(begin), np.int64), memory)
+    for _ in range(60):
+        assert m.learn(ids, bounds, memory) == len(ids)
     assert m.score(ids, bounds)[0] > 0.2 * before
