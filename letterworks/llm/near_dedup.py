@@ -1,11 +1,13 @@
 """Near-duplicate classes by consistent weighted sampling of TF-IDF shingles.
 
 A shingle is a run of five words; its weight is its count in the text times its
-IDF. Document frequencies are counted over the whole corpus in a count-min sketch
-of fixed size. The sketch's error is a fixed share of the corpus (shingles of an
-average text over its width), so frequencies below ``DF_FLOOR`` of all documents
-count as that floor and weights behave alike at every size: passages that many
-documents share weigh less, and all others the same.
+IDF, 1 + log10(1 / share of the documents with it) / ``DAMPING``. Document frequencies
+are counted over the whole corpus in a count-min sketch of fixed size. The sketch's
+error is a fixed share of the corpus, its load (shingles of an average text over its
+width), so shares below ``FLOOR_LOADS`` loads, about two in a thousand, count as that:
+every passage more common than that weighs less the more documents share it. The
+logarithm is damped because the members of a large class share their passages with the
+whole class, and their few differences would else outweigh them.
 
 Improved consistent weighted sampling draws 24 samples of each text; 8 bands of 3
 give buckets. In a bucket all members are first compared with its leader, so that
@@ -21,7 +23,9 @@ Defined results: a text without words is alone in its class; texts of fewer than
 five words are one shingle; equal texts are always one class, handled as one text
 until the end; repeated rows are rows of one class; the class id is the smallest
 document id in the class (null if it has none); an empty table gives an empty
-result.
+result; texts of any length are compared whole; of ties for the smallest id or text
+either is taken, being equal; other columns of the table, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -52,7 +56,7 @@ MIN_AGREE = 10
 BLOCK = 512
 #: Columns of a matrix of texts and shingles at once.
 TOKENS = 4096
-DF_FLOOR = 0.05
+DAMPING, FLOOR_LOADS = 2, 4
 SKETCH_BITS, SKETCH_ROWS, SKETCH_BLOCKS = 20, 2, 16
 ID_BITS = 50
 
@@ -123,9 +127,10 @@ def document_sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
 
 
 def idf_table(counts: np.ndarray, n_docs: int) -> np.ndarray:
-    """IDF of each sketch cell: 1 + log(1 / share of documents), the share at least ``DF_FLOOR``."""
-    share = np.clip(counts / max(n_docs, 1), DF_FLOOR, 1)
-    return (1 - np.log(share)).astype(np.float32)
+    """IDF of each sketch cell; shares below the sketch's error, or one document, count as that."""
+    n = max(n_docs, 1)
+    floor = min(max(1 / n, FLOOR_LOADS * counts.mean() / n), 1)
+    return (1 - np.log10(np.clip(counts / n, floor, 1)) / DAMPING).astype(np.float32)
 
 
 def weights(s: Shingles, idf: np.ndarray) -> np.ndarray:
@@ -227,7 +232,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
 
 def leader_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Links of bucket members (bucket, node, sig) with the smallest node of their bucket, so that large classes are stars."""
-    leaders = members.groupBy("bucket").agg(F.min(F.struct("node", "sig")).alias("lead"))
+    # Written, so that both sides of the join are plain and a large bucket can be split.
+    leaders = stage(members.groupBy("bucket").agg(F.min(F.struct("node", "sig")).alias("lead")), "near-leaders")
     pairs = members.join(leaders.select("bucket", F.col("lead.node").alias("a"), F.col("lead.sig").alias("sig_a")), "bucket")
     pairs = pairs.where(F.col("node") != F.col("a")).withColumnsRenamed({"node": "b", "sig": "sig_b"})
     return stage(verified(stage(_agreeing(pairs).select("a", "b").distinct(), "near-pairs"), texts, idf, threshold), "near-links")
@@ -241,10 +247,11 @@ def _blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
     """
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lead = rooted.groupBy("bucket").agg(F.min(F.struct("node", "root")).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rooted = rooted.join(lead.select("bucket", F.col("lead.root").alias("lead")), "bucket").withColumn("led", F.col("root") == F.col("lead"))
+    lead = stage(lead.select("bucket", F.col("lead.root").alias("lead")), "near-leads")
+    rooted = rooted.join(lead, "bucket").withColumn("led", F.col("root") == F.col("lead"))
     n_blocks = lambda led: F.ceil(F.count(F.when(F.col("led") == F.lit(led), 1)) / BLOCK).cast("int")
     rooted = stage(rooted, "near-rooted")
-    sizes = rooted.groupBy("bucket").agg(n_blocks(True).alias("n_led"), n_blocks(False).alias("n_rest"))
+    sizes = stage(rooted.groupBy("bucket").agg(n_blocks(True).alias("n_led"), n_blocks(False).alias("n_rest")), "near-blocks")
     place = F.xxhash64("node", "bucket")
     own = F.when(F.col("led"), -1 - F.pmod(place, F.col("n_led"))).otherwise(F.pmod(place, F.col("n_rest"))).cast("int")
     others = F.sequence(F.when(F.col("led"), F.lit(0)).otherwise(-F.col("n_led")), F.col("n_rest") - 1)
@@ -395,7 +402,7 @@ def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     rows = stage(signatures(slim, "text", idf), "near-signatures")
     nodes = rows.where("sig is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
     banded = _buckets(nodes)
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    shared = stage(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "near-shared")
     members = stage(banded.join(shared, "bucket"), "near-members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id"))
     # Joined by text and id, copies of one text lie in many tasks; one of them stays.

@@ -36,24 +36,42 @@ def shingles(text):
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def brute_classes(rows):
-    """Classes of (id, text) by pairs, on shingle counts."""
+def brute_weights(rows):
+    """Shingles of each (id, text) with their weights, from exact document frequencies."""
     s = [shingles(t) for _, t in rows]
-    parent = list(range(len(rows)))
+    df = Counter(g for c in s for g in c)
+    n = max(len(rows), 1)
+    floor = max(1 / n, near_dedup.FLOOR_LOADS * sum(df.values()) / (1 << near_dedup.SKETCH_BITS) / n)
+    idf = {g: 1 - np.log10(min(max(k / n, floor), 1)) / near_dedup.DAMPING for g, k in df.items()}
+    return [{g: k * idf[g] for g, k in c.items()} for c in s]
 
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
 
+def brute_links(rows):
+    """Pairs of places whose weighted Jaccard similarity reaches the threshold."""
+    s = brute_weights(rows)
     by = {}
     for i, c in enumerate(s):
         for g in c:
             by.setdefault(g, []).append(i)
+    total = [sum(c.values()) for c in s]
     for a, b in {p for x in by.values() for p in itertools.combinations(x, 2)}:
-        if sum((s[a] & s[b]).values()) >= 0.8 * sum((s[a] | s[b]).values()):
-            a, b = sorted((find(a), find(b)))
-            parent[b] = a
+        both = sum(min(w, s[b].get(g, 0)) for g, w in s[a].items())
+        if both >= 0.8 * (total[a] + total[b] - both):
+            yield a, b
+
+
+def brute_classes(rows):
+    """Classes of (id, text) by pairs."""
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in brute_links(rows):
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
     low = {}
     for i, (d, _) in enumerate(rows):
         low[find(i)] = min(d, low.get(find(i), d))
@@ -66,6 +84,37 @@ def test_near_classes_are_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_weights_are_those_of_exact_frequencies(spark):
+    df = docs(spark).select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    idf = near_dedup.idf_table(*near_dedup.document_sketch(df.select("text"), "text"))
+    assert np.unique(idf).size > 8
+    for (_, text), want in zip(rows, brute_weights(rows), strict=True):
+        for _, raw, offs in textvec.pieces(pa.array([text])):
+            got = near_dedup.weights(near_dedup.Shingles(raw, offs), idf)
+            assert got.sum() == pytest.approx(sum(want.values()), rel=0.01)
+            assert np.sort(got)[::-1][:5] == pytest.approx(sorted(want.values(), reverse=True)[:5], rel=0.01)
+
+
+def test_groups_of_one_template(spark):
+    """60 groups of 6 texts that all share a template: no linked pair is parted."""
+    rng = np.random.default_rng(9)
+    template = [f"t{k}" for k in range(100)]
+    rows = []
+    for g in range(60):
+        own = [f"g{g}w{k}" for k in range(60)]
+        for v in range(6):
+            w = template + own
+            for k in rng.integers(0, len(w), int(rng.integers(0, 5))):
+                w[k] = f"e{g}v{v}k{k}"
+            rows.append((len(rows), " ".join(w)))
+    out, _ = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    root = {r.doc_id: r.root for r in out.collect()}
+    pairs = list(brute_links(rows))
+    assert len(pairs) > 200 and sum(root[a] == root[b] for a, b in pairs) >= 0.98 * len(pairs)
+    assert {(a // 6 == b // 6) for a, b in pairs} == {True} and len({(i // 6, r) for i, r in root.items()}) == len(set(root.values()))
+
+
 def test_large_group_of_near_copies(spark):
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 9999, 150)]
@@ -99,6 +148,7 @@ def test_samples_agree_as_often_as_weights_overlap():
     _, raw, offs = next(textvec.pieces(pa.array(texts)))
     s = near_dedup.Shingles(raw, offs)
     idf = near_dedup.idf_table(np.zeros((2, 1 << 20)), 10)
+    assert (idf == 1.5).all()
     sim = near_dedup.similarity(pa.array(texts[:1]), pa.array(texts[1:]), idf)[0]
     assert abs(sim - 346 / (396 + 396 - 346)) < 1e-6
     x, y = near_dedup.draw(s, near_dedup.weights(s, idf))
