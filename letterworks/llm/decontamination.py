@@ -6,9 +6,11 @@ size are embedded by the CGK random walk: at each step the symbol under the
 walker is written, and a random bit of step and symbol says whether the walker
 moves on; close windows fall into step again after each edit, so edit distance
 becomes Hamming distance. Each repetition samples ``SAMPLES`` places of a walk of
-its own as a hash; the number of repetitions is the least that reaches ``RECALL``
-for items with as many edits as allowed, measured on edited items. Windows and
-items with an equal hash are verified by exact alignment.
+its own as a hash; the number of repetitions is, for each class of item sizes, the
+least that reaches ``RECALL`` for its items with as many edits as allowed, measured on
+an edited copy of every item. Windows and items with an equal hash are verified by
+exact alignment. Items of a class that ``MAX_REPEATS`` repetitions do not bring to the
+target are aligned with every window that shares a seed with them instead.
 
 Only windows that can hold a match are embedded: within the allowed edits at
 least one run of ``q`` words of the item is untouched (q, at most 3, follows from the
@@ -17,7 +19,9 @@ item's length), and it fixes where the window would lie. That test loses nothing
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.
 Defined results: null or wordless texts leak nothing; items of fewer than
 ``MIN_ITEM_WORDS`` words, which cannot identify a passage, never match; repeated
-items and documents give their own rows; empty tables give an empty result.
+items and documents give their own rows, null ids included; of windows with equally
+few edits the first is reported; texts of any length are searched whole; other columns
+of both tables, whatever their names, are not read; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -100,23 +104,20 @@ def edited(h: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def repeats_for(items: list[np.ndarray], recall: float = RECALL) -> int:
-    """The least number of repetitions with the wished mean recall on edited items (64 of them, evenly spaced)."""
+def repeats_for(items: list[np.ndarray], walks: Walks, recall: float = RECALL) -> int | None:
+    """The least number of repetitions with the wished mean recall on an edited copy of every item; None if ``walks`` has too few."""
     rng = np.random.default_rng(7)
-    hits = []
-    for h in items[:: max(1, len(items) // 64)]:
-        walks = Walks(size_class(len(h)), MAX_REPEATS)
-        other = edited(h, allowed(len(h)), rng)
-        for x in (other[: len(h)],):
-            both = np.concatenate([h, x])
-            start, size = np.array([0, len(h)]), np.array([len(h), len(x)])
-            same = [bool(np.diff(walks.keys(both, start, size, r))[0] == 0) for r in range(MAX_REPEATS)]
-            hits.append(np.mean(same))
-    share = np.maximum(np.array(hits), 1 / MAX_REPEATS)
-    for n in range(1, MAX_REPEATS):
-        if np.mean(1 - (1 - share) ** n) >= recall:
-            return n
-    return MAX_REPEATS
+    both = [x for h in items for x in (h, edited(h, allowed(len(h)), rng)[: len(h)])]
+    size = np.array([len(x) for x in both])
+    start = np.cumsum(size) - size
+    flat = np.concatenate(both)
+    missed = np.ones(len(items), bool)
+    for r in range(len(walks.places)):
+        keys = walks.keys(flat, start, size, r)
+        missed &= keys[::2] != keys[1::2]
+        if missed.mean() <= 1 - recall:
+            return r + 1
+    return None
 
 
 def alignment(item: np.ndarray, text: np.ndarray) -> int:
@@ -142,7 +143,6 @@ class Index:
             if len(h) >= MIN_ITEM_WORDS:
                 self.ids.append(i)
                 self.items.append(h)
-        self.repeats = repeats_for(self.items) if self.items else 0
         #: q -> sorted seeds, bounds of their places, and (offset in the item, size of the item) of each place.
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         found: dict[int, list] = {}
@@ -159,15 +159,22 @@ class Index:
         starts = np.cumsum(sizes) - sizes
         #: size class -> walks, and for each repetition sorted keys with their items.
         self.classes: dict[int, tuple[Walks, list[tuple[np.ndarray, np.ndarray]]]] = {}
+        #: Sizes whose items are aligned with all their seeded windows, and these items by size.
+        self.aligned: dict[int, np.ndarray] = {}
         classes = size_class(sizes) if len(sizes) else sizes
         for low in np.unique(classes).tolist():
             own = np.flatnonzero(classes == low)
-            walks, tables = Walks(low, self.repeats), []
-            for r in range(self.repeats):
+            walks, tables = Walks(low, MAX_REPEATS), []
+            repeats = repeats_for([self.items[i] for i in own], walks)
+            if repeats is None:
+                self.aligned |= {m: own[sizes[own] == m] for m in np.unique(sizes[own]).tolist()}
+                continue
+            for r in range(repeats):
                 keys = walks.keys(flat, starts[own], sizes[own], r)
                 order = np.argsort(keys, kind="stable")
                 tables.append((keys[order], own[order]))
             self.classes[low] = walks, tables
+        self.item_seeds = {i: np.unique(seed_hashes(self.items[i], seed_size(len(self.items[i])))) for own in self.aligned.values() for i in own.tolist()}
 
     def windows(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """owner, start and size of every window that can hold a match, each once."""
@@ -188,6 +195,24 @@ class Index:
         rows = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
         return rows[0], rows[1], rows[2]
 
+    def _seeded(self, w: Words, owner: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+        """Windows and items to align for the items in ``aligned``: every window that begins where a seed of the item says."""
+        out = []
+        for m, items in self.aligned.items():
+            q = seed_size(m)
+            s = seed_hashes(w.hashes, q)
+            for i in items.tolist():
+                seeds = self.item_seeds[i]
+                at = np.minimum(np.searchsorted(seeds, s), len(seeds) - 1)
+                places = np.flatnonzero(seeds[at] == s)
+                if len(places):
+                    near = np.unique(np.searchsorted(w.bounds, places, "right") - 1)
+                    first, last = np.searchsorted(places, w.bounds[near]), np.searchsorted(places, w.bounds[near + 1])
+                    for text, a, b in zip(near.tolist(), first.tolist(), last.tolist(), strict=True):
+                        own = np.flatnonzero((owner == text) & (start >= places[a] - m) & (start <= places[b - 1]))
+                        out.append(np.stack([own, np.full(len(own), i)]))
+        return out
+
     def leaks(self, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word of the window, words of the item, edits) of each leak, the best for each text and item."""
         w = Words(raw, offs, fold=True, loose=True)
@@ -204,6 +229,7 @@ class Index:
                 n = hi - lo
                 which = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 pairs.append(np.stack([np.repeat(own, n), items[which]]))
+        pairs += self._seeded(w, owner, start)
         if not pairs:
             return []
         best: dict[tuple[int, int], tuple[int, int]] = {}
