@@ -20,25 +20,31 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """
     kind = "array<struct<start:int,end:int,hit:string,part:string>>"
 
-    def located(gaps: Column) -> Column:
-        pieces = F.arrays_zip(
-            F.transform(gaps, F.length).alias("gap"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
-        )
+    def step(a: Column, x: Column) -> Column:
+        begin = a["at"] + x["gap"]
+        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
+        found = F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part" if group else "hit"].alias("part")))
+        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], found)).alias("out"))
 
-        def step(a: Column, x: Column) -> Column:
-            begin = a["at"] + x["gap"]
-            end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-            found = F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part"].alias("part")))
-            return F.struct(end.alias("at"), F.when(x["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], found)).alias("out"))
+    def in_block(a: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(a["at"].alias("at"), F.array().cast(kind).alias("out")), step)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(a["out"], F.array(d["out"])).alias("out")))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-        return F.aggregate(pieces, start, step, lambda a: a["out"])
+    def located(gaps: Column) -> Column:
+        extracted = {"hit": 0} | ({"part": group} if group else {})
+        pieces = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(n) for n, g in extracted.items()])
+        # Appending copies, so matches are gathered in blocks and the blocks in a list of their own.
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(in_blocks(pieces), start, in_block, lambda a: F.flatten(a["out"]))
 
     return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), located)).otherwise(F.array().cast(kind))
 
 
+def in_blocks(items: Column, size: int = 256) -> Column:
+    """The array cut into arrays of ``size``."""
+    return let(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda k: F.slice(x, k * size + 1, size)))
+
+
 def line_around(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """The line that holds a span, and the offset of the span in it."""
     before = F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)

@@ -7,6 +7,7 @@ spans are native expressions, so the whole pass is a narrow map without a shuffl
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,17 +45,50 @@ TYPES = (
     ("generic_letter", r"Sehr geehrte|Mit freundlichen Grüßen", 0.75),
     ("correspondence", r"\bBetreff\s*:|\bIhr Schreiben vom\b", 0.80),
 )
-AREAS = {
-    "finance": ("invoice", "receipt", "bank_statement"),
-    "insurance": ("insurance_notice", "insurance_policy", "pension_statement", "insurance_statement"),
-    "tax": ("tax_document",),
-    "health": ("medical_document",),
-    "vehicle": ("vehicle_document",),
-    "work": ("employment_document",),
-    "travel": ("travel_document",),
-    "home": ("rental_contract",),
-    "personal": ("contract", "official_letter", "official_notice", "correspondence", "certificate", "warranty"),
-    "other": ("generic_letter",),
+#: Some word of each rule that every text it holds for has, in lower case: a plain search before the pattern.
+TYPE_WORDS = {
+    "rental_contract": ("mietvertrag", "mietverhältnis"),
+    "pension_statement": ("mitteilung",),
+    "insurance_policy": ("versicherungsschein", "police"),
+    "invoice": ("rechnung",),
+    "receipt": ("kassenbon", "quittung"),
+    "bank_statement": ("kontoauszug",),
+    "insurance_statement": ("mitteilung",),
+    "insurance_notice": ("versicherung",),
+    "tax_document": ("finanzamt", "steuerbescheid"),
+    "contract": ("vertrag",),
+    "official_notice": ("aktenzeichen", "widerspruch"),
+    "official_letter": ("bezirksamt", "aktenzeichen", "behörde"),
+    "certificate": ("bescheinigung", "zertifikat", "urkunde"),
+    "warranty": ("garantie", "gewährleistung"),
+    "medical_document": ("arzt", "diagnose", "patient"),
+    "vehicle_document": ("fahrzeug", "kennzeichen", "kfz"),
+    "employment_document": ("arbeitsvertrag", "gehaltsabrechnung"),
+    "travel_document": ("buchungsnummer", "reise", "flug"),
+    "generic_letter": ("sehr geehrte", "mit freundlichen grüßen"),
+    "correspondence": ("betreff", "ihr schreiben vom"),
+}
+AREA_OF_TYPE = {
+    "rental_contract": "home",
+    "pension_statement": "insurance",
+    "insurance_policy": "insurance",
+    "invoice": "finance",
+    "receipt": "finance",
+    "bank_statement": "finance",
+    "insurance_statement": "insurance",
+    "insurance_notice": "insurance",
+    "tax_document": "tax",
+    "contract": "personal",
+    "official_notice": "personal",
+    "official_letter": "personal",
+    "certificate": "personal",
+    "warranty": "personal",
+    "medical_document": "health",
+    "vehicle_document": "vehicle",
+    "employment_document": "work",
+    "travel_document": "travel",
+    "generic_letter": "other",
+    "correspondence": "personal",
 }
 DATE_FIELDS = (
     ("valuation_date", r"wertmitteilung\s+zum|bewertungsstichtag|stand\s+zum|(?:altersvorsorgevermögen|kündigungswert|rückkaufswert).*\bzum\b", 0.97),
@@ -170,7 +204,7 @@ def dates(text: Column, ocr: Column) -> Column:
 
 def amounts(text: Column, ocr: Column) -> Column:
     """Amounts with a currency mark, typed by their line; examples, forecasts and percentages are left out."""
-    marked = F.filter(matches(text, AMOUNT), lambda x: x["hit"].rlike("(?i)EUR|€"))
+    marked = F.filter(matches(F.when(text.rlike("(?i)EUR|€"), text), AMOUNT), lambda x: x["hit"].rlike("(?i)EUR|€"))
 
     def typed(found: Column) -> Column:
         many = F.size(found) > 1
@@ -246,9 +280,13 @@ def facts(text: Column) -> Column:
 
 def document_type(text: Column) -> Column:
     """The rule with the highest base, the first of equals; less sure if rules of several types hold."""
-    rules = F.array(
+
+    def named(low: Column, words: tuple[str, ...]) -> Column:
+        return reduce(Column.__or__, [low.contains(w) for w in words])
+
+    rules = lambda low: F.array(
         *[
-            F.when(text.rlike("(?isuU)" + p), F.struct(F.lit(b).alias("base"), F.lit(-i).alias("order"), F.lit(t).alias("type"), F.lit("(?isuU)" + p).alias("pattern")))
+            F.when(named(low, TYPE_WORDS[t]) & text.rlike("(?isuU)" + p), F.struct(F.lit(b).alias("base"), F.lit(-i).alias("order"), F.lit(t).alias("type"), F.lit("(?isuU)" + p).alias("pattern")))
             for i, (t, p, b) in enumerate(TYPES)
         ]
     )
@@ -263,12 +301,12 @@ def document_type(text: Column) -> Column:
 
         return let(F.array_max(found), one)
 
-    return let(F.array_compact(rules), best)
+    return let(let(F.lower(text), lambda low: F.array_compact(rules(low))), best)
 
 
 def life_area(kind: Column) -> Column:
     """The life area of a document type's finding."""
-    areas = F.create_map(*[F.lit(x) for area, types in AREAS.items() for t in types for x in (t, area)])
+    areas = F.create_map(*[F.lit(x) for pair in AREA_OF_TYPE.items() for x in pair])
     area = areas[kind["value"]]
     return _finding("area", area, area, area, F.greatest(F.lit(0.5), F.round(kind["confidence"] - 0.04, 3)), kind["start"], kind["end"], F.array(F.lit("derived_from_document_type")))
 
@@ -280,22 +318,32 @@ def title(kind: Column, organization: Column, date: Column) -> Column:
     return _finding("title", F.when(kind["field"].isNotNull(), F.lit("title")), name, name, sure, kind["start"], kind["end"], F.array(F.lit("deterministic_composition")))
 
 
-def analyze(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``found``: an array of all findings of a document."""
+KINDS = ("type", "area", "title", "organization", "date", "amount", "identifier", "fact")
+
+
+def analyze(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """All columns of ``docs`` plus ``found``: an array of a document's findings of the given kinds; only these are looked for."""
     text, ocr = F.col(text_col), F.coalesce(F.col("ocr"), F.lit(False)) if "ocr" in docs.columns else F.lit(False)
-    out = docs.withColumns({"_d": dates(text, ocr), "_o": organizations(text), "_t": document_type(text)})
-    kind, first = F.col("_t"), F.get("_o", F.lit(0))
-    dated = F.get(F.filter("_d", lambda x: x["field"] == "document_date"), F.lit(0))
-    more = F.array(kind, life_area(kind), title(kind, first, dated))
-    found = F.concat(_present(more), "_o", "_d", amounts(text, ocr), identifiers(text, ocr), facts(text))
-    for name in ("_d", "_o", "_t"):
+    wanted = set(kinds)
+    shared = {"_d": (dates(text, ocr), {"date", "title"}), "_o": (organizations(text), {"organization", "title"}), "_t": (document_type(text), {"type", "area", "title"})}
+    shared = {name: made for name, (made, uses) in shared.items() if wanted & uses}
+    out = docs.withColumns(shared)
+    parts = []
+    if "_t" in shared:
+        kind = F.col("_t")
+        heads = {"type": lambda: kind, "area": lambda: life_area(kind), "title": lambda: title(kind, F.get("_o", F.lit(0)), F.get(F.filter("_d", lambda x: x["field"] == "document_date"), F.lit(0)))}
+        parts.append(_present(F.array(*[make() for k, make in heads.items() if k in wanted])))
+    parts += [F.col(name) for name, k in (("_o", "organization"), ("_d", "date")) if k in wanted]
+    others = {"amount": lambda: amounts(text, ocr), "identifier": lambda: identifiers(text, ocr), "fact": lambda: facts(text)}
+    parts += [make() for k, make in others.items() if k in wanted]
+    for name in shared:
         out = once(out, name)
-    return out.withColumn("found", found).drop("_d", "_o", "_t")
+    return out.withColumn("found", F.concat(*parts)).drop(*shared)
 
 
-def findings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row for each finding: doc_id and the columns of ``FINDING``."""
-    return analyze(docs, text_col).select(id_col, F.explode("found").alias("f")).select(id_col, "f.*")
+def findings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """One row for each finding of the given kinds: doc_id and the columns of ``FINDING``."""
+    return analyze(docs, text_col, kinds).select(id_col, F.explode("found").alias("f")).select(id_col, "f.*")
 
 
 def verify_evidence(found: DataFrame, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -377,7 +425,7 @@ def propose_relationships(docs: DataFrame, contracts: DataFrame, text_col: str =
 
     An equi-join on the identifier; a contract with very many documents is split by the skew join.
     """
-    named = findings(docs, text_col, id_col).where("kind = 'identifier'").select(id_col, F.col("normalized").alias("identifier")).distinct()
+    named = findings(docs, text_col, id_col, ("identifier",)).select(id_col, F.col("normalized").alias("identifier")).distinct()
     amends = docs.select(F.col(id_col).alias("_id"), F.col(text_col).rlike(AMENDS).alias("amends"))
     linked = contracts.where("reference_identifier is not null").select(F.col(id_col).alias("target_id"), F.col("reference_identifier").alias("identifier"))
     pairs = named.join(linked, "identifier").where(F.col(id_col) != F.col("target_id")).join(amends, F.col(id_col) == F.col("_id"))

@@ -127,7 +127,7 @@ SELECT 'organization' AS kind, orgs AS tp, orgs AS n_predicted, orgs AS n_expect
 UNION ALL SELECT 'identifier', ids, ids, ids, 1, 1, 1, 0 FROM n""")
 def o92_extraction_scorecard(spark, sf):
     letters = fr.letters(spark, sf)
-    found = X.findings(letters).where("kind in ('organization', 'identifier')")
+    found = X.findings(letters, kinds=("organization", "identifier"))
     o = table(spark, sf, "orders")
     k, t = F.col("o_orderkey"), F.col("o_orderkey") % 6
     i2, re8, c6 = F.lpad((F.col("o_custkey") % 97).cast("string"), 2, "0"), F.lpad(k.cast("string"), 8, "0"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")

@@ -162,8 +162,8 @@ def o21_confidence(spark, sf):
     return _docs(spark, sf).select("doc_id", F.round(T.confidence(0.3 + (k % 7) * 0.1, ocr, many), 6).alias("confidence"), F.array_join(T.confidence_notes(ocr, many), ",").alias("notes"))
 
 
-def _found(spark, sf):
-    return X.findings(fr.letters(spark, sf))
+def _found(spark, sf, kind):
+    return X.findings(fr.letters(spark, sf), kinds=(kind,))
 
 
 _TYPE = "CASE t WHEN 0 THEN 'invoice' WHEN 1 THEN 'contract' WHEN 2 THEN 'contract' ELSE 'official_letter' END"
@@ -172,12 +172,12 @@ _SURE = "CASE t WHEN 0 THEN 0.94 WHEN 1 THEN 0.92 WHEN 2 THEN 0.92 ELSE 0.9 END"
 
 @query(f"WITH {fr.BASE} SELECT doc_id, {_TYPE} AS document_type, CAST({_SURE} AS DOUBLE) AS confidence FROM base WHERE t < 4")
 def o22_document_type(spark, sf):
-    return _found(spark, sf).where("kind = 'type'").select("doc_id", F.col("value").alias("document_type"), F.round("confidence", 6).alias("confidence"))
+    return _found(spark, sf, "type").select("doc_id", F.col("value").alias("document_type"), F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"WITH {fr.BASE} SELECT doc_id, CASE WHEN t = 0 THEN 'finance' ELSE 'personal' END AS life_area, round(CAST({_SURE} AS DOUBLE) - 0.04, 3) AS confidence FROM base WHERE t < 4")
 def o23_life_area(spark, sf):
-    return _found(spark, sf).where("kind = 'area'").select("doc_id", F.col("value").alias("life_area"), F.round("confidence", 6).alias("confidence"))
+    return _found(spark, sf, "area").select("doc_id", F.col("value").alias("life_area"), F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {fr.BASE}, f AS (SELECT doc_id, ocr, unnest(CASE t WHEN 0 THEN [{{f: 'invoice_date', n: 0, c: 0.93}}, {{f: 'payment_due_date', n: 14, c: 0.94}}]
@@ -185,24 +185,24 @@ def o23_life_area(spark, sf):
   WHEN 3 THEN [{{f: 'document_date', n: 0, c: 0.93}}, {{f: 'event_date', n: 21, c: 0.84}}] ELSE [] END) AS x, d FROM base)
 SELECT doc_id, x.f AS field, strftime(d + x.n, '%Y-%m-%d') AS day, round(CAST(x.c AS DOUBLE) - CASE WHEN ocr THEN 0.12 ELSE 0 END, 2) AS confidence FROM f""")
 def o24_extract_dates(spark, sf):
-    return _found(spark, sf).where("kind = 'date'").select("doc_id", "field", F.col("normalized").alias("day"), F.round("confidence", 6).alias("confidence"))
+    return _found(spark, sf, "date").select("doc_id", "field", F.col("normalized").alias("day"), F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {fr.BASE} SELECT doc_id, CASE t WHEN 0 THEN 'invoice_total' WHEN 1 THEN 'contract_amount' ELSE 'premium' END AS field, CAST(o_totalprice AS DECIMAL(18,2)) || ' EUR' AS normalized,
  round(CASE t WHEN 0 THEN 0.98 WHEN 1 THEN 0.96 ELSE 0.97 END::DOUBLE - CASE WHEN ocr THEN 0.12 ELSE 0 END, 2) AS confidence FROM base WHERE t < 3""")
 def o25_extract_amounts(spark, sf):
-    return _found(spark, sf).where("kind = 'amount'").select("doc_id", "field", "normalized", F.round("confidence", 6).alias("confidence"))
+    return _found(spark, sf, "amount").select("doc_id", "field", "normalized", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"WITH {fr.BASE} SELECT doc_id, 'Haus ' || i2 || CASE t WHEN 0 THEN ' GmbH' WHEN 4 THEN ' KG' ELSE ' AG' END AS organization, 0.94::DOUBLE AS confidence FROM base WHERE t IN (0, 1, 2, 4)")
 def o26_extract_organizations(spark, sf):
-    return _found(spark, sf).where("kind = 'organization'").select("doc_id", F.col("value").alias("organization"), F.round("confidence", 6).alias("confidence"))
+    return _found(spark, sf, "organization").select("doc_id", F.col("value").alias("organization"), F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {fr.BASE} SELECT doc_id, 'rechnungsnummer' AS label, 'RE-' || re8 AS normalized FROM base WHERE t = 0 UNION ALL SELECT doc_id, 'kundennummer', 'KD-' || c6 FROM base WHERE t = 0
 UNION ALL SELECT doc_id, 'vertragsnummer', 'V-' || c6 FROM base WHERE t IN (1, 2) UNION ALL SELECT doc_id, 'aktenzeichen', 'AZ-' || re8 FROM base WHERE t = 3""")
 def o27_extract_identifiers(spark, sf):
-    return _found(spark, sf).where("kind = 'identifier'").select("doc_id", F.col("field").alias("label"), "normalized")
+    return _found(spark, sf, "identifier").select("doc_id", F.col("field").alias("label"), "normalized")
 
 
 @query("""SELECT c_custkey AS doc_id, unnest(['product_name', 'rental_property_address', 'tenant_name', 'landlord_name']) AS field,
@@ -211,14 +211,14 @@ def o28_extract_facts(spark, sf):
     c = table(prepare(spark), sf, "customer")
     nation, key = F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")
     text = F.concat(F.lit("Ihre RiesterRente CLASSIC "), nation, F.lit("\nMietobjekt: Weg "), key, F.lit("\nMieterin:  "), "c_name", F.lit("\nVermieter: Haus "), nation, F.lit(" GmbH\nEnde"))
-    found = X.findings(c.select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
-    return found.where("kind = 'fact'").select("doc_id", "field", "value")
+    found = X.findings(c.select(F.col("c_custkey").alias("doc_id"), text.alias("text")), kinds=("fact",))
+    return found.select("doc_id", "field", "value")
 
 
 @query(f"""WITH {fr.BASE} SELECT doc_id, CASE WHEN t < 3 THEN 'Haus ' || i2 || CASE t WHEN 0 THEN ' GmbH' ELSE ' AG' END || ' – ' || {_TYPE} ELSE {_TYPE} || ' – ' || year(d) END AS title,
  round(CASE t WHEN 3 THEN CASE WHEN ocr THEN 0.81 ELSE 0.9 END WHEN 0 THEN 0.94 ELSE 0.92 END::DOUBLE, 2) AS confidence FROM base WHERE t < 4""")
 def o29_compose_title(spark, sf):
-    return _found(spark, sf).where("kind = 'title'").select("doc_id", F.col("value").alias("title"), F.round("confidence", 6).alias("confidence"))
+    return _found(spark, sf, "title").select("doc_id", F.col("value").alias("title"), F.round("confidence", 6).alias("confidence"))
 
 
 def _spans(spark, sf):
