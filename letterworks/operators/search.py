@@ -5,6 +5,8 @@ Queries are a frame too: a batch of them is answered in one job.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +14,16 @@ from letterworks.functions import text as T
 from letterworks.functions.spans import once
 from letterworks.functions.stem import german_stem
 from letterworks.operators import extract as X
+from letterworks.session import stage
 
 TEXTS = ("title_text", "organization_text", "identifier_text", "metadata_text", "body_text")
 #: Weights of a title, organization or identifier, of metadata, and of the body.
 FIELD_WEIGHT = {"title_text": 1.0, "organization_text": 1.0, "identifier_text": 1.0, "metadata_text": 0.4, "body_text": 0.1}
 SNIPPETS, SNIPPET_CHARS, SNIPPET_LEAD = 2, 320, 120
-#: Most queries that are compared with every row; larger sets go through the postings.
-MAX_BROADCAST_QUERIES = 1000
+#: Queries that are broadcast at once to be compared with every row; larger sets are done in several blocks.
+BLOCK_QUERIES = 1000
+#: Longest run of characters by which a term is looked up in words.
+GRAM = 3
 
 
 def build_projection(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -96,16 +101,55 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     return q.withColumn("terms", F.transform(T.query_terms(F.col("q")), lambda t: T.casefold(t)))
 
 
-def match_lexical(queries: DataFrame, projection: DataFrame) -> DataFrame:
-    """Every (query, document) in which all terms of the query occur, with the score.
+def query_blocks(queries: DataFrame, key: str, size: int = BLOCK_QUERIES) -> list[DataFrame]:
+    """Any number of queries in blocks small enough to be broadcast; together all of them."""
+    n = -(-queries.count() // size)
+    return [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)] if n > 1 else [queries]
+
+
+def _grams(c: Column) -> Column:
+    """The distinct runs of 1 to ``GRAM`` characters of a word."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, GRAM + 1)])))
+
 
-    The queries are few and broadcast after their number is checked; ``search_indexed`` takes larger sets.
+def term_candidates(q: DataFrame, folded: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of the documents with the rarest term of each query (query_id, terms), by equality joins only.
+
+    A term has no blank, so a text holds it if some word of the text does. Terms meet the distinct words by their first
+    characters, words meet their documents, and of a query's terms the one in the fewest documents is taken.
+    """
+    held = stage(folded.select("doc_id", F.explode(F.array_distinct(F.split("_all", r"\s+"))).alias("word")), "search-words")
+    words = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    terms = q.select("query_id", F.explode("terms").alias("term"))
+    lead = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, GRAM))
+    grams = words.select("word", "n", F.explode(_grams(F.col("word"))).alias("gram")).join(lead.select("gram").distinct(), "gram", "left_semi")
+    within = stage(grams.join(lead, "gram").where(F.col("word").contains(F.col("term"))).select("term", "word", "n"), "search-terms")
+    docs = within.groupBy("term").agg(F.sum("n").alias("n"))
+    known = terms.join(docs, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = known.groupBy("query_id").agg(F.min(F.struct("n", "term")).alias("x")).select("query_id", "x.term")
+    # By distinct terms, so that many queries with one rarest term read its documents once.
+    found = rarest.select("term").distinct().join(within, "term").join(held, "word").select("term", "doc_id").distinct()
+    return rarest.join(found, "term").select("query_id", "doc_id")
+
+
+def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, _key) of all queries, and (_key, q, terms) of the different ones."""
+    asked = stage(prepare_queries(queries).withColumn("_key", F.sha2("q", 256)), "search-queries")
+    return asked.select("query_id", "_key"), asked.groupBy("_key").agg(F.first("q").alias("q"), F.first("terms").alias("terms"))
+
+
+def _match(q: DataFrame, projection: DataFrame) -> DataFrame:
+    """Every (_key, document) in which all terms of the query occur, with the score.
+
+    A query with terms looks only at the documents with its rarest term; one without matches every document.
     """
-    q = prepare_queries(queries)
-    if queries.limit(MAX_BROADCAST_QUERIES + 1).count() > MAX_BROADCAST_QUERIES:
-        raise ValueError("too many queries to compare with every row: use search_indexed")
+    q = stage(q, "search-distinct")
     folded = projection.withColumn("_all", T.casefold(F.concat_ws("\n", *TEXTS)))
-    pairs = folded.join(F.broadcast(q), F.forall("terms", lambda t: F.col("_all").contains(t)))
+    pairs = term_candidates(q.where(F.size("terms") > 0).withColumnRenamed("_key", "query_id"), folded).withColumnRenamed("query_id", "_key")
+    pairs = pairs.join(folded, "doc_id").join(q, "_key").where(F.forall("terms", lambda t: F.col("_all").contains(t)))
+    every = folded.join(F.broadcast(q.where(F.size("terms") == 0)))  # at most one row: the empty query
+    pairs = pairs.unionByName(every)
     low = T.casefold(F.col("q"))
     has = lambda c: T.casefold(F.col(c)).contains(low)
     score = (
@@ -118,14 +162,21 @@ def match_lexical(queries: DataFrame, projection: DataFrame) -> DataFrame:
     return pairs.withColumn("score", F.round(score, 6)).drop("_all")
 
 
-def top_k(matched: DataFrame, k: int = 10) -> DataFrame:
+def match_lexical(queries: DataFrame, projection: DataFrame) -> DataFrame:
+    """Every (query, document) in which all terms of the query occur, with the score; any number of queries, equal ones answered once."""
+    asked, q = _asked(queries)
+    return _match(q, projection).join(asked, "_key").drop("_key")
+
+
+def top_k(matched: DataFrame, k: int = 10, key: str = "query_id") -> DataFrame:
     """The best matches of each query: by score, the newest first (undated last), then id."""
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("document_date").desc_nulls_last(), F.col("doc_id").cast("string"))
+    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("document_date").desc_nulls_last(), F.col("doc_id").cast("string"))
     return matched.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def search_lexical(queries: DataFrame, projection: DataFrame, k: int = 10) -> DataFrame:
-    return top_k(match_lexical(queries, projection), k)
+    asked, q = _asked(queries)
+    return top_k(_match(q, projection), k, "_key").join(asked, "_key").drop("_key")
 
 
 def _terms(c: Column) -> Column:
@@ -230,9 +281,8 @@ def run_saved_searches(saved: DataFrame, projection: DataFrame) -> DataFrame:
         & any_or(F.col("amount_value") >= F.col("_amount_min"), "_amount_min")
         & any_or(F.col("amount_value") <= F.col("_amount_max"), "_amount_max")
     )
-    if saved.limit(MAX_BROADCAST_QUERIES + 1).count() > MAX_BROADCAST_QUERIES:
-        raise ValueError("too many saved searches for one batch")
-    hits = projection.join(F.broadcast(s), on).groupBy("saved_id").agg(F.count(F.lit(1)).alias("hits"))
+    blocks = [projection.join(F.broadcast(b), on).groupBy("saved_id").agg(F.count(F.lit(1)).alias("hits")) for b in query_blocks(s, "saved_id")]
+    hits = reduce(DataFrame.unionByName, blocks)
     return saved.select("saved_id").join(hits, "saved_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 

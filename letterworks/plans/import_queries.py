@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from letterworks.operators import extract as X
@@ -79,19 +82,19 @@ def o89_import_priority(spark, sf):
 
 
 def _relevance(spark, sf):
-    """Benchmark passages and the documents that hold them word for word; the passages are few and broadcast after a check of their size."""
+    """Benchmark passages and the documents that hold them word for word; the passages are broadcast in blocks of bounded size."""
     items = table(prepare(spark), sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    if items.limit(S.MAX_BROADCAST_QUERIES + 1).count() > S.MAX_BROADCAST_QUERIES:
-        raise ValueError("too many passages for one batch")
     docs = table(spark, sf, "documents")
-    relevant = docs.join(F.broadcast(items), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    relevant = [docs.join(F.broadcast(b), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id") for b in S.query_blocks(items, "query_id")]
+    relevant = reduce(DataFrame.unionByName, relevant)
     return items, docs, relevant
 
 
 def _ranked(items, docs):
     """Documents with the first two words of a passage, by length and id: a plain ranking with room for errors."""
     start = F.array_join(F.slice(F.split("passage", " "), 1, 2), " ")
-    hits = docs.join(F.broadcast(items.withColumn("start", start)), F.col("text").contains(F.col("start")))
+    blocks = S.query_blocks(items.withColumn("start", start), "query_id")
+    hits = reduce(DataFrame.unionByName, [docs.join(F.broadcast(b), F.col("text").contains(F.col("start"))) for b in blocks])
     w = S.Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query_id", "doc_id", "rank")
 

@@ -49,28 +49,28 @@ PROJECTION = f"""{fr.LETTERS}, {fr.BASE}, proj AS (SELECT l.doc_id, CASE WHEN t
 
 
 def search_batch(spark, sf):
-    """A batch of searches drawn from the orders: identifiers, organizations, phrases, and the empty query."""
-    o = table(prepare(spark), sf, "orders").where("o_orderkey < 120")
-    k = F.col("o_orderkey")
+    """A search for every order whose key is divisible by 100: identifiers, organizations, phrases, and the empty query."""
+    o = table(prepare(spark), sf, "orders").where("o_orderkey % 100 = 0")
+    k, turn = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 100) % 5
     q = (
-        F.when(k % 6 == 0, F.concat(F.lit("re-"), F.lpad(k.cast("string"), 8, "0")))
-        .when(k % 6 == 1, F.concat(F.lit("Haus "), F.lpad((F.col("o_custkey") % 97).cast("string"), 2, "0"), F.lit(" AG")))
-        .when(k == 2, "Vertrag  Kündigung")
-        .when(k == 8, "")
-        .when(k == 14, "contract")
+        F.when(turn == 0, F.concat(F.lit("re-"), F.lpad(k.cast("string"), 8, "0")))
+        .when(turn == 1, F.concat(F.lit("Haus "), F.lpad((F.col("o_custkey") % 97).cast("string"), 2, "0"), F.lit(" AG")))
+        .when(turn == 2, "Vertrag  Kündigung")
+        .when(turn == 3, "")
+        .otherwise("contract")
     )
-    return o.select(k.alias("query_id"), q.alias("q")).where("q is not null")
+    return o.select(k.alias("query_id"), q.alias("q"))
 
 
-BATCH = """batch AS (SELECT * FROM (SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 6 = 0 THEN 're-' || lpad(o_orderkey::VARCHAR, 8, '0') WHEN o_orderkey % 6 = 1 THEN 'Haus ' || lpad((o_custkey % 97)::VARCHAR, 2, '0') || ' AG'
-  WHEN o_orderkey = 2 THEN 'Vertrag Kündigung' WHEN o_orderkey = 8 THEN '' WHEN o_orderkey = 14 THEN 'contract' END AS q FROM orders WHERE o_orderkey < 120) WHERE q IS NOT NULL)"""
+BATCH = """batch AS (SELECT o_orderkey AS query_id, CASE (o_orderkey // 100) % 5 WHEN 0 THEN 're-' || lpad(o_orderkey::VARCHAR, 8, '0') WHEN 1 THEN 'Haus ' || lpad((o_custkey % 97)::VARCHAR, 2, '0') || ' AG'
+  WHEN 2 THEN 'Vertrag Kündigung' WHEN 3 THEN '' ELSE 'contract' END AS q FROM orders WHERE o_orderkey % 100 = 0)"""
 _F = "replace(lower({0}), 'ß', 'ss')"
-_MATCH = f"""{PROJECTION}, {BATCH}, terms AS (SELECT query_id, q, list_transform(list_filter(string_split({_F.format('q')}, ' '), lambda x: x <> ''), lambda x: x) AS terms FROM batch),
-m AS (SELECT query_id, q, terms, p.*, {_F.format("title_text || chr(10) || organization_text || chr(10) || identifier_text || chr(10) || metadata_text || chr(10) || body_text")} AS combined FROM terms, proj p),
+_MATCH = f"""{PROJECTION}, {BATCH}, terms AS (SELECT q, list_transform(list_filter(string_split({_F.format('q')}, ' '), lambda x: x <> ''), lambda x: x) AS terms FROM (SELECT DISTINCT q FROM batch)),
+m AS (SELECT q, terms, p.*, {_F.format("title_text || chr(10) || organization_text || chr(10) || identifier_text || chr(10) || metadata_text || chr(10) || body_text")} AS combined FROM terms, proj p),
 hits AS (SELECT *, round(len(terms) * 0.05 + CASE WHEN identifier_text <> '' AND list_contains(string_split({_F.format('identifier_text')}, chr(10)), {_F.format('q')}) THEN 2.0 ELSE 0 END + CASE WHEN {_F.format('organization_text')} = {_F.format('q')} THEN 0.8 ELSE 0 END
   + CASE WHEN contains({_F.format('title_text')}, {_F.format('q')}) THEN 0.6 ELSE 0 END + CASE WHEN contains({_F.format('metadata_text')}, {_F.format('q')}) THEN 0.3 ELSE 0 END, 6)::DOUBLE AS score
   FROM m WHERE len(list_filter(terms, lambda x: NOT contains(combined, x))) = 0)"""
-_TOP = f"{_MATCH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_date DESC NULLS LAST, doc_id::VARCHAR) AS rank FROM hits)"
+_TOP = f"{_MATCH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, document_date DESC NULLS LAST, doc_id::VARCHAR) AS rank FROM hits)"
 
 
 @query(f"""WITH {fr.BASE} SELECT doc_id, CASE WHEN t = 3 THEN 'official_letter – ' || year(d) WHEN t < 3 THEN 'Haus ' || i2 || CASE t WHEN 0 THEN ' GmbH' ELSE ' AG' END || ' – ' || {_TYPE} ELSE '' END AS title_text,
@@ -109,7 +109,7 @@ def o61_search_filter(spark, sf):
     return rows.select("doc_id", "amount_value")
 
 
-@query(f"WITH {_TOP} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
+@query(f"WITH {_TOP} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ranked JOIN batch USING (q) WHERE rank <= 10")
 def o62_search_lexical(spark, sf):
     return S.search_lexical(search_batch(spark, sf), projection(spark, sf)).select("query_id", "doc_id", "score", "rank")
 
@@ -120,12 +120,12 @@ def o63_search_indexed(spark, sf):
     return S.search_indexed(search_batch(spark, sf), S.build_postings(rows), rows).select("query_id", "doc_id", "score", "rank")
 
 
-@query(f"""WITH {_MATCH}, f AS (SELECT unnest(['document_type', 'year', 'review_state', 'source', 'organization']) AS facet, unnest([document_type, year(document_date)::VARCHAR, status, source, organization_text]) AS value FROM hits WHERE query_id = 14),
+@query(f"""WITH {_MATCH}, f AS (SELECT unnest(['document_type', 'year', 'review_state', 'source', 'organization']) AS facet, unnest([document_type, year(document_date)::VARCHAR, status, source, organization_text]) AS value FROM hits JOIN batch USING (q)),
 c AS (SELECT facet, value, count(*) AS n FROM f WHERE value IS NOT NULL AND value <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS rn FROM c)
 SELECT facet, value, CASE WHEN facet = 'organization' THEN value ELSE array_to_string(list_transform(string_split(replace(value, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS label, n
 FROM r WHERE rn <= CASE WHEN facet = 'organization' THEN 50 ELSE 20 END""")
 def o64_search_facets(spark, sf):
-    return S.search_facets(S.match_lexical(search_batch(spark, sf).where("query_id = 14"), projection(spark, sf)))
+    return S.search_facets(S.match_lexical(search_batch(spark, sf), projection(spark, sf)))
 
 
 @query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS pages FROM documents), e AS (SELECT doc_id, unnest(pages) AS page, generate_subscripts(pages, 1) AS n FROM p),
@@ -139,10 +139,10 @@ def o65_snippets(spark, sf):
 
 
 @query(f"""WITH {PROJECTION}, s AS (SELECT c_custkey AS saved_id, CASE WHEN c_custkey % 3 > 0 THEN CASE WHEN c_custkey % 3 = 1 THEN 'finance' ELSE 'personal' END END AS a, CASE WHEN c_custkey % 4 = 0 THEN 'contract' END AS ty,
-  CASE WHEN c_custkey % 2 = 0 THEN 50000 + c_custkey * 1000 END AS lo, CASE WHEN c_custkey % 5 = 0 THEN 300000 END AS hi FROM customer WHERE c_custkey < 60)
+  CASE WHEN c_custkey % 2 = 0 THEN 50000 + c_custkey * 1000 END AS lo, CASE WHEN c_custkey % 5 = 0 THEN 300000 END AS hi FROM customer WHERE c_custkey % 100 = 0)
 SELECT saved_id, count(doc_id) AS hits FROM s LEFT JOIN proj ON (a IS NULL OR life_area = a) AND (ty IS NULL OR document_type = ty) AND (lo IS NULL OR amount_value >= lo) AND (hi IS NULL OR amount_value <= hi) GROUP BY saved_id""")
 def o66_run_saved_searches(spark, sf):
-    c, k = table(prepare(spark), sf, "customer").where("c_custkey < 60"), F.col("c_custkey")
+    c, k = table(prepare(spark), sf, "customer").where("c_custkey % 100 = 0"), F.col("c_custkey")
     saved = c.select(
         k.alias("saved_id"),
         F.when(k % 3 == 1, "finance").when(k % 3 == 2, "personal").alias("life_area"),
