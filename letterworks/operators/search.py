@@ -198,10 +198,11 @@ def build_postings(projection: DataFrame) -> DataFrame:
 def search_indexed(queries: DataFrame, postings: DataFrame, projection: DataFrame, k: int = 10) -> DataFrame:
     """The best matches of any number of queries through the postings: equi-joins on stems only.
 
-    All words of a query must occur. The rank is ``r / (r + 1)`` of the summed weights; an identifier equal to the
+    Equal queries are answered once. All words of a query must occur. The rank is ``r / (r + 1)`` of the summed weights; an identifier equal to the
     query matches even without that. A word with a minus must not occur.
     """
-    q = once(queries.select("query_id", T.normalize_query(F.col("q")).alias("q")), "q")
+    asked = stage(once(queries.select("query_id", T.normalize_query(F.col("q")).alias("q")), "q").withColumn("_key", F.sha2("q", 256)), "search-queries")
+    q = stage(asked.groupBy(F.col("_key").alias("query_id")).agg(F.first("q").alias("q")), "search-distinct")
     words = q.select("query_id", F.explode(F.regexp_extract_all(F.lower("q"), F.lit(r"(?U)-?\w+(?:[-./]\w+)*"), F.lit(0))).alias("w"))
     words = words.select("query_id", F.col("w").startswith("-").alias("absent"), german_stem(F.regexp_replace("w", "^-", "")).alias("term")).distinct()
     needed = words.where("not absent").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
@@ -211,7 +212,8 @@ def search_indexed(queries: DataFrame, postings: DataFrame, projection: DataFram
     hits = hits.join(gone, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", (F.col("r") / (F.col("r") + 1)).alias("rank_score"))
     exact = q.join(projection.select("doc_id", F.lower("identifier_text").alias("_i")), F.lower("q") == F.col("_i")).select("query_id", "doc_id", F.lit(0.0).alias("rank_score"))
     pairs = hits.unionByName(exact).groupBy("query_id", "doc_id").agg(F.max("rank_score").alias("rank_score"))
-    rows = pairs.join(q, "query_id").join(projection, "doc_id")
+    narrow = projection.drop("body_text")  # bodies are fetched for the best matches only
+    rows = pairs.join(q, "query_id").join(narrow, "doc_id")
     low = F.lower("q")
     score = (
         F.col("rank_score")
@@ -220,7 +222,9 @@ def search_indexed(queries: DataFrame, postings: DataFrame, projection: DataFram
         + F.when(F.lower("title_text").contains(low), 0.6).otherwise(0.0)
         + F.when(F.lower("metadata_text").contains(low), 0.3).otherwise(0.0)
     )
-    return top_k(rows.withColumn("score", F.round(score, 6)), k)
+    best = top_k(rows.withColumn("score", F.round(score, 6)), k).withColumnRenamed("query_id", "_key")
+    best = best.join(asked.select("query_id", "_key"), "_key").drop("_key")
+    return best.join(projection.select("doc_id", "body_text"), "doc_id")
 
 
 def search_facets(matched: DataFrame, limit: int = 20) -> DataFrame:
