@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,24 +12,40 @@ from letterworks.session import stage
 
 #: The closed vocabularies of accepted knowledge.
 PROPOSAL_TYPES = ("organization", "contract", "event", "deadline", "action_item", "document_relationship")
+#: The fields of each kind of resource with the value that stands in for one left out.
+RESOURCE_FIELDS = {
+    "organization": {"canonical_name": None, "organization_type": None},
+    "contract": {"title": "Untitled contract", "contract_type": "other", "status": "unknown", "organization_id": None, "reference_identifier": None, "start_date": None, "end_date": None, "renewal_date": None, "cancellation_deadline": None},
+    "event": {"event_type": None, "title": None, "description": None, "event_date": None, "event_date_precision": "unknown", "life_area": "other", "organization_id": None, "contract_id": None},
+    "deadline": {"title": None, "due_at": None, "original_rule": None, "deadline_type": "other", "contract_id": None},
+    "action_item": {"title": None, "description": None, "due_at": None, "priority": "normal", "life_area": "other", "contract_id": None, "deadline_id": None},
+    "document_relationship": {"target_document_id": None, "relationship_type": None},
+}
+DATES = ("start_date", "end_date", "renewal_date", "cancellation_deadline", "event_date", "due_at")
 
 
 def resolve_organizations(cands: DataFrame, orgs: DataFrame, aliases: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Candidates (cand_id, name, strong) with org_id and match_reason: exact name, exact alias, then a shared strong identifier.
+    """Candidates with org_id and match_reason: exact name, exact alias, then a strong identifier of an accepted proposal.
 
-    Of several organizations the first created wins. Nothing is matched by likeness. All joins are on equality.
+    ``cands``: cand_id, name, strong (an array); ``accepted``: proposal_id, created_at, org_id, strong (an array). Only
+    active organizations match. Of several by name or alias the first created wins, by identifier that of the first
+    accepted proposal. An empty name matches none, and nothing is matched by likeness. All joins are on equality.
     """
+    live = orgs.where("status = 'active'")
     order = F.struct("created_at", "org_id")
-    by_name = orgs.groupBy(T.normalize_name(F.col("canonical_name")).alias("_n")).agg(F.min(order).alias("_name"))
-    named = aliases.join(orgs.select("org_id", "created_at"), "org_id")
-    by_alias = named.groupBy(T.normalize_name(F.col("alias")).alias("_a")).agg(F.min(order).alias("_alias"))
-    by_strong = accepted.join(orgs.select("org_id", "created_at"), "org_id").groupBy(F.col("strong").alias("_s")).agg(F.min(order).alias("_strong"))
+    by_name = live.groupBy(T.normalize_name(F.col("canonical_name")).alias("_n")).agg(F.min(order).alias("_name")).where("_n <> ''")
+    named = aliases.join(live.select("org_id", "created_at"), "org_id")
+    by_alias = named.groupBy(T.normalize_name(F.col("alias")).alias("_a")).agg(F.min(order).alias("_alias")).where("_a <> ''")
+    known = accepted.join(live.select("org_id"), "org_id").select("created_at", "proposal_id", "org_id", F.explode("strong").alias("_s"))
+    first = known.groupBy("_s").agg(F.min(F.struct("created_at", "proposal_id", "org_id")).alias("_p"))
+    wanted = cands.select(F.col("cand_id").alias("_c"), F.explode(F.array_distinct("strong")).alias("_s"))
+    by_strong = wanted.join(first, "_s").groupBy("_c").agg(F.min("_p").alias("_strong"))
     out = cands.withColumn("_norm", T.normalize_name(F.col("name")))
-    out = out.join(by_name, F.col("_norm") == F.col("_n"), "left").join(by_alias, F.col("_norm") == F.col("_a"), "left").join(by_strong, F.col("strong") == F.col("_s"), "left")
+    out = out.join(by_name, F.col("_norm") == F.col("_n"), "left").join(by_alias, F.col("_norm") == F.col("_a"), "left").join(by_strong, F.col("cand_id") == F.col("_c"), "left")
     reason = (
         F.when(F.col("_name").isNotNull(), "exact normalized canonical name")
         .when(F.col("_alias").isNotNull(), "exact normalized alias")
-        .when(F.col("_strong").isNotNull(), "shared strong identifier")
+        .when(F.col("_strong").isNotNull(), "exact strong organization identifier")
     )
     return out.select(*cands.columns, F.coalesce("_name.org_id", "_alias.org_id", "_strong.org_id").alias("org_id"), reason.alias("match_reason"))
 
@@ -61,6 +79,43 @@ def merge_organizations(orgs: DataFrame, aliases: DataFrame, merges: DataFrame)
     return out, keyed.join(own, ["org_id", "normalized"], "left_anti")
 
 
+def remap_references(references: dict[str, DataFrame], merges: DataFrame) -> DataFrame:
+    """(kind, id, organization_id) of the resources of merged organizations, pointing to their targets.
+
+    ``references``: kind -> frame (id, organization_id), such as contracts, events, deadlines, actions and documents.
+    """
+    tagged = [df.select(F.lit(kind).alias("kind"), "id", "organization_id") for kind, df in references.items()]
+    return remap(reduce(DataFrame.unionByName, tagged), stage(close_merges(merges), "merges-closed"), "organization_id")
+
+
+def accepted_resources(kept: DataFrame) -> dict[str, DataFrame]:
+    """Accepted proposals as the six resource tables: proposal_type -> frame.
+
+    ``kept``: proposal_id, document_id, proposal_type, payload and overrides (maps of strings), link_id. Values of the
+    decision replace those of the payload; titles are cut to 255 characters and enumerations that are left out take
+    their default. A linked proposal makes no resource of its own, nor does one with a value that should be an ISO date
+    and is none. A relationship has two different documents and is kept once, from its first proposal.
+    """
+    values = F.map_zip_with(F.coalesce("payload", F.create_map().cast("map<string,string>")), F.coalesce("overrides", F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(b, a))
+    made = kept.where("link_id is null").withColumn("_v", values)
+    out = {}
+    for kind, fields in RESOURCE_FIELDS.items():
+        cells, rows = [], made.where(F.col("proposal_type") == kind)
+        for name, default in fields.items():
+            cell = F.try_element_at("_v", F.lit(name))
+            if name in DATES:
+                day = F.when(cell.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(cell, "yyyy-MM-dd"))
+                rows = rows.where(day.isNotNull() | (F.coalesce(cell, F.lit("")) == ""))
+                cell = day
+            elif name in ("title", "canonical_name"):
+                cell = F.substring(F.trim(cell), 1, 255)
+            cells.append((cell if default is None else F.coalesce(cell, F.lit(default))).alias(name))
+        out[kind] = rows.select("proposal_id", "document_id", *cells)
+    links = out["document_relationship"].where(F.col("target_document_id") != F.col("document_id").cast("string"))
+    out["document_relationship"] = links.groupBy("document_id", "target_document_id", "relationship_type").agg(F.min("proposal_id").alias("proposal_id"))
+    return out
+
+
 def accept_knowledge(proposals: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted resources, and the refused decisions with their reason.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from letterworks.session import stage
+
 #: Tags that make a document urgent.
 URGENT = ("important", "urgent", "priority")
 
@@ -39,9 +41,10 @@ def plan_import(source: DataFrame, existing: DataFrame) -> DataFrame:
     """import, skip or fail for each source document: unreadable ones fail, hashes seen before are skipped.
 
     An existing document comes before an earlier one of the source; unreadable documents never register their hash.
+    The firsts are written before they are joined, so that a hash of very many documents can be split.
     """
     readable = source.where("not original_missing")
-    first = readable.groupBy(F.col("content_hash").alias("_h")).agg(F.min("source_id").alias("_first"))
+    first = stage(readable.groupBy(F.col("content_hash").alias("_h")).agg(F.min("source_id").alias("_first")), "import-firsts")
     there = existing.select(F.col("content_hash").alias("_e")).distinct()
     rows = source.join(first, F.col("content_hash") == F.col("_h"), "left").join(there, F.col("content_hash") == F.col("_e"), "left")
     reason = (
@@ -74,17 +77,54 @@ def sync_links(current: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFr
     return add.unionByName(current.join(wanted, keys, "left_anti").select(*keys, F.lit("delete").alias("op")))
 
 
+def import_discrepancies(source: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(source_id, category, blocking): all that an import left out or changed; one full join and one left join.
+
+    ``source``: source_id, content_hash, metadata_hash, original_missing, archive_missing; ``items`` adds status and
+    document_id; ``docs``: doc_id, content_hash. The three content hashes must agree; an unknown one does not.
+    """
+    s = source.select("source_id", F.col("content_hash").alias("sc"), F.col("metadata_hash").alias("sm"), "original_missing", "archive_missing")
+    i = items.select(F.col("source_id").alias("_i"), "status", "document_id", F.col("content_hash").alias("ic"), F.col("metadata_hash").alias("im"))
+    d = docs.select("doc_id", F.col("content_hash").alias("dc"))
+    rows = s.join(i, F.col("source_id") == F.col("_i"), "full").join(d, F.col("document_id") == F.col("doc_id"), "left")
+    listed, recorded = F.col("source_id").isNotNull(), F.col("_i").isNotNull()
+    both = listed & recorded
+    found = both & F.col("doc_id").isNotNull()
+    agree = F.coalesce((F.col("sc") == F.col("ic")) & (F.col("ic") == F.col("dc")), F.lit(False))
+    tests = {
+        "source_item_missing": (listed & ~recorded, True),
+        "source_document_removed": (recorded & ~listed, False),
+        "migration_failure": (F.col("status") == "failed", True),
+        "document_link_missing": (both & F.col("document_id").isNull(), True),
+        "document_missing": (both & F.col("document_id").isNotNull() & F.col("doc_id").isNull(), True),
+        "source_original_missing": (found & F.col("original_missing"), True),
+        "original_hash_mismatch": (found & ~F.col("original_missing") & ~agree, True),
+        "source_archive_missing": (found & ~F.col("original_missing") & F.col("archive_missing"), True),
+        "metadata_missing_or_stale": (found & ~F.col("sm").eqNullSafe(F.col("im")), True),
+    }
+    one = lambda name, blocking: F.struct(F.lit(name).alias("category"), F.lit(blocking).alias("blocking"))
+    each = F.array_compact(F.array(*[F.when(test, one(name, blocking)) for name, (test, blocking) in tests.items()]))
+    return rows.select(F.coalesce("source_id", "_i").alias("source_id"), F.explode(each).alias("x")).select("source_id", "x.*")
+
+
 def verify_import(source: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
-    """(category, blocking, n): discrepancies between the source, the import's items and the documents; anti-joins in a union."""
-    tag = lambda df, category, blocking: df.select(F.lit(category).alias("category"), F.lit(blocking).alias("blocking"))
-    done = items.where("status = 'imported'")
-    rows = tag(source.join(items, "source_id", "left_anti"), "missing_item", True)
-    rows = rows.unionByName(tag(items.join(source, "source_id", "left_anti"), "unknown_item", True))
-    rows = rows.unionByName(tag(items.where("status = 'failed'"), "failed_item", True))
-    rows = rows.unionByName(tag(done.join(docs, done["document_id"] == docs["doc_id"], "left_anti"), "missing_document", True))
-    changed = done.join(source.select("source_id", F.col("content_hash").alias("_h")), "source_id").where(F.col("content_hash") != F.col("_h"))
-    rows = rows.unionByName(tag(changed, "hash_mismatch", True)).unionByName(tag(source.where("archive_missing"), "archive_missing", False))
-    return rows.groupBy("category", "blocking").agg(F.count(F.lit(1)).alias("n"))
+    """(category, blocking, n) of the discrepancies."""
+    return import_discrepancies(source, items, docs).groupBy("category", "blocking").agg(F.count(F.lit(1)).alias("n"))
+
+
+def import_verdict(discrepancies: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: items by status, blocking and other discrepancies, and FAIL, PASS WITH WARNINGS (also for skipped or unsupported items) or PASS.
+
+    ``discrepancies``: category, blocking, n; ``items``: status, unsupported.
+    """
+    n = lambda test: F.count(F.when(test, 1))
+    status = F.col("status")
+    counts = items.agg(
+        F.count(F.lit(1)).alias("n_items"), n(status == "imported").alias("n_imported"), n(status == "skipped").alias("n_skipped"), n(status == "failed").alias("n_failed"), n(F.col("unsupported").isNotNull()).alias("n_unsupported")
+    )
+    found = discrepancies.agg(F.coalesce(F.sum(F.when(F.col("blocking"), F.col("n"))), F.lit(0)).alias("n_blocking"), F.coalesce(F.sum(F.when(~F.col("blocking"), F.col("n"))), F.lit(0)).alias("n_other"))
+    warned = F.col("n_other") + F.col("n_skipped") + F.col("n_unsupported") > 0
+    return counts.join(found).withColumn("verdict", F.when(F.col("n_blocking") > 0, "FAIL").when(warned, "PASS WITH WARNINGS").otherwise("PASS"))  # one row each
 
 
 def import_priority(tags: Column, dated: Column, today: str) -> Column:
@@ -94,8 +134,12 @@ def import_priority(tags: Column, dated: Column, today: str) -> Column:
 
 
 def duplicate_groups(source: DataFrame) -> DataFrame:
-    """Readable documents that share their content, with their place in the group."""
-    w = Window.partitionBy("content_hash").orderBy("source_id")
+    """Readable documents that share their content, with the size and the first of the group; no group is gathered or sorted."""
     rows = source.where("not original_missing")
-    shared = rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    return rows.join(shared, "content_hash").withColumn("place", F.row_number().over(w))
+    shared = rows.groupBy(F.col("content_hash").alias("_h")).agg(F.count(F.lit(1)).alias("group_size"), F.min("source_id").alias("first_id")).where("group_size > 1")
+    return rows.join(stage(shared, "import-groups"), F.col("content_hash") == F.col("_h")).drop("_h")
+
+
+def import_volume(planned: DataFrame) -> DataFrame:
+    """Documents and bytes by action and reason of an import plan with ``n_bytes``."""
+    return planned.groupBy("action", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes"))

@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Which state may follow which, the active states, and the limits of resource classes.
+from letterworks.session import stage
+
+#: Which state may follow which, the active, final and unsuccessful states, and the limits of resource classes.
 NEXT = {
-    "queued": ("claimed", "failed"),
-    "claimed": ("extracting", "failed", "queued"),
-    "extracting": ("completed", "failed", "queued"),
+    "queued": ("claimed", "cancelled", "failed"),
+    "claimed": ("extracting", "queued", "cancel_requested", "failed", "timed_out"),
+    "extracting": ("ocr", "normalizing", "queued", "cancel_requested", "failed", "timed_out"),
+    "ocr": ("normalizing", "queued", "cancel_requested", "failed", "timed_out"),
+    "normalizing": ("completed", "queued", "cancel_requested", "failed", "timed_out"),
+    "cancel_requested": ("cancelled", "completed", "failed", "timed_out"),
+    "cancelled": (),
+    "timed_out": ("queued",),
     "completed": (),
     "failed": ("queued",),
 }
-ACTIVE = ("claimed", "extracting")
+ACTIVE = ("claimed", "extracting", "ocr", "normalizing", "cancel_requested")
+FINAL = ("completed", "failed", "timed_out", "cancelled")
+UNSUCCESSFUL = ("failed", "timed_out", "cancelled")
 RETRYABLE = ("retryable", "timeout")
 CLASS_LIMIT = 2
 AGING_SECONDS = 900
+#: Newest jobs whose latencies are reported, and values up to which a key's list is sorted whole for its p95.
+RECENT = 1000
+SORTED_WHOLE = 1000
 
 
 def journal_replay(events: DataFrame) -> DataFrame:
@@ -34,22 +48,28 @@ def job_states(events: DataFrame) -> DataFrame:
     return replay.groupBy("job_id").agg(
         F.max_by("to_state", F.struct("ts", "event_id")).alias("state"),
         F.count(F.when(F.col("to_state") == "claimed", 1)).alias("attempts"),
-        F.max(F.when(F.col("to_state").isin("completed", "failed"), F.col("ts"))).alias("terminal_at"),
+        F.max(F.when(F.col("to_state").isin(*FINAL), F.col("ts"))).alias("terminal_at"),
         F.count(F.when(~F.col("legal"), 1)).alias("n_illegal"),
     )
 
 
 def execution_metrics(jobs: DataFrame, now: str) -> DataFrame:
-    """Counts by kind and key in one pass: depth by priority, running and failed by class, retries, completed last hour."""
+    """Counts by kind and key in one pass; a count of none has no row.
+
+    Depth by priority, running by class, failures by their class (``timeout`` and ``cancelled`` among them), retries,
+    deferred admissions, degraded completions, and completions of the last hour.
+    """
     hour = F.lit(now).cast("timestamp") - F.expr("interval 1 hour")
     item = lambda kind, key, test, n=1: F.when(test, F.struct(F.lit(kind).alias("metric"), key.alias("key"), F.lit(n).cast("long").alias("n") if isinstance(n, int) else n.cast("long").alias("n")))
     none = F.lit("all")
     items = F.array(
         item("queue_depth", F.col("priority"), F.col("state") == "queued"),
         item("running", F.col("resource_class"), F.col("state").isin(*ACTIVE)),
-        item("failures", F.col("resource_class"), F.col("state") == "failed"),
+        item("failures", F.col("failure_class"), F.col("state").isin(*UNSUCCESSFUL) & F.col("failure_class").isNotNull()),
         item("retries", none, F.col("attempts") > 1, F.col("attempts") - 1),
-        item("completed_last_hour", none, (F.col("state") == "completed") & (F.col("heartbeat_at") >= hour)),
+        item("admission_deferrals", none, F.col("admission_deferrals") > 0, F.col("admission_deferrals")),
+        item("degraded_completions", none, (F.col("state") == "completed") & (F.col("failure_class") == "degraded")),
+        item("completed_last_hour", none, (F.col("state") == "completed") & (F.col("finished_at") >= hour)),
     )
     return jobs.select(F.explode(F.array_compact(items)).alias("x")).groupBy("x.metric", "x.key").agg(F.sum("x.n").alias("n"))
 
@@ -57,13 +77,32 @@ def execution_metrics(jobs: DataFrame, now: str) -> DataFrame:
 def latency_summary(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """samples, mean and p95 (the value at place floor((n - 1) * 0.95)) of each key.
 
-    Values are ranked in sorted partitions of their key and the one place is picked; no list of values is built.
+    A first pass of partial aggregations brackets the place by approximate percentiles, whose error is far smaller than
+    the bracket. A second counts equal values in it, and all below as one, so that about a hundredth of the distinct
+    values of a key are sorted. Keys of few values are sorted whole. Null values are no samples.
     """
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(w) - 1, "_n": n})
-    at = F.col("_i") == F.floor((F.col("_n") - 1) * 0.95)
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg(value), 2).alias("mean"), F.round(F.max(F.when(at, F.col(value))), 2).alias("p95"))
+    rows, v, size = df.where(F.col(value).isNotNull()), F.col(value), F.count(F.lit(1))
+    near = F.when(size > SORTED_WHOLE, F.percentile_approx(v, [0.945, 0.955], 10_000))
+    bounds = stage(rows.groupBy(*keys).agg(size.alias("samples"), F.round(F.avg(v), 2).alias("mean"), near.alias("_near")), "latency-bounds")
+    renamed = bounds.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    both = rows.select(*keys, v.alias("_v")).join(renamed, on).where("_near is null or _v <= _near[1]")
+    level = F.when(F.col("_near").isNull() | (F.col("_v") >= F.col("_near")[0]), F.col("_v"))
+    counts = both.groupBy(*keys, "samples", "mean", level.alias("_v")).agg(size.alias("_n"))
+    up_to = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
+    reached = counts.withColumn("_up_to", up_to).where(F.col("_up_to") > F.floor((F.col("samples") - 1) * 0.95))
+    return reached.groupBy(*keys, "samples", "mean").agg(F.round(F.min("_v"), 2).alias("p95"))
+
+
+def recent_latencies(jobs: DataFrame, now: str, newest: int = RECENT) -> DataFrame:
+    """Waiting and running times in milliseconds of the newest jobs, by metric; those that still wait or run count up to ``now``."""
+    at = lambda c: F.unix_micros(F.coalesce(F.col(c).cast("timestamp"), F.lit(now).cast("timestamp")))
+    started, queued = F.col("started_at").isNotNull(), F.col("state") == "queued"
+    wait, run = (at("started_at") - at("created_at")) / 1000, (at("finished_at") - at("started_at")) / 1000
+    one = lambda metric, test, ms: F.when(test, F.struct(F.lit(metric).alias("metric"), ms.alias("ms")))
+    items = F.array(one("queue_wait", queued | started, wait), one("execution_duration", started & ~queued, run))
+    recent = jobs.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(newest)
+    return latency_summary(recent.select(F.explode(F.array_compact(items)).alias("x")).select("x.*"), "ms", ["metric"])
 
 
 def stale_jobs(jobs: DataFrame, now: str, timeout_seconds: int, max_attempts: int = 3) -> DataFrame:
@@ -82,8 +121,8 @@ def retry_plan(failure: Column, attempts: Column, max_attempts: int = 3) -> Colu
 
 
 def blocked_jobs(jobs: DataFrame) -> DataFrame:
-    """Queued jobs whose predecessor has failed."""
-    bad = jobs.where("state = 'failed'").select(F.col("job_id").alias("_p"))
+    """Queued jobs whose predecessor has failed, timed out or been cancelled."""
+    bad = jobs.where(F.col("state").isin(*UNSUCCESSFUL)).select(F.col("job_id").alias("_p"))
     return jobs.where("state = 'queued' and dependency_id is not null").join(bad, F.col("dependency_id") == F.col("_p"), "left_semi")
 
 

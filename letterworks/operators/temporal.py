@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Days before a deadline at which reminders begin, by type; others ``DEFAULT_LEAD``.
-LEAD_DAYS = {"1": 14, "2": 30, "3": 7}
-DEFAULT_LEAD = 14
+#: Days before a deadline at which reminders begin, by type; unknown types count as ``other``.
+LEAD_DAYS = {"payment": 7, "cancellation": 30, "renewal": 30, "response": 7, "submission": 7, "appointment": 2, "other": 7}
 PAGE = 500
 
 
@@ -63,17 +62,29 @@ def upcoming_buckets(deadlines: DataFrame, today: str, limit: int = PAGE) -> Dat
     return first.withColumn("bucket", bucket)
 
 
+def _elapsed(day: Column) -> Column:
+    return (F.col("status") == "snoozed") & F.col("snoozed_until").isNotNull() & (F.col("snoozed_until") <= day)
+
+
+def woken_history(deadlines: DataFrame, today: str) -> DataFrame:
+    """A history row for each deadline whose snooze has ended: its state before and after."""
+    state = lambda s: F.lit(f'{{"status":"{s}"}}')
+    rows = deadlines.where(_elapsed(F.lit(today).cast("date")))
+    return rows.select("deadline_id", F.lit("snooze_elapsed").alias("action"), state("snoozed").alias("previous_json"), state("open").alias("new_json"))
+
+
 def due_reminders(deadlines: DataFrame, sent: DataFrame, today: str, limit: int = PAGE) -> DataFrame:
-    """Reminders of one cycle: expired snoozes wake, kinds already sent are left out, the earliest due first."""
+    """Reminders of one cycle with the day they were meant for: expired snoozes wake, kinds already sent are left out, the earliest due first."""
     day = F.lit(today).cast("date")
-    awake = (F.col("status") == "open") | ((F.col("status") == "snoozed") & F.col("snoozed_until").isNotNull() & (F.col("snoozed_until") <= day))
+    awake = (F.col("status") == "open") | _elapsed(day)
     leads = F.create_map(*[F.lit(x) for kv in LEAD_DAYS.items() for x in kv])
-    lead = F.coalesce(leads[F.col("deadline_type")], F.lit(DEFAULT_LEAD))
+    lead = F.coalesce(leads[F.col("deadline_type")], F.lit(LEAD_DAYS["other"]))
     left = F.datediff("due_at", day)
     kind = F.when(left < 0, "overdue").when(left == 0, "due").when(left <= lead, "upcoming")
     rows = deadlines.where(awake & F.col("due_at").isNotNull()).withColumn("kind", kind).where("kind is not null")
     rows = rows.join(sent.select("deadline_id", "kind"), ["deadline_id", "kind"], "left_anti")
-    return rows.withColumn("woken", F.col("status") == "snoozed").orderBy("due_at", "deadline_id").limit(limit)
+    meant = F.when(F.col("kind") == "overdue", F.date_add("due_at", 1)).when(F.col("kind") == "due", F.col("due_at")).otherwise(F.date_sub("due_at", lead))
+    return rows.withColumns({"woken": F.col("status") == "snoozed", "scheduled_for": meant}).orderBy("due_at", "deadline_id").limit(limit)
 
 
 def apply_status_changes(deadlines: DataFrame, log: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:

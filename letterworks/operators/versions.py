@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterworks.functions import text as T
+from letterworks.session import stage
 
 
 def dedup_exact(df: DataFrame, hash_col: str, created: str, id_col: str) -> DataFrame:
     """All rows plus ``canonical_id``: of equal hashes the first created (smallest id of equals).
 
-    The first of each hash comes from a partial aggregation and is joined back, so a very frequent hash is not sorted in one task.
+    The first of each hash comes from a partial aggregation, is written, and joined back: both sides of the join are
+    plain, so adaptive execution broadcasts the firsts or splits a very frequent hash. A null hash equals no other.
     """
-    first = df.groupBy(F.col(hash_col).alias("_h")).agg(F.min(F.struct(created, id_col)).alias("_f"))
+    first = stage(df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("_h")).agg(F.min(F.struct(created, id_col)).alias("_f")), "firsts")
     out = df.join(first, F.col(hash_col) == F.col("_h"), "left")
-    return out.withColumn("canonical_id", F.col(f"_f.{id_col}")).withColumn("is_duplicate", F.col("canonical_id") != F.col(id_col)).drop("_h", "_f")
+    return out.withColumn("canonical_id", F.coalesce(F.col(f"_f.{id_col}"), F.col(id_col))).withColumn("is_duplicate", F.col("canonical_id") != F.col(id_col)).drop("_h", "_f")
 
 
 def upsert_versions(existing: DataFrame, incoming: DataFrame, identity: list[str]) -> DataFrame:

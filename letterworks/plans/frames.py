@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterworks.functions.spans import once
+from letterworks.operators.ops import FINAL, UNSUCCESSFUL
 from letterworks.session import prepare, spread, table
 
 TODAY = "2023-06-01"
@@ -62,7 +63,8 @@ LETTERS = f"""letters AS (SELECT o_orderkey AS doc_id, o_orderkey % 10 = 0 AS oc
 def jobs_events(spark: SparkSession, sf: str) -> DataFrame:
     """A job journal from ``events``: job_id, event_id, ts, to_state, duration_ms, priority, resource_class."""
     e = table(prepare(spark), sf, "events")
-    state = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])[F.col("event_type")]
+    states = F.create_map(*[x for kind, names in STATES.items() for x in (F.lit(kind), F.array(*[F.lit(n) for n in names]))])[F.col("event_type")]
+    state = F.get(states, (F.col("event_id") % 3).cast("int"))
     priority = F.get(F.array(*[F.lit(p) for p in PRIORITIES]), (F.col("event_id") % 6).cast("int"))
     return e.select(
         (F.col("user_id") * 1000 + F.col("event_id") % 7).alias("job_id"),
@@ -75,25 +77,39 @@ def jobs_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-STATES = {"signup": "queued", "view": "claimed", "click": "extracting", "purchase": "completed", "error": "failed"}
+STATES = {
+    "signup": ("queued", "queued", "queued"),
+    "view": ("claimed", "claimed", "ocr"),
+    "click": ("extracting", "extracting", "normalizing"),
+    "purchase": ("completed", "completed", "cancelled"),
+    "error": ("failed", "timed_out", "cancel_requested"),
+}
+FAILURES = ("retryable", "permanent", "degraded", "timeout", "cancelled", "dependency_failed")
 PRIORITIES = ("interactive", "high", "normal", "background", "maintenance", "bulk")
 JOB_EVENTS = f"""job_events AS (SELECT user_id * 1000 + event_id % 7 AS job_id, event_id, ts,
-  CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items())} END AS to_state, value AS duration_ms,
+  (CASE event_type {' '.join(f"WHEN '{k}' THEN {list(v)}" for k, v in STATES.items())} END)[event_id % 3 + 1] AS to_state, value AS duration_ms,
   ([{', '.join(f"'{p}'" for p in PRIORITIES)}])[event_id % 6 + 1] AS priority, 'class' || (user_id % 6) AS resource_class FROM events)"""
 
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
-    """One row for each job: its first and last event, attempts (claims), and the job that it waits for."""
+    """One row for each job: its first and last event, first claim, end, attempts (claims), failure, deferrals, and the job that it waits for."""
     e = jobs_events(spark, sf)
     last = F.max_by(F.struct("to_state", "priority", "resource_class", "duration_ms", "ts"), F.struct("ts", "event_id"))
     rows = e.groupBy("job_id").agg(
         F.min("ts").alias("created_at"),
         last.alias("l"),
+        F.min(F.when(F.col("to_state") == "claimed", F.col("ts"))).alias("started_at"),
         F.count(F.when(F.col("to_state") == "claimed", 1)).alias("attempts"),
     )
+    state, sixth = F.col("l.to_state"), (F.col("job_id") % 6).cast("int")
+    failure = F.when(state.isin(*UNSUCCESSFUL), F.get(F.array(*[F.lit(x) for x in FAILURES]), sixth)).when((state == "completed") & (sixth == 2), "degraded")
     return rows.select(
         "job_id",
         "created_at",
+        "started_at",
+        F.when(state.isin(*FINAL), F.col("l.ts")).alias("finished_at"),
+        failure.alias("failure_class"),
+        (F.col("job_id") % 3).alias("admission_deferrals"),
         F.col("l.ts").alias("heartbeat_at"),
         F.col("l.to_state").alias("state"),
         F.col("l.priority").alias("priority"),
@@ -106,10 +122,12 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 JOBS = (
     JOB_EVENTS
-    + """, jobs AS (SELECT job_id, min(ts) AS created_at, max(ts) AS heartbeat_at, arg_max(to_state, (ts, event_id)) AS state,
+    + f""", jobs AS (SELECT *, CASE WHEN state IN {FINAL} THEN heartbeat_at END AS finished_at, job_id % 3 AS admission_deferrals,
+  CASE WHEN state IN {UNSUCCESSFUL} THEN ({list(FAILURES)})[job_id % 6 + 1] WHEN state = 'completed' AND job_id % 6 = 2 THEN 'degraded' END AS failure_class FROM (
+  SELECT job_id, min(ts) AS created_at, max(ts) AS heartbeat_at, min(ts) FILTER (WHERE to_state = 'claimed') AS started_at, arg_max(to_state, (ts, event_id)) AS state,
   arg_max(priority, (ts, event_id)) AS priority, arg_max(resource_class, (ts, event_id)) AS resource_class,
   arg_max(duration_ms, (ts, event_id)) AS duration_ms, count(*) FILTER (WHERE to_state = 'claimed') AS attempts,
-  CASE WHEN job_id % 5 = 0 THEN job_id + 1 END AS dependency_id FROM job_events GROUP BY job_id)"""
+  CASE WHEN job_id % 5 = 0 THEN job_id + 1 END AS dependency_id FROM job_events GROUP BY job_id))"""
 )
 
 
@@ -123,26 +141,28 @@ def deadlines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 50 != 0, F.date_add(d, 14)).alias("due_at"),
         status.alias("status"),
         F.when(status == "snoozed", F.when(F.col("o_orderkey") % 9 != 0, F.date_add(d, 7))).alias("snoozed_until"),
-        F.substring("o_orderpriority", 1, 1).alias("deadline_type"),
+        F.get(F.array(*[F.lit(x) for x in DEADLINE_TYPES]), F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("deadline_type"),
         (F.col("o_custkey") % 97).alias("organization_id"),
     )
 
 
+DEADLINE_TYPES = ("payment", "cancellation", "response", "appointment", "other")
 DEADLINES = f"""deadlines AS (SELECT o_orderkey AS deadline_id, CASE WHEN o_orderkey % 50 <> 0 THEN {_D} + 14 END AS due_at,
   CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'completed' ELSE 'snoozed' END AS status,
   CASE WHEN o_orderstatus NOT IN ('O', 'F') AND o_orderkey % 9 <> 0 THEN {_D} + 7 END AS snoozed_until,
-  substr(o_orderpriority, 1, 1) AS deadline_type, o_custkey % 97 AS organization_id FROM orders)"""
+  ({list(DEADLINE_TYPES)})[substr(o_orderpriority, 1, 1)::INT] AS deadline_type, o_custkey % 97 AS organization_id FROM orders)"""
 
 
 def organizations(spark: SparkSession, sf: str) -> DataFrame:
-    """One organization for each supplier."""
+    """One organization for each supplier; some are merged and no longer active."""
     s = table(prepare(spark), sf, "supplier")
     created = F.date_add(F.lit("2020-01-01").cast("date"), F.col("s_suppkey").cast("int"))
-    return s.select(F.col("s_suppkey").alias("org_id"), F.col("s_name").alias("canonical_name"), created.alias("created_at"), F.concat(F.lit("TAX"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("tax_id"))
+    status = F.when(F.col("s_suppkey") % 15 == 0, "merged").otherwise("active")
+    return s.select(F.col("s_suppkey").alias("org_id"), F.col("s_name").alias("canonical_name"), created.alias("created_at"), status.alias("status"), F.concat(F.lit("TAX"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("tax_id"))
 
 
 ORGS = """orgs AS (SELECT s_suppkey AS org_id, s_name AS canonical_name, DATE '2020-01-01' + CAST(s_suppkey AS INTEGER) AS created_at,
-  'TAX' || lpad(s_suppkey::VARCHAR, 6, '0') AS tax_id FROM supplier)"""
+  CASE WHEN s_suppkey % 15 = 0 THEN 'merged' ELSE 'active' END AS status, 'TAX' || lpad(s_suppkey::VARCHAR, 6, '0') AS tax_id FROM supplier)"""
 
 
 def aliases(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,6 +42,20 @@ def o86_plan_import(spark, sf):
     return M.plan_import(rows, rows.where("source_id % 37 = 5")).select("source_id", "action", "reason")
 
 
+@query(f"""WITH {_PLAN}, r AS (SELECT n_bytes, CASE WHEN original_missing THEN 'original_missing' WHEN l.content_hash IN (SELECT content_hash FROM e) THEN 'duplicate_of_existing' WHEN first_id <> source_id THEN 'duplicate_of_source' END AS reason
+  FROM library l LEFT JOIN f ON l.content_hash = f.content_hash)
+SELECT CASE WHEN reason IS NULL THEN 'import' WHEN reason = 'original_missing' THEN 'failure' ELSE 'skip' END AS action, reason, count(*) AS n, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM r GROUP BY ALL""")
+def o86_import_volume(spark, sf):
+    rows = fr.library(spark, sf)
+    return M.import_volume(M.plan_import(rows, rows.where("source_id % 37 = 5")))
+
+
+@query(f"""WITH {fr.LIBRARY}, r AS (SELECT source_id, count(*) OVER (PARTITION BY content_hash) AS group_size, min(source_id) OVER (PARTITION BY content_hash) AS first_id FROM library WHERE NOT original_missing)
+SELECT * FROM r WHERE group_size > 1""")
+def o86_duplicate_groups(spark, sf):
+    return M.duplicate_groups(fr.library(spark, sf)).select("source_id", "group_size", "first_id")
+
+
 def _import(spark, sf):
     source = fr.library(spark, sf).withColumn("metadata_hash", F.sha2("title", 256))
     k = F.col("source_id")
@@ -49,14 +63,15 @@ def _import(spark, sf):
         F.when(k % 31 == 0, k + 1_000_000).otherwise(k).alias("source_id"),
         F.when(k % 5 == 0, F.lit("old")).otherwise(F.col("metadata_hash")).alias("metadata_hash"),
         F.when(k % 11 == 0, F.lit("old")).otherwise(F.col("content_hash")).alias("content_hash"),
-        F.when(k % 13 == 0, "failed").otherwise("imported").alias("status"),
-        (k % 300).alias("document_id"),
+        F.when(k % 13 == 0, "failed").when(k % 13 == 1, "skipped").otherwise("imported").alias("status"),
+        F.when(k % 19 != 0, k).alias("document_id"),
+        "unsupported",
     )
     return source, items
 
 
 _IMPORT = f"""{fr.LIBRARY}, items AS (SELECT CASE WHEN source_id % 31 = 0 THEN source_id + 1000000 ELSE source_id END AS source_id, source_id % 5 = 0 AS meta_old, source_id % 11 = 0 AS file_old,
-  CASE WHEN source_id % 13 = 0 THEN 'failed' ELSE 'imported' END AS status, source_id % 300 AS document_id FROM library WHERE source_id % 6 <> 0)"""
+  CASE source_id % 13 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'imported' END AS status, CASE WHEN source_id % 19 <> 0 THEN source_id END AS document_id, unsupported FROM library WHERE source_id % 6 <> 0)"""
 
 
 @query(f"""WITH {_IMPORT} SELECT coalesce(l.source_id, i.source_id) AS source_id, CASE WHEN i.source_id IS NULL THEN 'import' WHEN l.source_id IS NULL THEN 'vanished' WHEN file_old THEN 'refuse' WHEN meta_old THEN 'reconcile' ELSE 'skip' END AS outcome
@@ -65,14 +80,32 @@ def o87_reconcile_import(spark, sf):
     return M.reconcile_import(*_import(spark, sf))
 
 
-@query(f"""WITH {_IMPORT}, v AS (SELECT 'missing_item' AS category, TRUE AS blocking FROM library WHERE source_id NOT IN (SELECT source_id FROM items)
-UNION ALL SELECT 'unknown_item', TRUE FROM items WHERE source_id NOT IN (SELECT source_id FROM library) UNION ALL SELECT 'failed_item', TRUE FROM items WHERE status = 'failed'
-UNION ALL SELECT 'missing_document', TRUE FROM items WHERE status = 'imported' AND document_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)
-UNION ALL SELECT 'hash_mismatch', TRUE FROM items WHERE status = 'imported' AND file_old AND source_id IN (SELECT source_id FROM library) UNION ALL SELECT 'archive_missing', FALSE FROM library WHERE archive_missing)
-SELECT category, blocking, count(*) AS n FROM v GROUP BY ALL""")
+_FOUND = f"""{_IMPORT}, stored AS (SELECT source_id AS doc_id FROM library WHERE source_id % 7 <> 0),
+j AS (SELECT l.source_id AS s, original_missing, archive_missing, i.source_id AS i, status, document_id, file_old, meta_old, doc_id FROM library l FULL JOIN items i ON l.source_id = i.source_id LEFT JOIN stored ON document_id = doc_id),
+f AS (SELECT * FROM j WHERE s IS NOT NULL AND i IS NOT NULL AND doc_id IS NOT NULL),
+v AS (SELECT 'source_item_missing' AS category, TRUE AS blocking FROM j WHERE i IS NULL UNION ALL SELECT 'source_document_removed', FALSE FROM j WHERE s IS NULL UNION ALL SELECT 'migration_failure', TRUE FROM j WHERE status = 'failed'
+UNION ALL SELECT 'document_link_missing', TRUE FROM j WHERE s IS NOT NULL AND i IS NOT NULL AND document_id IS NULL
+UNION ALL SELECT 'document_missing', TRUE FROM j WHERE s IS NOT NULL AND i IS NOT NULL AND document_id IS NOT NULL AND doc_id IS NULL
+UNION ALL SELECT 'source_original_missing', TRUE FROM f WHERE original_missing UNION ALL SELECT 'original_hash_mismatch', TRUE FROM f WHERE NOT original_missing AND (file_old OR doc_id % 17 = 0)
+UNION ALL SELECT 'source_archive_missing', TRUE FROM f WHERE NOT original_missing AND archive_missing UNION ALL SELECT 'metadata_missing_or_stale', TRUE FROM f WHERE meta_old)"""
+
+
+def _stored(source):
+    return source.where("source_id % 7 <> 0").select(F.col("source_id").alias("doc_id"), F.when(F.col("source_id") % 17 == 0, F.lit("old")).otherwise(F.col("content_hash")).alias("content_hash"))
+
+
+@query(f"WITH {_FOUND} SELECT category, blocking, count(*) AS n FROM v GROUP BY ALL")
 def o88_verify_import(spark, sf):
     source, items = _import(spark, sf)
-    return M.verify_import(source, items, table(spark, sf, "documents").where("doc_id % 7 <> 0").select("doc_id"))
+    return M.verify_import(source, items, _stored(source))
+
+
+@query(f"""WITH {_FOUND}, n AS (SELECT count(*) FILTER (WHERE blocking) AS n_blocking, count(*) FILTER (WHERE NOT blocking) AS n_other FROM v),
+c AS (SELECT count(*) AS n_items, count(*) FILTER (WHERE status = 'imported') AS n_imported, count(*) FILTER (WHERE status = 'skipped') AS n_skipped, count(*) FILTER (WHERE status = 'failed') AS n_failed, count(unsupported) AS n_unsupported FROM items)
+SELECT *, CASE WHEN n_blocking > 0 THEN 'FAIL' WHEN n_other + n_skipped + n_unsupported > 0 THEN 'PASS WITH WARNINGS' ELSE 'PASS' END AS verdict FROM c, n""")
+def o88_import_verdict(spark, sf):
+    source, items = _import(spark, sf)
+    return M.import_verdict(M.verify_import(source, items, _stored(source)), items)
 
 
 @query(f"""WITH {fr.LIBRARY} SELECT source_id, CASE WHEN source_id % 17 = 0 THEN 'high' WHEN DATE '{fr.TODAY}' - created <= 365 THEN 'background' ELSE 'bulk' END AS priority FROM library""")

@@ -160,14 +160,22 @@ def o71_upcoming_buckets(spark, sf):
     return D.upcoming_buckets(fr.deadlines(spark, sf), fr.TODAY).select("deadline_id", "bucket")
 
 
-@query(f"""WITH {fr.DEADLINES}, a AS (SELECT *, due_at - DATE '{fr.TODAY}' AS n, CASE deadline_type WHEN '1' THEN 14 WHEN '2' THEN 30 WHEN '3' THEN 7 ELSE 14 END AS lead FROM deadlines
+_LEAD = f"CASE deadline_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in D.LEAD_DAYS.items())} ELSE 7 END"
+
+
+@query(f"""WITH {fr.DEADLINES}, a AS (SELECT *, due_at - DATE '{fr.TODAY}' AS n, {_LEAD} AS lead FROM deadlines
   WHERE due_at IS NOT NULL AND (status = 'open' OR (status = 'snoozed' AND snoozed_until <= DATE '{fr.TODAY}'))),
 k AS (SELECT *, CASE WHEN n < 0 THEN 'overdue' WHEN n = 0 THEN 'due' WHEN n <= lead THEN 'upcoming' END AS kind FROM a)
-SELECT deadline_id, kind, status = 'snoozed' AS woken FROM k WHERE kind IS NOT NULL AND NOT (kind = 'overdue' AND deadline_id % 4 <> 0) ORDER BY due_at, deadline_id LIMIT 500""")
+SELECT deadline_id, kind, status = 'snoozed' AS woken, CASE kind WHEN 'overdue' THEN due_at + 1 WHEN 'due' THEN due_at ELSE due_at - lead END AS scheduled_for FROM k WHERE kind IS NOT NULL AND NOT (kind = 'overdue' AND deadline_id % 4 <> 0) ORDER BY due_at, deadline_id LIMIT 500""")
 def o72_due_reminders(spark, sf):
     d = fr.deadlines(spark, sf)
     sent = d.where("deadline_id % 4 <> 0").select("deadline_id", F.lit("overdue").alias("kind"))
-    return D.due_reminders(d, sent, fr.TODAY).select("deadline_id", "kind", "woken")
+    return D.due_reminders(d, sent, fr.TODAY).select("deadline_id", "kind", "woken", "scheduled_for")
+
+
+@query(f"""WITH {fr.DEADLINES} SELECT deadline_id, 'snooze_elapsed' AS action, '{{"status":"snoozed"}}' AS previous_json, '{{"status":"open"}}' AS new_json FROM deadlines WHERE status = 'snoozed' AND snoozed_until <= DATE '{fr.TODAY}'""")
+def o72_woken_history(spark, sf):
+    return D.woken_history(fr.deadlines(spark, sf), fr.TODAY)
 
 
 def _changes(spark, sf):
@@ -192,27 +200,39 @@ _REPLAY = f"""{fr.JOB_EVENTS}, r AS (SELECT *, lag(to_state) OVER (PARTITION BY
 replay AS (SELECT *, CASE WHEN from_state IS NULL THEN to_state = 'queued' ELSE from_state || '>' || to_state IN ({_LEGAL}) END AS legal FROM r)"""
 
 
-@query(f"""WITH {_REPLAY} SELECT job_id, arg_max(to_state, (ts, event_id)) AS state, count(*) FILTER (WHERE to_state = 'claimed') AS attempts, max(ts) FILTER (WHERE to_state IN ('completed', 'failed')) AS terminal_at,
+@query(f"""WITH {_REPLAY} SELECT job_id, arg_max(to_state, (ts, event_id)) AS state, count(*) FILTER (WHERE to_state = 'claimed') AS attempts, max(ts) FILTER (WHERE to_state IN {O.FINAL}) AS terminal_at,
  count(*) FILTER (WHERE NOT legal) AS n_illegal FROM replay GROUP BY job_id""")
 def o74_journal_replay(spark, sf):
     return O.job_states(fr.jobs_events(spark, sf))
 
 
 @query(f"""WITH {fr.JOBS} SELECT 'queue_depth' AS metric, priority AS key, CAST(count(*) AS BIGINT) AS n FROM jobs WHERE state = 'queued' GROUP BY 2
-UNION ALL SELECT 'running', resource_class, count(*) FROM jobs WHERE state IN ('claimed', 'extracting') GROUP BY 2 UNION ALL SELECT 'failures', resource_class, count(*) FROM jobs WHERE state = 'failed' GROUP BY 2
+UNION ALL SELECT 'running', resource_class, count(*) FROM jobs WHERE state IN {O.ACTIVE} GROUP BY 2
+UNION ALL SELECT 'failures', failure_class, count(*) FROM jobs WHERE state IN {O.UNSUCCESSFUL} GROUP BY 2
+UNION ALL SELECT 'admission_deferrals', 'all', CAST(sum(admission_deferrals) AS BIGINT) FROM jobs HAVING sum(admission_deferrals) > 0
+UNION ALL SELECT 'degraded_completions', 'all', count(*) FROM jobs WHERE state = 'completed' AND failure_class = 'degraded' HAVING count(*) > 0
 UNION ALL SELECT 'retries', 'all', CAST(sum(attempts - 1) AS BIGINT) FROM jobs WHERE attempts > 1 HAVING count(*) > 0
-UNION ALL SELECT 'completed_last_hour', 'all', count(*) FROM jobs WHERE state = 'completed' AND heartbeat_at >= TIMESTAMP '{fr.NOW}' - INTERVAL 1 HOUR HAVING count(*) > 0""")
+UNION ALL SELECT 'completed_last_hour', 'all', count(*) FROM jobs WHERE state = 'completed' AND finished_at >= TIMESTAMP '{fr.NOW}' - INTERVAL 1 HOUR HAVING count(*) > 0""")
 def o75_execution_metrics(spark, sf):
     return O.execution_metrics(fr.jobs(spark, sf), fr.NOW)
 
 
+@query(f"""WITH {fr.JOBS}, r AS (SELECT * FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 1000), t AS (SELECT *, epoch_us(coalesce(started_at, TIMESTAMP '{fr.NOW}')) AS s FROM r),
+l AS (SELECT 'queue_wait' AS metric, (s - epoch_us(created_at)) / 1000 AS ms FROM t WHERE state = 'queued' OR started_at IS NOT NULL
+  UNION ALL SELECT 'execution_duration', (epoch_us(coalesce(finished_at, TIMESTAMP '{fr.NOW}')) - s) / 1000 FROM t WHERE started_at IS NOT NULL AND state <> 'queued'),
+p AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM l)
+SELECT metric, count(*) AS samples, round(avg(ms), 2) AS mean, round(max(ms) FILTER (WHERE i = floor((n - 1) * 0.95)), 2) AS p95 FROM p GROUP BY 1""")
+def o75_recent_latencies(spark, sf):
+    return O.recent_latencies(fr.jobs(spark, sf), fr.NOW)
+
+
 @query(f"""WITH {fr.JOB_EVENTS}, r AS (SELECT resource_class, duration_ms, row_number() OVER (PARTITION BY resource_class ORDER BY duration_ms) - 1 AS i, count(*) OVER (PARTITION BY resource_class) AS n FROM job_events WHERE duration_ms IS NOT NULL)
 SELECT resource_class, count(*) AS samples, round(avg(duration_ms), 2) AS mean, round(max(duration_ms) FILTER (WHERE i = floor((n - 1) * 0.95)), 2) AS p95 FROM r GROUP BY 1""")
 def o76_latency_summary(spark, sf):
     return O.latency_summary(fr.jobs_events(spark, sf), "duration_ms", ["resource_class"])
 
 
-@query(f"WITH {fr.JOBS} SELECT job_id, CASE WHEN attempts < 3 THEN 'requeued' ELSE 'failed' END AS outcome FROM jobs WHERE state IN ('claimed', 'extracting') AND heartbeat_at < TIMESTAMP '{fr.NOW}' - INTERVAL 1 DAY")
+@query(f"WITH {fr.JOBS} SELECT job_id, CASE WHEN attempts < 3 THEN 'requeued' ELSE 'failed' END AS outcome FROM jobs WHERE state IN {O.ACTIVE} AND heartbeat_at < TIMESTAMP '{fr.NOW}' - INTERVAL 1 DAY")
 def o77_stale_jobs(spark, sf):
     return O.stale_jobs(fr.jobs(spark, sf), fr.NOW, 86_400).select("job_id", "outcome")
 
@@ -225,7 +245,7 @@ def o78_retry_plan(spark, sf):
     return fr.jobs(spark, sf).where("state = 'failed'").select("job_id", O.retry_plan(failure, F.col("attempts")).alias("p")).select("job_id", "p.*")
 
 
-@query(f"WITH {fr.JOBS} SELECT job_id, dependency_id FROM jobs WHERE state = 'queued' AND dependency_id IN (SELECT job_id FROM jobs WHERE state = 'failed')")
+@query(f"WITH {fr.JOBS} SELECT job_id, dependency_id FROM jobs WHERE state = 'queued' AND dependency_id IN (SELECT job_id FROM jobs WHERE state IN {O.UNSUCCESSFUL})")
 def o79_blocked_jobs(spark, sf):
     return O.blocked_jobs(fr.jobs(spark, sf)).select("job_id", "dependency_id")
 
@@ -233,7 +253,7 @@ def o79_blocked_jobs(spark, sf):
 @query(f"""WITH {fr.JOBS}, q AS (SELECT *, CASE WHEN epoch(TIMESTAMP '{fr.NOW}') - floor(epoch(created_at)) >= 900 THEN 0 ELSE list_position([{', '.join(f"'{p}'" for p in fr.PRIORITIES)}], priority) END AS tier FROM jobs j
   WHERE state = 'queued' AND (dependency_id IS NULL OR dependency_id IN (SELECT job_id FROM jobs WHERE state = 'completed'))),
 r AS (SELECT *, row_number() OVER (PARTITION BY resource_class ORDER BY tier, created_at, job_id) AS rn FROM q),
-n AS (SELECT resource_class, count(*) AS n FROM jobs WHERE state IN ('claimed', 'extracting') GROUP BY 1)
+n AS (SELECT resource_class, count(*) AS n FROM jobs WHERE state IN {O.ACTIVE} GROUP BY 1)
 SELECT r.resource_class, job_id, priority, 2 - coalesce(n, 0) AS headroom FROM r LEFT JOIN n USING (resource_class) WHERE rn = 1""")
 def o80_next_in_line(spark, sf):
     return O.next_in_line(fr.jobs(spark, sf), fr.NOW, fr.PRIORITIES)

@@ -19,19 +19,26 @@ def _cands(spark, sf):
     k = c.join(F.broadcast(n)).withColumn("t", F.col("c_custkey") % (F.col("n") + 20))
     name = F.concat(F.lit("Supplier#"), F.lpad(F.col("t").cast("string"), 9, "0"))
     shown = F.when(k["c_custkey"] % 3 == 0, F.upper(name)).when(k["c_custkey"] % 3 == 1, F.concat(F.lit("firma  "), name)).otherwise(F.concat(F.lit("Unknown "), F.col("c_name")))
-    strong = F.when(k["c_custkey"] % 3 == 2, F.concat(F.lit("TAX"), F.lpad(F.col("t").cast("string"), 6, "0")))
+    tax = lambda more: F.concat(F.lit("TAX"), F.lpad((F.col("t") + more).cast("string"), 6, "0"))
+    strong = F.when(k["c_custkey"] % 3 == 2, F.array(tax(0), tax(2)))
     return k.select(F.col("c_custkey").alias("cand_id"), shown.alias("name"), strong.alias("strong"))
 
 
 @query(f"""WITH {fr.ORGS}, {fr.ALIASES}, n AS (SELECT count(*) AS n FROM orgs), k AS (SELECT *, c_custkey % (n + 20) AS t FROM customer, n),
 c AS (SELECT c_custkey AS cand_id, CASE c_custkey % 3 WHEN 0 THEN upper('Supplier#' || lpad(t::VARCHAR, 9, '0')) WHEN 1 THEN 'firma  Supplier#' || lpad(t::VARCHAR, 9, '0') ELSE 'Unknown ' || c_name END AS name,
-  CASE WHEN c_custkey % 3 = 2 THEN 'TAX' || lpad(t::VARCHAR, 6, '0') END AS strong FROM k),
-m AS (SELECT cand_id, (SELECT min(org_id) FROM orgs WHERE {_NORM.format('canonical_name')} = {_NORM.format('name')}) AS o1, (SELECT min(org_id) FROM aliases WHERE {_NORM.format('alias')} = {_NORM.format('name')}) AS o2,
-  (SELECT min(org_id) FROM orgs WHERE tax_id = strong) AS o3 FROM c)
-SELECT cand_id, coalesce(o1, o2, o3) AS org_id, CASE WHEN o1 IS NOT NULL THEN 'exact normalized canonical name' WHEN o2 IS NOT NULL THEN 'exact normalized alias' WHEN o3 IS NOT NULL THEN 'shared strong identifier' END AS match_reason FROM m""")
+  CASE WHEN c_custkey % 3 = 2 THEN ['TAX' || lpad(t::VARCHAR, 6, '0'), 'TAX' || lpad((t + 2)::VARCHAR, 6, '0')] END AS strong FROM k),
+live AS (SELECT * FROM orgs WHERE status = 'active'), acc AS (SELECT org_id * 10 AS pid, org_id, tax_id, created_at FROM live
+  UNION ALL SELECT org_id * 10 + 1, org_id, 'TAX' || lpad((org_id - 1)::VARCHAR, 6, '0'), created_at - 5 FROM live WHERE org_id % 4 = 0),
+st AS (SELECT cand_id, arg_min(org_id, (created_at, pid)) AS o3 FROM (SELECT cand_id, unnest(strong) AS s FROM c) JOIN acc ON s = tax_id GROUP BY 1),
+n1 AS (SELECT {_NORM.format('canonical_name')} AS k1, min(org_id) AS o1 FROM live GROUP BY 1), n2 AS (SELECT {_NORM.format('alias')} AS k2, min(org_id) AS o2 FROM aliases JOIN live USING (org_id) GROUP BY 1),
+m AS (SELECT c.cand_id, o1, o2, o3 FROM c LEFT JOIN n1 ON {_NORM.format('name')} = k1 LEFT JOIN n2 ON {_NORM.format('name')} = k2 LEFT JOIN st USING (cand_id))
+SELECT cand_id, coalesce(o1, o2, o3) AS org_id, CASE WHEN o1 IS NOT NULL THEN 'exact normalized canonical name' WHEN o2 IS NOT NULL THEN 'exact normalized alias' WHEN o3 IS NOT NULL THEN 'exact strong organization identifier' END AS match_reason FROM m""")
 def o46_resolve_organizations(spark, sf):
     orgs = fr.organizations(spark, sf)
-    accepted = orgs.select("org_id", F.col("tax_id").alias("strong"))
+    own = orgs.select((F.col("org_id") * 10).alias("proposal_id"), "org_id", F.array("tax_id").alias("strong"), "created_at")
+    other = F.concat(F.lit("TAX"), F.lpad((F.col("org_id") - 1).cast("string"), 6, "0"))
+    early = orgs.where("org_id % 4 = 0").select((F.col("org_id") * 10 + 1).alias("proposal_id"), "org_id", F.array(other).alias("strong"), F.date_sub("created_at", 5).alias("created_at"))
+    accepted = own.unionByName(early)
     return N.resolve_organizations(_cands(spark, sf), orgs, fr.aliases(spark, sf), accepted).select("cand_id", "org_id", "match_reason")
 
 
@@ -45,6 +52,20 @@ def o47_merge_organizations(spark, sf):
     return N.merge_organizations(fr.organizations(spark, sf), fr.aliases(spark, sf), fr.merges(spark, sf))[1].select("org_id", "alias", "normalized")
 
 
+@query(f"""WITH {_CLOSED}, {fr.DEADLINES}, r AS (SELECT 'contract' AS kind, o_orderkey AS id, o_custkey % 120 AS organization_id FROM orders UNION ALL SELECT 'deadline', deadline_id, organization_id FROM deadlines
+  UNION ALL SELECT 'event', event_id, user_id % 110 FROM events UNION ALL SELECT 'document', doc_id, doc_id % 115 FROM documents)
+SELECT kind, id, coalesce(target_id, organization_id) AS organization_id FROM r LEFT JOIN closed ON organization_id = source_id""")
+def o47_remap_references(spark, sf):
+    of = lambda name, key, org: table(spark, sf, name).select(F.col(key).alias("id"), org.alias("organization_id"))
+    references = {
+        "contract": of("orders", "o_orderkey", F.col("o_custkey") % 120),
+        "deadline": fr.deadlines(spark, sf).withColumnRenamed("deadline_id", "id"),
+        "event": of("events", "event_id", F.col("user_id") % 110),
+        "document": of("documents", "doc_id", F.col("doc_id") % 115),
+    }
+    return N.remap_references(references, fr.merges(spark, sf))
+
+
 def _knowledge(spark, sf):
     o = table(prepare(spark), sf, "orders")
     kind = F.get(F.array(*[F.lit(x) for x in (*N.PROPOSAL_TYPES, "odd")]), (F.col("o_orderkey") % 7).cast("int"))
@@ -75,6 +96,80 @@ def o48_accept_knowledge(spark, sf):
     return N.accept_knowledge(_knowledge(spark, sf).select("proposal_id", "proposal_type", "payload_value", "evidence_verified"), d)[0]
 
 
+def _accepted(spark, sf):
+    """Accepted proposals of all six kinds with payloads, edits and links, one for each order."""
+    k, day = F.col("o_orderkey"), F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    payload = {
+        "title": F.when(k % 11 != 0, text("Item ", k)),
+        "canonical_name": text("  Firma ", F.col("o_custkey")),
+        "contract_type": F.when(k % 4 == 1, "lease"),
+        "reference_identifier": text("V-", k),
+        "start_date": day,
+        "event_type": F.lit("contract_started"),
+        "event_date": F.when(k % 9 == 2, "soon").otherwise(day),
+        "due_at": F.when(k % 10 == 3, "").otherwise(day),
+        "target_document_id": text(F.col("o_custkey") + F.floor(k / 6) % 3),
+        "relationship_type": F.lit("related"),
+    }
+    cells = F.create_map(*[x for name, cell in payload.items() for x in (F.lit(name), cell)])
+    kind = F.get(F.array(*[F.lit(x) for x in N.PROPOSAL_TYPES]), (k % 6).cast("int"))
+    edits = F.when(k % 5 == 0, F.create_map(F.lit("title"), text("edited-", k)))
+    return table(prepare(spark), sf, "orders").select(k.alias("proposal_id"), F.col("o_custkey").alias("document_id"), kind.alias("proposal_type"), cells.alias("payload"), edits.alias("overrides"), F.when(k % 7 == 0, k).alias("link_id"))
+
+
+def _accepted_sql(kind: str) -> str:
+    title, due = "CASE WHEN k % 5 = 0 THEN 'edited-' || k WHEN k % 11 <> 0 THEN 'Item ' || k END", "CASE WHEN k % 10 <> 3 THEN d END AS due_at"
+    no = lambda *names: ", ".join(f"NULL::VARCHAR AS {n}" for n in names)
+    cells, test = {
+        "organization": (f"'Firma ' || document_id AS canonical_name, {no('organization_type')}", "TRUE"),
+        "contract": (
+            f"coalesce({title}, 'Untitled contract') AS title, CASE WHEN k % 4 = 1 THEN 'lease' ELSE 'other' END AS contract_type, 'unknown' AS status, {no('organization_id')}, 'V-' || k AS reference_identifier, d AS start_date,"
+            " NULL::DATE AS end_date, NULL::DATE AS renewal_date, NULL::DATE AS cancellation_deadline",
+            "TRUE",
+        ),
+        "event": (f"'contract_started' AS event_type, {title} AS title, {no('description')}, d AS event_date, 'unknown' AS event_date_precision, 'other' AS life_area, {no('organization_id', 'contract_id')}", "k % 9 <> 2"),
+        "deadline": (f"{title} AS title, {due}, {no('original_rule')}, 'other' AS deadline_type, {no('contract_id')}", "TRUE"),
+        "action_item": (f"{title} AS title, {no('description')}, {due}, 'normal' AS priority, 'other' AS life_area, {no('contract_id', 'deadline_id')}", "TRUE"),
+        "document_relationship": ("(document_id + k // 6 % 3)::VARCHAR AS target_document_id, 'related' AS relationship_type", "k // 6 % 3 <> 0"),
+    }[kind]
+    rows = f"SELECT k AS proposal_id, document_id, {cells} FROM a WHERE k % 6 = {N.PROPOSAL_TYPES.index(kind)} AND k % 7 <> 0 AND {test}"
+    a = "WITH a AS (SELECT o_orderkey AS k, o_custkey AS document_id, CAST(o_orderdate AS DATE) AS d FROM orders)"
+    if kind == "document_relationship":
+        rows = f"SELECT min(proposal_id) AS proposal_id, document_id, target_document_id, relationship_type FROM ({rows}) GROUP BY ALL"
+    return f"{a} {rows}"
+
+
+@query(_accepted_sql("organization"))
+def o48_accepted_organizations(spark, sf):
+    return N.accepted_resources(_accepted(spark, sf))["organization"]
+
+
+@query(_accepted_sql("contract"))
+def o48_accepted_contracts(spark, sf):
+    return N.accepted_resources(_accepted(spark, sf))["contract"]
+
+
+@query(_accepted_sql("event"))
+def o48_accepted_events(spark, sf):
+    return N.accepted_resources(_accepted(spark, sf))["event"]
+
+
+@query(_accepted_sql("deadline"))
+def o48_accepted_deadlines(spark, sf):
+    return N.accepted_resources(_accepted(spark, sf))["deadline"]
+
+
+@query(_accepted_sql("action_item"))
+def o48_accepted_actions(spark, sf):
+    return N.accepted_resources(_accepted(spark, sf))["action_item"]
+
+
+@query(_accepted_sql("document_relationship"))
+def o48_accepted_relationships(spark, sf):
+    return N.accepted_resources(_accepted(spark, sf))["document_relationship"]
+
+
 @query(f"""WITH {fr.ORGS}, {fr.ALIASES}, h AS (SELECT org_id FROM orgs WHERE canonical_name ILIKE '%no. 00000001%' UNION SELECT org_id FROM aliases WHERE alias ILIKE '%no. 00000001%')
 SELECT o.org_id, canonical_name, (SELECT string_agg(alias, '|' ORDER BY alias) FROM aliases a WHERE a.org_id = o.org_id) AS alias_list, CAST((SELECT count(*) FROM supplier s JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = o.org_id) AS INTEGER) AS n_nations
 FROM orgs o JOIN h USING (org_id)""")

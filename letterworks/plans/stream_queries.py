@@ -18,14 +18,14 @@ def o01_read_corpus(spark, sf):
     return A.read_corpus(prepare(spark), sf, "conversations", "conv_id long, turn long, role string, text string", checks)[1].select("conv_id", "turn", "problem")
 
 
-@query("SELECT lang, CAST(1 AS BIGINT) AS n_files, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
+@query("SELECT lang, TRUE AS stored, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
 def o02_asset_inventory(spark, sf):
-    """Texts stored as one file for each language, then listed."""
+    """Texts stored as files by language, a language in several, then listed."""
     path = scratch(prepare(spark), "assets")
-    table(spark, sf, "documents").select("text", "lang").repartition(1, "lang").write.partitionBy("lang").text(path, lineSep="\n")
+    table(spark, sf, "documents").select("text", "lang").repartition("lang", F.pmod(F.xxhash64("text"), F.lit(64))).write.partitionBy("lang").text(path, lineSep="\n")
     files = A.asset_inventory(spark, path).where("storage_key like '%lang=%'")
     lang = F.regexp_extract("storage_key", "lang=([a-z]+)", 1)
-    return files.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
+    return files.groupBy(lang.alias("lang")).agg((F.count(F.lit(1)) > 0).alias("stored"), F.sum("n_bytes").alias("n_bytes"))
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN NULL ELSE 'application/pdf' END AS found, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'type_mismatch' WHEN 2 THEN 'unsupported_type' END AS reason,

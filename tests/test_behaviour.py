@@ -85,11 +85,24 @@ def test_merge_chains_end_at_their_target(spark):
 
 
 def test_no_fuzzy_match(spark):
-    orgs = spark.createDataFrame([(1, "Haus GmbH", datetime.date(2020, 1, 1))], "org_id long, canonical_name string, created_at date")
-    cands = spark.createDataFrame([(1, "HAUS gmbh", None), (2, "Hauss GmbH", None)], "cand_id long, name string, strong string")
+    day = datetime.date
+    rows = [(1, "Haus GmbH", day(2020, 1, 1), "active"), (2, "Alt AG", day(2019, 1, 1), "merged"), (3, "Neu AG", day(2021, 1, 1), "active"), (4, "!!", day(2021, 1, 1), "active")]
+    orgs = spark.createDataFrame(rows, "org_id long, canonical_name string, created_at date, status string")
+    cands = spark.createDataFrame([(1, "HAUS gmbh", None), (2, "Hauss GmbH", []), (3, "Alt AG", ["T2"]), (4, "x", ["T9", "T1"]), (5, "??", None)], "cand_id long, name string, strong array<string>")
     none = orgs.limit(0).selectExpr("org_id", "canonical_name as alias")
-    got = entities.resolve_organizations(cands, orgs, none, orgs.limit(0).selectExpr("org_id", "'' as strong")).collect()
-    assert {r.cand_id: r.org_id for r in got} == {1: 1, 2: None}
+    accepted = spark.createDataFrame([(1, day(2022, 1, 2), 1, ["T1"]), (2, day(2022, 1, 1), 3, ["T1", "T3"]), (3, day(2020, 1, 1), 2, ["T1", "T2"])], "proposal_id long, created_at date, org_id long, strong array<string>")
+    got = entities.resolve_organizations(cands, orgs, none, accepted).collect()
+    assert {r.cand_id: r.org_id for r in got} == {1: 1, 2: None, 3: None, 4: 3, 5: None}
+    assert {r.match_reason for r in got if r.cand_id == 4} == {"exact strong organization identifier"}
+
+
+def test_accepted_resources(spark):
+    rows = [(1, 7, "deadline", {"title": "a", "due_at": "2024-02-30"}, None, None), (2, 7, "deadline", {"title": "a" * 300, "due_at": ""}, {"deadline_type": "payment"}, None), (3, 7, "event", {"title": "x"}, None, 5)]
+    rows += [(i, 7, "document_relationship", {"target_document_id": t, "relationship_type": "r"}, None, None) for i, t in ((4, "7"), (5, "8"), (6, "8"))]
+    kept = spark.createDataFrame(rows, "proposal_id long, document_id long, proposal_type string, payload map<string,string>, overrides map<string,string>, link_id long")
+    out = entities.accepted_resources(kept)
+    assert [(r.proposal_id, len(r.title), r.due_at, r.deadline_type) for r in out["deadline"].collect()] == [(2, 255, None, "payment")]
+    assert out["event"].isEmpty() and [r.proposal_id for r in out["document_relationship"].collect()] == [5]
 
 
 def test_decisions_conflicts_and_refusals(spark):
@@ -111,6 +124,26 @@ def test_p95_is_a_place_in_the_list(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 101)], "k string, v double")
     r = ops.latency_summary(df, "v", ["k"]).first()
     assert (r.samples, r["mean"], r.p95) == (100, 50.5, 95.0)
+    many = [float(i * 7919 % 5003 // 3) for i in range(5003)]
+    df = spark.createDataFrame([(k, v) for k in (None, "b") for v in many] + [("c", 4.0)] * 3000 + [("d", None)], "k string, v double")
+    got = {r.k: r.p95 for r in ops.latency_summary(df, "v", ["k"]).collect()}
+    place = sorted(many)[int(5002 * 0.95)]
+    assert got == {None: place, "b": place, "c": 4.0}
+
+
+def test_journal_transitions(spark):
+    steps = ["queued", "claimed", "extracting", "ocr", "normalizing", "cancel_requested", "completed", "queued"]
+    df = spark.createDataFrame([(1, i, i, s) for i, s in enumerate(steps)], "job_id long, event_id long, ts long, to_state string")
+    assert [r.legal for r in ops.journal_replay(df).orderBy("ts").collect()] == [True] * 7 + [False]
+
+
+def test_reminders_by_type(spark):
+    day = datetime.date
+    rows = [(1, day(2023, 6, 20), "open", None, "renewal"), (2, day(2023, 6, 20), "open", None, "payment"), (3, day(2023, 5, 1), "snoozed", day(2023, 6, 1), "other"), (4, day(2023, 5, 1), "snoozed", None, "other"), (5, day(2023, 6, 3), "open", None, "appointment")]
+    d = spark.createDataFrame(rows, "deadline_id long, due_at date, status string, snoozed_until date, deadline_type string")
+    got = {r.deadline_id: (r.kind, r.scheduled_for) for r in temporal.due_reminders(d, d.selectExpr("deadline_id", "'x' as kind").limit(0), "2023-06-01").collect()}
+    assert got == {1: ("upcoming", day(2023, 5, 21)), 3: ("overdue", day(2023, 5, 2)), 5: ("upcoming", day(2023, 6, 1))}
+    assert [r.deadline_id for r in temporal.woken_history(d, "2023-06-01").collect()] == [3]
 
 
 def test_import_plan_order(spark):
@@ -121,6 +154,29 @@ def test_import_plan_order(spark):
     assert migrate.sync_links(src.select("source_id"), src.where("source_id > 1").select("source_id"), ["source_id"]).first().op == "delete"
 
 
+def test_import_verdicts(spark):
+    items = spark.createDataFrame([(1, "imported", "h", "m", 1), (2, "imported", "h", None, 9)], "source_id long, status string, content_hash string, metadata_hash string, document_id long").withColumn("unsupported", F.lit(None).cast("string"))
+    src = items.select("source_id", "content_hash", F.lit("m").alias("metadata_hash"), F.lit(False).alias("original_missing"), F.lit(False).alias("archive_missing"))
+    docs = spark.createDataFrame([(1, "h")], "doc_id long, content_hash string")
+    assert [(r.source_id, r.category) for r in migrate.import_discrepancies(src, items, docs).collect()] == [(2, "document_missing")]
+    one = items.where("source_id = 1")
+    verdict = lambda s, i: migrate.import_verdict(migrate.verify_import(s, i, docs), i).first().verdict
+    assert (verdict(src, items), verdict(src.where("source_id = 1"), one), verdict(src.limit(0), one)) == ("FAIL", "PASS", "PASS WITH WARNINGS")
+
+
+def test_hybrid_gate_adopts_only_gains(spark):
+    kind = "query_id long, doc_id long, rank int"
+    queries = spark.createDataFrame([(q,) for q in (1, 2, 3)], "query_id long")
+    relevant = spark.createDataFrame([(1, 10), (2, 20)], "query_id long, doc_id long")
+    poor = spark.createDataFrame([(1, 11, 1), (1, 10, 2)], kind)
+    good = spark.createDataFrame([(1, 10, 1), (2, 20, 1)], kind)
+    r = quality.hybrid_gate(poor, good, relevant, queries).first()
+    assert (r.lexical_recall, r.hybrid_recall, r.lexical_mrr, r.hybrid_mrr, r.false_positive_rate, r.decision) == (0.5, 1.0, 0.25, 1.0, 0.0, "adopt")
+    loud = good.unionByName(spark.createDataFrame([(3, 30, 1)], kind))
+    assert quality.hybrid_gate(poor, loud, relevant, queries).first().decision == "defer"
+    assert quality.hybrid_gate(good, poor, relevant, queries).first().decision == "defer"
+
+
 def test_empty_sets_have_defined_scores(spark):
     none = spark.createDataFrame([], "k long")
     one = spark.createDataFrame([(1,)], "k long")
