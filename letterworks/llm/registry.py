@@ -11,6 +11,7 @@ from letterworks.llm.mixing import op9_mixing
 from letterworks.llm.near_dedup import op5_near_dedup
 from letterworks.llm.quality_rules import OP4_SQL, op4_quality_rules
 from letterworks.llm.secrets import op3_secret_scan
+from letterworks.llm.substring_dedup import OP11_SQL, op11_substring_dedup
 from letterworks.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -26,7 +27,14 @@ QUERIES = {
         op8_lm_scoring,
         op9_mixing,
         op10_chat_format,
+        op11_substring_dedup,
     )
 }
 
-ORACLES = {"op1_warc": OP1_SQL, "op4_quality_rules": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {
+    "op1_warc": OP1_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op10_chat_format": OP10_SQL,
+    "op11_substring_dedup": OP11_SQL,
+}
