@@ -172,11 +172,14 @@ class Groups:
         self.most = int(np.clip(total // (4 * parallel), LEAST, MOST))
         self.mask = np.uint64(counts.shape[1] - 1)
         self.tables, self.n = [], 0
+        #: Place of the prefix length that names each group.
+        self.level: list[int] = []
         for k, c in enumerate(counts):
             fits = (c <= self.most) | (k == len(counts) - 1)
             sums = np.cumsum(np.where(fits, c, 0)) // self.most
             self.tables.append(np.where(fits, self.n + sums, -1).astype(np.int64))
             self.n += int(sums[-1]) + 1
+            self.level += [k] * (self.n - len(self.level))
         #: Over how many salts the cells of whole windows are dealt.
         self.salts = np.maximum(1, -(-counts[-1] // self.most))
 
