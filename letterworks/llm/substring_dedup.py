@@ -103,10 +103,10 @@ class Block:
         self.at = window_starts(self.words, size)
 
     def screen(self) -> tuple[np.ndarray, np.ndarray]:
-        """The smallest run of each window, and all runs."""
+        """The smallest run of each window, and all runs, as hashes that are spread evenly (smallest ones are not)."""
         half = max(1, self.size // 2)
         runs = prefix_hashes(self.words, [half])[half]
-        return sliding_min(runs, self.size - half + 1)[self.at], runs
+        return mix(sliding_min(runs, self.size - half + 1)[self.at]), mix(runs)
 
 
 def read_blocks(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[dict, Block]]:
@@ -326,6 +326,8 @@ def _grow(group: pa.Table) -> pa.Table:
     out = {"grp": [], "block": [], "blob": []}
 
     def put(grp, chosen, blob):
+        if not len(chosen):
+            return
         chosen = chosen[np.lexsort((r["pos"][chosen], block[chosen]))]
         numbers, begins = np.unique(block[chosen], return_index=True)
         for b, a, e in zip(numbers.tolist(), begins, np.append(begins[1:], len(chosen)), strict=True):
