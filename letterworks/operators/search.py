@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from letterworks.functions import text as T
 from letterworks.functions.spans import once
-from letterworks.functions.stem import german_stem
 from letterworks.operators import extract as X
 from letterworks.session import stage
 
@@ -168,6 +167,12 @@ def match_lexical(queries: DataFrame, projection: DataFrame) -> DataFrame:
     return _match(q, projection).join(asked, "_key").drop("_key")
 
 
+def match_counted(queries: DataFrame, projection: DataFrame) -> DataFrame:
+    """The matches of the different queries, each with ``asked``: how many queries are equal to it. For counts over all queries."""
+    asked, q = _asked(queries)
+    return _match(q, projection).join(asked.groupBy("_key").agg(F.count(F.lit(1)).alias("asked")), "_key").drop("_key")
+
+
 def top_k(matched: DataFrame, k: int = 10, key: str = "query_id") -> DataFrame:
     """The best matches of each query: by score, the newest first (undated last), then id."""
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("document_date").desc_nulls_last(), F.col("doc_id").cast("string"))
@@ -179,64 +184,20 @@ def search_lexical(queries: DataFrame, projection: DataFrame, k: int = 10) -> Da
     return top_k(_match(q, projection), k, "_key").join(asked, "_key").drop("_key")
 
 
-def _terms(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+(?:[-./]\w+)*"), F.lit(0))
-
-
-def build_postings(projection: DataFrame) -> DataFrame:
-    """(term, doc_id, weight): the stems of a document with the sum of the weights of their occurrences.
-
-    Stems are made for distinct words only.
-    """
-    fields = F.array(*[F.struct(F.lit(w).alias("weight"), _terms(F.col(c)).alias("words")) for c, w in FIELD_WEIGHT.items()])
-    rows = projection.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.weight", F.explode("f.words").alias("word"))
-    counted = rows.groupBy("doc_id", "word").agg(F.sum("weight").alias("weight"))
-    stems = counted.select("word").distinct().withColumn("term", german_stem(F.col("word")))
-    return counted.join(stems, "word").groupBy("term", "doc_id").agg(F.sum("weight").alias("weight"))
-
-
-def search_indexed(queries: DataFrame, postings: DataFrame, projection: DataFrame, k: int = 10) -> DataFrame:
-    """The best matches of any number of queries through the postings: equi-joins on stems only.
+def search_facets(matched: DataFrame, limit: int = 20) -> DataFrame:
+    """(facet, value, label, n) of all matches: the most frequent values, equal ones by value; one pass over the matches.
 
-    Equal queries are answered once. All words of a query must occur. The rank is ``r / (r + 1)`` of the summed weights; an identifier equal to the
-    query matches even without that. A word with a minus must not occur.
+    A match counts ``asked`` times if there is such a column.
     """
-    asked = stage(once(queries.select("query_id", T.normalize_query(F.col("q")).alias("q")), "q").withColumn("_key", F.sha2("q", 256)), "search-queries")
-    q = stage(asked.groupBy(F.col("_key").alias("query_id")).agg(F.first("q").alias("q")), "search-distinct")
-    words = q.select("query_id", F.explode(F.regexp_extract_all(F.lower("q"), F.lit(r"(?U)-?\w+(?:[-./]\w+)*"), F.lit(0))).alias("w"))
-    words = words.select("query_id", F.col("w").startswith("-").alias("absent"), german_stem(F.regexp_replace("w", "^-", "")).alias("term")).distinct()
-    needed = words.where("not absent").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = words.where("not absent").join(postings, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("found"), F.sum("weight").alias("r"))
-    hits = hits.join(needed, "query_id").where("found = n")
-    gone = words.where("absent").join(postings, "term").select("query_id", "doc_id").distinct()
-    hits = hits.join(gone, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", (F.col("r") / (F.col("r") + 1)).alias("rank_score"))
-    exact = q.join(projection.select("doc_id", F.lower("identifier_text").alias("_i")), F.lower("q") == F.col("_i")).select("query_id", "doc_id", F.lit(0.0).alias("rank_score"))
-    pairs = hits.unionByName(exact).groupBy("query_id", "doc_id").agg(F.max("rank_score").alias("rank_score"))
-    narrow = projection.drop("body_text")  # bodies are fetched for the best matches only
-    rows = pairs.join(q, "query_id").join(narrow, "doc_id")
-    low = F.lower("q")
-    score = (
-        F.col("rank_score")
-        + F.when(F.lower("identifier_text") == low, 2.0).otherwise(0.0)
-        + F.when(F.lower("organization_text") == low, 0.8).otherwise(0.0)
-        + F.when(F.lower("title_text").contains(low), 0.6).otherwise(0.0)
-        + F.when(F.lower("metadata_text").contains(low), 0.3).otherwise(0.0)
-    )
-    best = top_k(rows.withColumn("score", F.round(score, 6)), k).withColumnRenamed("query_id", "_key")
-    best = best.join(asked.select("query_id", "_key"), "_key").drop("_key")
-    return best.join(projection.select("doc_id", "body_text"), "doc_id")
-
-
-def search_facets(matched: DataFrame, limit: int = 20) -> DataFrame:
-    """(facet, value, label, n) of all matches: the most frequent values, equal ones by value; one pass over the matches."""
     facets = F.array(
         *[
             F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value"))
             for name, value in (("document_type", F.col("document_type")), ("year", F.year("document_date")), ("review_state", F.col("status")), ("source", F.col("source")), ("organization", F.col("organization_text")))
         ]
     )
-    rows = matched.select(F.explode(facets).alias("f")).select("f.*").where("value is not null and value <> ''")
-    counts = rows.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+    times = (F.col("asked") if "asked" in matched.columns else F.lit(1)).cast("long").alias("times")
+    rows = matched.select(F.explode(facets).alias("f"), times).select("f.*", "times").where("value is not null and value <> ''")
+    counts = rows.groupBy("facet", "value").agg(F.sum("times").alias("n"))
     w = Window.partitionBy("facet").orderBy(F.col("n").desc(), "value")
     most = F.when(F.col("facet") == "organization", 50).otherwise(limit)
     first = counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)

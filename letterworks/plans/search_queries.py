@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from letterworks.operators import postings as P
 from letterworks.operators import search as S
 from letterworks.plans import frames as fr
 from letterworks.plans.registry import query
@@ -114,10 +115,27 @@ def o62_search_lexical(spark, sf):
     return S.search_lexical(search_batch(spark, sf), projection(spark, sf)).select("query_id", "doc_id", "score", "rank")
 
 
+def web_batch(spark, sf):
+    """A search in web syntax for every order whose key is divisible by 100: identifiers, phrases, alternatives, exclusions, inflected words."""
+    o = table(prepare(spark), sf, "orders").where("o_orderkey % 100 = 0")
+    k, turn = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 100) % 6
+    house = lambda n: F.lpad(((F.col("o_custkey") + n) % 97).cast("string"), 2, "0")
+    year = F.year(F.add_months(F.col("o_orderdate").cast("date"), 300)).cast("string")
+    q = (
+        F.when(turn == 0, F.concat(F.lit("re-"), F.lpad(k.cast("string"), 8, "0")))
+        .when(turn == 1, F.concat(F.lit('"Haus '), house(0), F.lit(' AG"')))
+        .when(turn == 2, F.concat(F.lit("Häuser "), house(0), F.lit(" Verträge -Nachtrag")))
+        .when(turn == 3, F.concat(F.lit('"Haus '), house(0), F.lit(' GmbH" OR "Haus '), house(1), F.lit(' KG" Widersprüche')))
+        .when(turn == 4, F.concat(F.lit('Rechnungen "Haus '), house(0), F.lit('" -re-'), F.lpad(k.cast("string"), 8, "0")))
+        .otherwise(F.concat(F.lit("Bezirksamt "), year, F.lit(" or Notizen "), year))
+    )
+    return o.select(k.alias("query_id"), q.alias("q"))
+
+
 @query()
 def o63_search_indexed(spark, sf):
     rows = projection(spark, sf)
-    return S.search_indexed(search_batch(spark, sf), S.build_postings(rows), rows).select("query_id", "doc_id", "score", "rank")
+    return P.search_indexed(web_batch(spark, sf), P.build_postings(rows), rows).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"""WITH {_MATCH}, f AS (SELECT unnest(['document_type', 'year', 'review_state', 'source', 'organization']) AS facet, unnest([document_type, year(document_date)::VARCHAR, status, source, organization_text]) AS value FROM hits JOIN batch USING (q)),
@@ -125,7 +143,7 @@ c AS (SELECT facet, value, count(*) AS n FROM f WHERE value IS NOT NULL AND valu
 SELECT facet, value, CASE WHEN facet = 'organization' THEN value ELSE array_to_string(list_transform(string_split(replace(value, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS label, n
 FROM r WHERE rn <= CASE WHEN facet = 'organization' THEN 50 ELSE 20 END""")
 def o64_search_facets(spark, sf):
-    return S.search_facets(S.match_lexical(search_batch(spark, sf), projection(spark, sf)))
+    return S.search_facets(S.match_counted(search_batch(spark, sf), projection(spark, sf)))
 
 
 @query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS pages FROM documents), e AS (SELECT doc_id, unnest(pages) AS page, generate_subscripts(pages, 1) AS n FROM p),

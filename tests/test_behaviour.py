@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from letterworks.functions import stem
 from letterworks.functions import text as T
-from letterworks.operators import entities, extract, migrate, ops, quality, review, search, temporal, versions
+from letterworks.operators import entities, extract, migrate, ops, postings, quality, review, search, temporal, versions
 from letterworks.plans import frames, search_queries
 from letterworks.sources import files
 from letterworks.streaming import incremental
@@ -195,7 +195,7 @@ def test_indexed_search_finds_inflected_words(spark):
     df = spark.createDataFrame([(1, "", "", "RE-1", "", "die Verträge der Häuser"), (2, "Vertrag", "", "", "", "ein Haus"), (3, "", "", "", "", "nichts")], "doc_id long, title_text string, organization_text string, identifier_text string, metadata_text string, body_text string")
     df = df.withColumn("document_date", F.lit(None).cast("date"))
     q = spark.createDataFrame([(1, "vertrag haus"), (2, "re-1"), (3, "haus -verträge"), (4, "fehlt")], "query_id long, q string")
-    got = {(r.query_id, r.doc_id): r.score for r in search.search_indexed(q, search.build_postings(df), df).collect()}
+    got = {(r.query_id, r.doc_id): r.score for r in postings.search_indexed(q, postings.build_postings(df), df).collect()}
     assert set(got) == {(1, 1), (1, 2), (2, 1)} and got[2, 1] > 2 and got[1, 2] > got[1, 1]
 
 
