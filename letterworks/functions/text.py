@@ -6,7 +6,6 @@ no built-in form; they are Arrow functions behind a guard or on pairs only.
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
@@ -14,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from letterworks.functions.blocks import ratio
+
 #: The fields that may hold a document's amount, by priority.
 AMOUNT_FIELDS = (
     "invoice_total",
@@ -45,7 +46,7 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
 def nfkc(c: Column) -> Column:

@@ -26,30 +26,57 @@ def upsert_versions(existing: DataFrame, incoming: DataFrame, identity: list[str
     return existing.unionByName(new)
 
 
-def compare_versions(pairs: DataFrame, base: str = "base", cand: str = "candidate") -> DataFrame:
-    """Hash equality, sizes, coverage, preservation of critical values, and the similarity ratio of each pair."""
+def solid_chars(c: Column) -> Column:
+    """Characters that are no white space."""
+    return F.length(F.regexp_replace(c, r"(?U)\s", ""))
+
+
+def coverage(base: Column, candidate: Column) -> Column:
+    """Share of the base's characters that the candidate has; of an empty base 1 if the candidate is empty too, else null."""
+    return F.round(F.when(base > 0, candidate / base).when(candidate == 0, 1.0), 6)
+
+
+def page_coverage(base: Column, candidate: Column) -> Column:
+    """For each page of either version: page, base_non_whitespace, candidate_non_whitespace, coverage."""
+    n = F.greatest(F.size(base), F.size(candidate))
+    count = lambda pages, i: solid_chars(T.tidy_lines(F.coalesce(F.get(pages, i), F.lit(""))))
+    counted = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("page"), count(base, i - 1).alias("x"), count(candidate, i - 1).alias("y")))
+    rows = F.transform(
+        counted, lambda p: F.struct(p["page"].alias("page"), p["x"].alias("base_non_whitespace"), p["y"].alias("candidate_non_whitespace"), coverage(p["x"], p["y"]).alias("coverage"))
+    )
+    return F.when(n > 0, rows).otherwise(F.array().cast("array<struct<page:int,base_non_whitespace:int,candidate_non_whitespace:int,coverage:double>>"))
+
+
+def compare_versions(pairs: DataFrame, base: str = "base", cand: str = "candidate", pages: tuple[str, str] | None = None, critical: str | None = None) -> DataFrame:
+    """``pairs`` plus equality of hashes, sizes, coverage, similarity, preserved critical values and coverage by page.
+
+    ``pages``: columns with the pages of both versions (arrays of texts); without them a text is one page.
+    ``critical``: a column with the values (array of texts) that the candidate should still have; empty ones do not
+    count, and without any there is no preservation. Columns that are not selected are not computed.
+    """
     a, b = F.col(base), F.col(cand)
-    solid = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
-    lines = lambda c: F.size(F.split(c, "\n"))
-    critical = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\d+(?:[.,]\d+)+"), F.lit(0)))
-    kept = F.size(F.array_intersect(critical(a), critical(b)))
+    pa, pb = (F.col(c) for c in pages) if pages else (F.array(a), F.array(b))
+    values = F.filter(F.col(critical), lambda v: v != "") if critical else F.array().cast("array<string>")
+    kept = F.size(F.filter(values, lambda v: b.contains(v)))
     return pairs.withColumns(
         {
             "hashes_equal": F.sha2(a, 256) == F.sha2(b, 256),
             "base_chars": F.length(a),
             "candidate_chars": F.length(b),
-            "coverage": F.round(F.when(solid(a) == 0, 1.0).otherwise(solid(b) / solid(a)), 6),
-            "base_pages": lines(a),
-            "candidate_pages": lines(b),
-            "critical_preserved": F.round(F.when(F.size(critical(a)) == 0, 1.0).otherwise(kept / F.size(critical(a))), 6),
-            "similarity": T.similarity_ratio(a, b),
+            "coverage": coverage(solid_chars(a), solid_chars(b)),
+            "base_pages": F.size(pa),
+            "candidate_pages": F.size(pb),
+            "critical_checked": F.size(values),
+            "critical_preserved": F.round(F.when(F.size(values) > 0, kept / F.size(values)), 6),
+            "page_coverage": page_coverage(pa, pb),
+            "similarity": F.round(T.similarity_ratio(a, b), 6),
         }
     )
 
 
 def comparison_status(equal: Column, similarity: Column, coverage: Column, preserved: Column) -> Column:
     """``equivalent`` for equal hashes, or very similar texts of about the same size without critical losses."""
-    close = (similarity >= 0.985) & coverage.between(0.98, 1.2) & (preserved >= 1)
+    close = (similarity >= 0.985) & coverage.between(0.98, 1.2) & (preserved.isNull() | (preserved >= 1))
     return F.when(equal | close, "equivalent").otherwise("review_required")
 
 

@@ -48,16 +48,38 @@ def _pairs(spark, sf):
     return v.where("version = 1").select("doc_id", F.col("body").alias("base")).join(v.where("version = 2").select("doc_id", F.col("body").alias("candidate")), "doc_id")
 
 
-_COMPARED = f"""{_VERSIONS}, p AS (SELECT a.doc_id, a.body AS base, b.body AS cand FROM versions a JOIN versions b USING (doc_id) WHERE a.version = 1 AND b.version = 2),
-m AS (SELECT doc_id, sha256(base) = sha256(cand) AS hashes_equal, CAST(length(base) AS INTEGER) AS base_chars, CAST(length(cand) AS INTEGER) AS candidate_chars,
-  length(regexp_replace(base, '\\s', '', 'g')) AS sa, length(regexp_replace(cand, '\\s', '', 'g')) AS sb,
-  list_distinct(regexp_extract_all(base, '\\d+(?:[.,]\\d+)+')) AS ca, list_distinct(regexp_extract_all(cand, '\\d+(?:[.,]\\d+)+')) AS cb FROM p)"""
+def _compared(spark, sf):
+    """Pairs of versions with their lines as pages; critical are all numbers of the base."""
+    lines = lambda c: F.split(c, "\n")
+    p = _pairs(spark, sf).withColumns({"base_lines": lines("base"), "candidate_lines": lines("candidate"), "numbers": F.array_distinct(F.regexp_extract_all("base", F.lit(r"\d+(?:[.,]\d+)+"), F.lit(0)))})
+    return V.compare_versions(p, pages=("base_lines", "candidate_lines"), critical="numbers")
 
 
-@query(f"""WITH {_COMPARED} SELECT doc_id, hashes_equal, base_chars, candidate_chars, CAST(CASE WHEN sa = 0 THEN 1.0 ELSE round(sb / sa, 6) END AS DOUBLE) AS coverage,
- CAST(CASE WHEN len(ca) = 0 THEN 1.0 ELSE round(len(list_intersect(ca, cb)) / len(ca), 6) END AS DOUBLE) AS critical_preserved FROM m""")
+_PAIRS = f"{_VERSIONS}, p AS (SELECT a.doc_id, a.body AS base, b.body AS cand FROM versions a JOIN versions b USING (doc_id) WHERE a.version = 1 AND b.version = 2)"
+_COMPARED = f"""{_PAIRS},
+m AS (SELECT doc_id, cand, sha256(base) = sha256(cand) AS hashes_equal, CAST(length(base) AS INTEGER) AS base_chars, CAST(length(cand) AS INTEGER) AS candidate_chars,
+  CAST(len(string_split(base, chr(10))) AS INTEGER) AS base_pages, CAST(len(string_split(cand, chr(10))) AS INTEGER) AS candidate_pages,
+  length(regexp_replace(base, '\\s', '', 'g')) AS sa, length(regexp_replace(cand, '\\s', '', 'g')) AS sb, list_distinct(regexp_extract_all(base, '\\d+(?:[.,]\\d+)+')) AS ca FROM p)"""
+
+
+@query(f"""WITH {_COMPARED} SELECT doc_id, hashes_equal, base_chars, candidate_chars, base_pages, candidate_pages, CAST(CASE WHEN sa > 0 THEN round(sb / sa, 6) WHEN sb = 0 THEN 1.0 END AS DOUBLE) AS coverage,
+ CAST(len(ca) AS INTEGER) AS critical_checked, CAST(CASE WHEN len(ca) > 0 THEN round(len(list_filter(ca, lambda x: contains(cand, x))) / len(ca), 6) END AS DOUBLE) AS critical_preserved FROM m""")
 def o39_compare_versions(spark, sf):
-    return V.compare_versions(_pairs(spark, sf)).select("doc_id", "hashes_equal", "base_chars", "candidate_chars", "coverage", "critical_preserved")
+    return _compared(spark, sf).select("doc_id", "hashes_equal", "base_chars", "candidate_chars", "base_pages", "candidate_pages", "coverage", "critical_checked", "critical_preserved")
+
+
+@query(f"""WITH {_PAIRS}, l AS (SELECT doc_id, string_split(base, chr(10)) AS x, string_split(cand, chr(10)) AS y FROM p),
+e AS (SELECT doc_id, i AS page, length(regexp_replace(coalesce(x[i], ''), '\\s', '', 'g')) AS nx, length(regexp_replace(coalesce(y[i], ''), '\\s', '', 'g')) AS ny FROM (SELECT *, unnest(range(1, greatest(len(x), len(y)) + 1)) AS i FROM l))
+SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(nx AS INTEGER) AS base_non_whitespace, CAST(ny AS INTEGER) AS candidate_non_whitespace, CAST(CASE WHEN nx > 0 THEN round(ny / nx, 6) WHEN ny = 0 THEN 1.0 END AS DOUBLE) AS coverage FROM e""")
+def o39_page_coverage(spark, sf):
+    return _compared(spark, sf).select("doc_id", F.inline("page_coverage"))
+
+
+@query()
+def o39_version_similarity(spark, sf):
+    """Similarity of whole texts and the status that follows; matching blocks are no SQL, the tests hold them against a plain version."""
+    rows = _compared(spark, sf).select("doc_id", "hashes_equal", "coverage", "critical_preserved", "similarity")
+    return rows.select("doc_id", "similarity", V.comparison_status(*(F.col(c) for c in ("hashes_equal", "similarity", "coverage", "critical_preserved"))).alias("status"))
 
 
 @query("""WITH s AS (SELECT o_orderkey AS id, o_orderkey % 4 = 0 AS eq, 0.98 + (o_orderkey % 10) * 0.001 AS sim, 0.9 + (o_orderkey % 7) * 0.05 AS cov, CASE WHEN o_orderkey % 5 = 0 THEN 0.5 ELSE 1.0 END AS kept FROM orders)
