@@ -236,19 +236,66 @@ def highlights(text: Column, terms: Column) -> Column:
     return F.aggregate(ranges.cast("array<struct<start:int,end:int>>"), empty, add)
 
 
+#: Columns that a stored filter may fix, and the binned and the other ranges that it may set (column: lowest, highest).
+SAVED_EQUAL = ("life_area", "document_type", "status", "source")
+SAVED_AMOUNT = ("amount_value", "amount_min", "amount_max")
+SAVED_DATE = ("document_date", "date_from", "date_to")
+SAVED_BINS = 64
+
+
+def check_saved_searches(saved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored filters that hold, and (saved_id, reason) of the others: a name its owner has used before, or an empty range."""
+    order = Window.partitionBy("owner", "name").orderBy("saved_id")
+    wrong = lambda low, high: F.col(low) > F.col(high)
+    reason = F.when(F.row_number().over(order) > 1, "name_in_use").when(wrong(*SAVED_AMOUNT[1:]), "amount_range").when(wrong(*SAVED_DATE[1:]), "date_range")
+    rows = saved.withColumn("reason", reason)
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("saved_id", "reason")
+
+
 def run_saved_searches(saved: DataFrame, projection: DataFrame) -> DataFrame:
-    """Hit counts of stored filter sets (saved_id, life_area, document_type, amount_min, amount_max; null means any)."""
-    s = saved.select("saved_id", *[F.col(c).alias(f"_{c}") for c in ("life_area", "document_type", "amount_min", "amount_max")])
-    any_or = lambda test, c: F.col(c).isNull() | test
-    on = (
-        any_or(F.col("life_area") == F.col("_life_area"), "_life_area")
-        & any_or(F.col("document_type") == F.col("_document_type"), "_document_type")
-        & any_or(F.col("amount_value") >= F.col("_amount_min"), "_amount_min")
-        & any_or(F.col("amount_value") <= F.col("_amount_max"), "_amount_max")
-    )
-    blocks = [projection.join(F.broadcast(b), on).groupBy("saved_id").agg(F.count(F.lit(1)).alias("hits")) for b in query_blocks(s, "saved_id")]
-    hits = reduce(DataFrame.unionByName, blocks)
-    return saved.select("saved_id").join(hits, "saved_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    """Hit counts of any number of stored filter sets; a filter column that is null or absent means any.
+
+    An index of the filters is joined by equality: the fixed columns are a key (with the set of those fixed), amounts are
+    binned by quantiles. Rows are counted by values first. Bins that lie within a filter's range are answered from the
+    counts of bins; rows are compared with a filter's ends only in the bins of these ends, or in all of its bins if it
+    has a range of dates too.
+    """
+    have = [c for c in SAVED_EQUAL if c in saved.columns]
+    amount, low, high = SAVED_AMOUNT
+    day, since, until = SAVED_DATE
+    dated = since in saved.columns or until in saved.columns
+    given = lambda c, kind: F.col(c).cast(kind) if c in saved.columns else F.lit(None).cast(kind)
+    mask = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(have)), F.lit(0))
+    s = saved.select("saved_id", mask.alias("mask"), *[F.col(c).alias(f"_{c}") for c in have], given(low, "decimal(18,2)").alias("lo"), given(high, "decimal(18,2)").alias("hi"), given(since, "date").alias("since"), given(until, "date").alias("until"))
+    cuts = projection.agg(F.percentile_approx(amount, [i / SAVED_BINS for i in range(1, SAVED_BINS)])).first()[0] or []
+    edges = F.array(*[F.lit(c).cast("decimal(18,2)") for c in sorted(set(cuts))]).cast("array<decimal(18,2)>")
+    bin_of = lambda v: F.size(F.filter(edges, lambda c: c < v))
+    whole = F.col("lo").isNull() & F.col("hi").isNull() & F.col("since").isNull() & F.col("until").isNull()
+    ranged = F.col("lo").isNotNull() | F.col("hi").isNotNull()
+    first, last = bin_of(F.col("lo")), F.when(F.col("hi").isNull(), len(set(cuts))).otherwise(bin_of(F.col("hi")))
+    # Bin -1 holds every row, with and without an amount.
+    bins = F.when(whole | ~ranged, F.array(F.lit(-1))).when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    inner = ((F.col("bin") > F.col("first")) | F.col("lo").isNull()) & ((F.col("bin") < F.col("last")) | F.col("hi").isNull()) & F.col("since").isNull() & F.col("until").isNull()
+    s = s.withColumns({"first": first, "last": last}).select("*", F.explode(bins).alias("bin")).withColumn("inner", inner)
+    s = stage(s, "saved-filters")
+
+    masks = [r.mask for r in s.select("mask").distinct().collect()]  # sets of fixed columns: at most two to the number of them
+    rows = projection.groupBy(*have, amount, *([day] if dated else [])).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks]))) if masks else rows.withColumn("mask", F.lit(0)).limit(0)
+    fixed = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    rows = rows.select("mask", *[F.when(fixed(i), F.col(c)).alias(f"_{c}") for i, c in enumerate(have)], F.col(amount).alias("v"), (F.col(day) if dated else F.lit(None).cast("date")).alias("d"), "n")
+    own = F.when(F.col("v").isNotNull(), F.array(F.lit(-1), bin_of(F.col("v")))).otherwise(F.array(F.lit(-1)))
+    keys = ["mask", *[f"_{c}" for c in have], "bin"]
+    rows = stage(rows.select("*", F.explode(own).alias("bin")).groupBy(*keys, "v", "d").agg(F.sum("n").alias("n")), "saved-rows")
+    same = lambda x, y: reduce(lambda p, q: p & q, [x[k].eqNullSafe(y[k]) for k in keys])
+    counts = rows.groupBy(*keys).agg(F.sum("n").alias("n"))
+    full, edge = s.where("inner"), s.where("not inner")
+    sums = full.join(counts, same(full, counts)).select("saved_id", "n")
+    fits = lambda test, c: F.col(c).isNull() | test
+    within = fits(F.col("v") >= F.col("lo"), "lo") & fits(F.col("v") <= F.col("hi"), "hi") & fits(F.col("d") >= F.col("since"), "since") & fits(F.col("d") <= F.col("until"), "until")
+    met = edge.join(rows, same(edge, rows)).where(within).select("saved_id", "n")
+    hits = sums.unionByName(met).groupBy("saved_id").agg(F.sum("n").alias("hits"))
+    return saved.select("saved_id").join(hits, "saved_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
 
 
 def list_documents(docs: DataFrame, order: list[Column], limit: int, offset: int = 0, contains: tuple[str, str] | None = None) -> DataFrame:

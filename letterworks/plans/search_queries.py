@@ -156,19 +156,42 @@ def o65_snippets(spark, sf):
     return rows.select("doc_id", F.array_join(F.transform("s", lambda x: F.concat(x["page"].cast("string"), F.lit(":"), x["text"])), "|").alias("snippets"))
 
 
-@query(f"""WITH {PROJECTION}, s AS (SELECT c_custkey AS saved_id, CASE WHEN c_custkey % 3 > 0 THEN CASE WHEN c_custkey % 3 = 1 THEN 'finance' ELSE 'personal' END END AS a, CASE WHEN c_custkey % 4 = 0 THEN 'contract' END AS ty,
-  CASE WHEN c_custkey % 2 = 0 THEN 50000 + c_custkey * 1000 END AS lo, CASE WHEN c_custkey % 5 = 0 THEN 300000 END AS hi FROM customer WHERE c_custkey % 100 = 0)
-SELECT saved_id, count(doc_id) AS hits FROM s LEFT JOIN proj ON (a IS NULL OR life_area = a) AND (ty IS NULL OR document_type = ty) AND (lo IS NULL OR amount_value >= lo) AND (hi IS NULL OR amount_value <= hi) GROUP BY saved_id""")
-def o66_run_saved_searches(spark, sf):
+_SAVED = """s AS (SELECT c_custkey AS saved_id, 'owner-' || (c_custkey % 300 // 100) AS owner, 'search-' || (c_custkey // 100 % 50) AS name, CASE c_custkey // 100 % 3 WHEN 1 THEN 'finance' WHEN 2 THEN 'personal' END AS a,
+  CASE WHEN c_custkey // 100 % 4 = 0 THEN 'contract' END AS ty, CASE WHEN c_custkey // 100 % 7 = 1 THEN 'ready' END AS st, CASE WHEN c_custkey // 100 % 5 = 3 THEN 'src1' END AS src,
+  CASE WHEN c_custkey // 100 % 2 = 0 THEN CAST(50000 + c_custkey * 10 AS DECIMAL(18,2)) END AS lo, CASE WHEN c_custkey // 100 % 5 = 0 THEN CAST(200000 AS DECIMAL(18,2)) END AS hi,
+  CASE WHEN c_custkey // 100 % 6 = 2 THEN DATE '2021-03-01' + CAST(c_custkey % 700 AS INTEGER) END AS df, CASE WHEN c_custkey // 100 % 9 = 2 THEN DATE '2022-06-30' END AS dt FROM customer WHERE c_custkey % 100 = 0)"""
+_CHECKED = """v AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY owner, name ORDER BY saved_id) > 1 THEN 'name_in_use' WHEN lo > hi THEN 'amount_range' WHEN df > dt THEN 'date_range' END AS reason FROM s)"""
+
+
+def _saved(spark, sf):
+    """A stored filter set for every customer whose key is divisible by 100."""
     c, k = table(prepare(spark), sf, "customer").where("c_custkey % 100 = 0"), F.col("c_custkey")
-    saved = c.select(
+    h = F.floor(k / 100)
+    return c.select(
         k.alias("saved_id"),
-        F.when(k % 3 == 1, "finance").when(k % 3 == 2, "personal").alias("life_area"),
-        F.when(k % 4 == 0, "contract").alias("document_type"),
-        F.when(k % 2 == 0, 50000 + k * 1000).alias("amount_min"),
-        F.when(k % 5 == 0, 300000).alias("amount_max"),
+        F.concat(F.lit("owner-"), F.floor(k % 300 / 100).cast("string")).alias("owner"),
+        F.concat(F.lit("search-"), (h % 50).cast("string")).alias("name"),
+        F.when(h % 3 == 1, "finance").when(h % 3 == 2, "personal").alias("life_area"),
+        F.when(h % 4 == 0, "contract").alias("document_type"),
+        F.when(h % 7 == 1, "ready").alias("status"),
+        F.when(h % 5 == 3, "src1").alias("source"),
+        F.when(h % 2 == 0, 50000 + k * 10).cast("decimal(18,2)").alias("amount_min"),
+        F.when(h % 5 == 0, 200000).cast("decimal(18,2)").alias("amount_max"),
+        F.when(h % 6 == 2, F.date_add(F.lit("2021-03-01").cast("date"), (k % 700).cast("int"))).alias("date_from"),
+        F.when(h % 9 == 2, F.lit("2022-06-30").cast("date")).alias("date_to"),
     )
-    return S.run_saved_searches(saved, projection(spark, sf))
+
+
+@query(f"""WITH {PROJECTION}, {_SAVED}, {_CHECKED}
+SELECT saved_id, count(doc_id) AS hits FROM v LEFT JOIN proj ON (a IS NULL OR life_area = a) AND (ty IS NULL OR document_type = ty) AND (st IS NULL OR status = st) AND (src IS NULL OR source = src)
+  AND (lo IS NULL OR amount_value >= lo) AND (hi IS NULL OR amount_value <= hi) AND (df IS NULL OR document_date >= df) AND (dt IS NULL OR document_date <= dt) WHERE reason IS NULL GROUP BY saved_id""")
+def o66_run_saved_searches(spark, sf):
+    return S.run_saved_searches(S.check_saved_searches(_saved(spark, sf))[0], projection(spark, sf))
+
+
+@query(f"WITH {_SAVED}, {_CHECKED} SELECT saved_id, reason FROM v WHERE reason IS NOT NULL")
+def o66_rejected_searches(spark, sf):
+    return S.check_saved_searches(_saved(spark, sf))[1]
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE contains(lower(text), 'the') ORDER BY n_chars DESC, doc_id LIMIT 25 OFFSET 50")

@@ -125,3 +125,30 @@ def test_covers_hold_every_item():
         items = [sorted({(a, a + k) for a in draw.choices(range(25), k=draw.randrange(1, 6))}) for k in draw.choices((0, 0, 1, 2), k=draw.randrange(1, 4))]
         holds = {(a, b) for a in range(30) for b in range(a, 30) if all(any(a <= x and y <= b for x, y in i) for i in items)}
         assert postings.minimal_covers(items) == sorted((a, b) for a, b in holds if (a + 1, b) not in holds and (a, b - 1) not in holds)
+
+
+def test_stored_filters_are_counted_as_by_a_plain_loop(spark):
+    import datetime
+
+    from letterworks.operators import search
+
+    draw = random.Random(8)
+    day = lambda: draw.choice([None, datetime.date(2020, 1, draw.randrange(1, 28))])
+    some = lambda *x: draw.choice([None, *x])
+    rows = [(i, some("a", "b"), some("x", "y"), some("r"), draw.choice([None, 7.25, float(draw.randrange(50)), draw.randrange(2000) / 100]), day()) for i in range(400)]
+    filters = [(i, some("a", "b"), some("x"), some("r"), some(7.25, float(draw.randrange(30)), 49.0), some(7.25, float(draw.randrange(60))), day(), day()) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id int, life_area string, document_type string, status string, v double, document_date date").selectExpr("*", "cast(v as decimal(18,2)) as amount_value")
+    saved = spark.createDataFrame(filters, "saved_id int, life_area string, document_type string, status string, lo double, hi double, date_from date, date_to date").selectExpr("*", "cast(lo as decimal(18,2)) as amount_min", "cast(hi as decimal(18,2)) as amount_max")
+    fits = lambda test, bound: bound is None or test
+    above = lambda v, lo: lo is None or v is not None and v >= lo
+    below = lambda v, hi: hi is None or v is not None and v <= hi
+    want = {f[0]: sum(all(fits(r[i] == f[i], f[i]) for i in (1, 2, 3)) and above(r[4], f[4]) and below(r[4], f[5]) and above(r[5], f[6]) and below(r[5], f[7]) for r in rows) for f in filters}
+    found = search.run_saved_searches(saved, df)
+    assert {r.saved_id: r.hits for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.hits for r in search.run_saved_searches(saved, df.limit(0)).collect()} == {0}
+    assert search.run_saved_searches(saved.limit(0), df).collect() == []
+    named = saved.selectExpr("*", "'o' as owner", "cast(saved_id % 100 as string) as name")
+    good, bad = search.check_saved_searches(named)
+    assert {(r.saved_id, r.reason) for r in bad.collect() if r.saved_id >= 100} == {(i, "name_in_use") for i in range(100, 120)}
+    assert good.count() + bad.count() == 120
