@@ -6,19 +6,20 @@ size are embedded by the CGK random walk: at each step the symbol under the
 walker is written, and a random bit of step and symbol says whether the walker
 moves on; close windows fall into step again after each edit, so edit distance
 becomes Hamming distance. Each repetition samples ``SAMPLES`` places of a walk of
-its own as a hash; the number of repetitions is, for each class of item sizes, the
-least that reaches ``RECALL`` for its items with as many edits as allowed, measured on
-an edited copy of every item. Windows and items with an equal hash are verified by
-exact alignment. Items of a class that ``MAX_REPEATS`` repetitions do not bring to the
-target are aligned with every window that shares a seed with them instead.
+its own as a hash. The number of repetitions is, for each class of item sizes, the
+least that finds fresh copies with as many edits as allowed: ``COPIES`` of every group of
+like sizes, half with substitutions only, half with edits of all kinds, and of the worst
+group the lower confidence bound must reach ``RECALL``. Windows and items with an equal
+hash are verified by exact alignment. Items of a class that ``MAX_REPEATS`` repetitions do
+not bring to the target are aligned with every window that shares a seed with them instead.
 
 Only windows that can hold a match are embedded: within the allowed edits at
 least one run of ``q`` words of the item is untouched (q, at most 3, follows from the
 item's length), and it fixes where the window would lie. That test loses nothing.
 
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.
-Defined results: null or wordless texts leak nothing; items of fewer than
-``MIN_ITEM_WORDS`` words, which cannot identify a passage, never match; repeated
+Defined results: null or wordless texts leak nothing, wordless items never match; items
+of fewer than ``EXACT_BELOW`` words allow no edit and match word for word; repeated
 items and documents give their own rows, null ids included; of windows with equally
 few edits the first is reported; texts of any length are searched whole; other columns
 of both tables, whatever their names, are not read; empty tables give an empty result.
@@ -41,7 +42,10 @@ MAX_EDITS = 0.2
 RECALL = 0.99
 SAMPLES = 2
 MAX_REPEATS = 96
-MIN_ITEM_WORDS = 5
+#: Edited copies of each group of sizes, groups of a class at most, and the normal quantile of the confidence bound (95 %).
+COPIES, SIZE_GROUPS, QUANTILE = 1024, 8, 1.645
+#: Smaller items allow no edit: they are looked up as they are.
+EXACT_BELOW = ceil(1 / MAX_EDITS)
 #: Bytes of items that are sent to all tasks at once; more are done in several passes.
 BLOCK_BYTES = 16 << 20
 PAD = np.uint64(0x5851F42D4C957F2D)
@@ -104,18 +108,46 @@ def edited(h: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def repeats_for(items: list[np.ndarray], walks: Walks, recall: float = RECALL) -> int | None:
-    """The least number of repetitions with the wished mean recall on an edited copy of every item; None if ``walks`` has too few."""
+def substituted(h: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """An item with ``n`` other words in place of its own."""
+    out = h.copy()
+    out[rng.choice(len(h), n, replace=False)] = rng.integers(1, 1 << 63, n).astype(np.uint64)
+    return out
+
+
+def lower_bound(found: int, n: int) -> float:
+    """Lower confidence bound of a share of which ``found`` of ``n`` were seen."""
+    p, z = found / n, QUANTILE**2 / n
+    return (p + z / 2 - (z * (p * (1 - p) + z / 4)) ** 0.5) / (1 + z)
+
+
+def repeats_for(items: list[np.ndarray], walks: Walks, recall: float = RECALL, copies: int = COPIES) -> int | None:
+    """The least number of repetitions that finds the copies of every group of sizes; None if ``walks`` has too few."""
     rng = np.random.default_rng(7)
-    both = [x for h in items for x in (h, edited(h, allowed(len(h)), rng)[: len(h)])]
+    by_size = sorted(items, key=len)
+    n_groups = min(len({len(h) for h in items}), max(1, min(SIZE_GROUPS, 512 // len(by_size[0]))))
+    groups = [g for g in (by_size[k * len(by_size) // n_groups : (k + 1) * len(by_size) // n_groups] for k in range(n_groups)) if g]
+    both, item, group = list(by_size), [], []
+    number = 0
+    for k, own in enumerate(groups):
+        for c in range(max(copies, 2 * len(own))):
+            i = (c // 2) % len(own)
+            h = own[i]
+            both.append((edited, substituted)[c % 2](h, allowed(len(h)), rng)[: len(h)])
+            item.append(number + i)
+            group.append(k)
+        number += len(own)
     size = np.array([len(x) for x in both])
     start = np.cumsum(size) - size
     flat = np.concatenate(both)
-    missed = np.ones(len(items), bool)
+    n = len(items)
+    item, group = np.array(item), np.array(group)
+    missed, of_group = np.arange(len(item)), np.bincount(group)
     for r in range(len(walks.places)):
-        keys = walks.keys(flat, start, size, r)
-        missed &= keys[::2] != keys[1::2]
-        if missed.mean() <= 1 - recall:
+        keys = walks.keys(flat, start[:n], size[:n], r)
+        missed = missed[walks.keys(flat, start[n + missed], size[n + missed], r) != keys[item[missed]]]
+        left = np.bincount(group[missed], minlength=len(of_group))
+        if min(lower_bound(int(a - m), int(a)) for a, m in zip(of_group, left, strict=True)) >= recall:
             return r + 1
     return None
 
@@ -140,13 +172,23 @@ class Index:
         for i, text in zip(ids, texts, strict=True):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             h = Words(raw, np.array([0, len(raw)]), fold=True, loose=True).hashes
-            if len(h) >= MIN_ITEM_WORDS:
+            if len(h):
                 self.ids.append(i)
                 self.items.append(h)
+        #: Sizes without edits -> sorted hashes of the items of that size, with the items.
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m in range(1, EXACT_BELOW):
+            own = np.array([i for i, h in enumerate(self.items) if len(h) == m], np.int64)
+            if len(own):
+                keys = np.array([seed_hashes(self.items[i], m)[0] for i in own], np.uint64)
+                order = np.argsort(keys, kind="stable")
+                self.exact[m] = keys[order], own[order]
         #: q -> sorted seeds, bounds of their places, and (offset in the item, size of the item) of each place.
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         found: dict[int, list] = {}
         for h in self.items:
+            if len(h) < EXACT_BELOW:
+                continue
             q = seed_size(len(h))
             s = seed_hashes(h, q)
             found.setdefault(q, []).append(np.rec.fromarrays([s, np.arange(len(s)), np.full(len(s), len(h))], names="s,o,m"))
@@ -163,7 +205,9 @@ class Index:
         self.aligned: dict[int, np.ndarray] = {}
         classes = size_class(sizes) if len(sizes) else sizes
         for low in np.unique(classes).tolist():
-            own = np.flatnonzero(classes == low)
+            own = np.flatnonzero((classes == low) & (sizes >= EXACT_BELOW))
+            if not len(own):
+                continue
             walks, tables = Walks(low, MAX_REPEATS), []
             repeats = repeats_for([self.items[i] for i in own], walks)
             if repeats is None:
@@ -213,11 +257,27 @@ class Index:
                         out.append(np.stack([own, np.full(len(own), i)]))
         return out
 
+    def _exact(self, w: Words) -> list[tuple[int, int, int, int, int]]:
+        """The first place of each text where an item without edits stands."""
+        out = []
+        stop = np.repeat(w.bounds[1:], w.counts())
+        for m, (keys, items) in self.exact.items():
+            s = seed_hashes(w.hashes, m)
+            lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
+            at = np.flatnonzero((hi > lo) & (np.arange(len(s)) + m <= stop[: len(s)]))
+            owner = np.searchsorted(w.bounds, at, "right") - 1
+            _, first = np.unique(np.stack([owner, lo[at]]), axis=1, return_index=True)
+            for k in first.tolist():
+                for j in range(lo[at[k]], hi[at[k]]):
+                    out.append((int(owner[k]), int(items[j]), int(at[k] - w.bounds[owner[k]]), m, 0))
+        return out
+
     def leaks(self, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word of the window, words of the item, edits) of each leak, the best for each text and item."""
         w = Words(raw, offs, fold=True, loose=True)
         if not self.items or not len(w.hashes):
             return []
+        exact = self._exact(w)
         owner, start, size = self.windows(w)
         pairs = []
         # A window may be cut at the end of a text, so it is looked up among the items of its class and the next.
@@ -231,7 +291,7 @@ class Index:
                 pairs.append(np.stack([np.repeat(own, n), items[which]]))
         pairs += self._seeded(w, owner, start)
         if not pairs:
-            return []
+            return exact
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for i, item in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
             h = self.items[item]
@@ -245,7 +305,7 @@ class Index:
             edits = alignment(h, near)
             if edits <= e:
                 best[owner[i], item] = min(best.get((owner[i], item), (1 << 30, 0)), (edits, int(start[i] - lo)))
-        return [(int(o), item, at, len(self.items[item]), edits) for (o, item), (edits, at) in best.items()]
+        return exact + [(int(o), item, at, len(self.items[item]), edits) for (o, item), (edits, at) in best.items()]
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
@@ -261,11 +321,13 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
 def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item it leaks: doc_id, item_id, at_word, item_words, edits.
 
-    Documents are read once for each block of items; nothing is shuffled.
+    Documents are read once for each block of items; nothing is shuffled. Ids are whole numbers or binary keys.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, at_word long, item_words long, edits long"
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kind = "binary" if dict(docs.dtypes)[id_col] == "binary" else "long"
+    kinds = [pa.binary() if kind == "binary" else pa.int64()] + [pa.int64()] * 4
+    schema = f"doc_id {kind}, item_id long, at_word long, item_words long, edits long"
+    slim = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for index in _blocks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(index)
@@ -278,7 +340,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col
                 for first, raw, offs in pieces(batch.column(1)):
                     rows += [(ids[first + o].as_py(), index.ids[i], at, m, e) for o, i, at, m, e in index.leaks(raw, offs)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "at_word", "item_words", "edits"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "at_word", "item_words", "edits"])
 
         part = slim.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

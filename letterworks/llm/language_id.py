@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
@@ -200,11 +200,16 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     langs = sorted(sizes)
     df, n_docs = document_counts(labelled)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    quota = max(1, sample_docs // len(langs))
-    rates = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, quota / sizes[k]))])
+    # More languages than places in the sample: the most frequent ones have one each.
+    placed = sorted(langs, key=lambda k: (-sizes[k], k))[:sample_docs]
+    quota = sample_docs // max(len(placed), 1)
+    rates = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 2 * quota / sizes[k]) if k in placed else 0.0)])
     draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 20)) / float(1 << 20)
     part = F.pmod(F.hash("id", F.lit(1)), F.lit(1000)) < CALIBRATION_SHARE * 1000
-    sample = stage(labelled.where(draw < rates[F.col("lang")]).withColumn("calibrate", part), "lang-sample")
+    # Twice as many are drawn by hash as have a place, then exactly so many stay, however often rows repeat.
+    order_of = Window.partitionBy("lang").orderBy(F.xxhash64("id", "lang"), "id", F.xxhash64("text"))
+    drawn = labelled.where(draw < rates[F.col("lang")]).withColumn("_n", F.row_number().over(order_of)).where(F.col("_n") <= quota).drop("_n")
+    sample = stage(drawn.withColumn("calibrate", part), "lang-sample")
     order = {k: i for i, k in enumerate(langs)}
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

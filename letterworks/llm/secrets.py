@@ -24,6 +24,8 @@ to the results; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 IDENT = r"""(?i:(user(?:name|_?id)?|login|client_?id|account(?:_?id)?|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 #: Identifiers whose makers mark them by a prefix.
-MARKED = r"(?<![A-Za-z0-9])(?:ASIA[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|[0-9]{12}-[a-z0-9]{32}\.apps|AC[0-9a-f]{32})(?![A-Za-z0-9])"
+MARKED = r"(?<![A-Za-z0-9])(?:ASIA[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|[0-9]{12}-[a-z0-9]{32}\.apps)(?![A-Za-z0-9])"
 BLOB = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[^\x20\x09-\x0D"'<>,;]+"""
 
@@ -52,12 +54,15 @@ BIN = 512
 MIN_WEAK = 6
 #: Matches that are located together; see ``_spans``.
 BLOCK = 256
+#: A text has fewer spans of a pattern than two to this.
+MOST_SPANS_BITS = 28
 
 
-def _spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Column:
+def _spans(text: Column, pattern: str, kind: str, keep, group: int = 0, signs: tuple[str, ...] = ()) -> Column:
     """Spans of the leftmost non-overlapping matches of a pattern for which ``keep(match, group)`` holds.
 
-    Splitting at the pattern gives the texts between the matches; running lengths of both give the places.
+    Splitting at the pattern gives the texts between the matches; running lengths of both give the places. A match holds
+    one of ``signs``, so texts without them are passed over.
     """
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     rank = KINDS.index(kind)
@@ -74,25 +79,39 @@ def _spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Colum
         return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(a["out"], F.array(d["out"])).alias("out")))
 
     def located(gaps: Column) -> Column:
-        found = F.arrays_zip(
-            F.transform(gaps, F.length).alias("gap"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
-        )
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.array().cast("array<string>")
+        found = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), hits.alias("hit"), parts.alias("part"))
         # Appending copies, so spans are gathered in blocks and the blocks in a list of their own.
         blocks = let(found, lambda f: F.transform(F.sequence(F.lit(0), F.floor((F.size(f) - 1) / BLOCK).cast("int")), lambda k: F.slice(f, k * BLOCK + 1, BLOCK)))
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,rank:int,end:int>>>").alias("out"))
         return F.aggregate(blocks, start, in_block, lambda a: F.flatten(a["out"]))
 
-    return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), located)).otherwise(empty)
+    test = text.rlike(pattern)
+    if signs:
+        test = reduce(lambda a, b: a | b, [text.contains(x) for x in signs]) & test
+    return F.when(test, let(F.split(text, pattern, -1), located)).otherwise(empty)
+
+
+def _over(x: Column, spans: Column) -> Column:
+    """Whether a span overlaps one of ``spans``, which are in order and do not overlap each other: by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_SPANS_BITS))])
+    further = lambda at, step: (at + step <= F.size(spans)) & F.coalesce(F.get(spans, at + step - 1)["start"] < x["end"], F.lit(False))
+    before = F.aggregate(steps, F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+    return (F.size(spans) > 0) & F.coalesce(F.get(spans, before - 1)["end"] > x["start"], F.lit(False))
+
+
+def _distinct(spans: Column) -> Column:
+    """The different spans in order."""
+    return let(F.sort_array(spans), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))
 
 
 def base_spans(text: Column) -> Column:
     """Array of ``{start, rank, end}`` of the three base kinds in order of start, then kind."""
     return F.sort_array(
         F.concat(
-            _spans(text, ASSIGN, "assign", lambda m, g: F.length(g) >= MIN_ASSIGN, 2),
-            _spans(text, ACCESS, "access", lambda m, g: F.length(m) >= MIN_ACCESS),
+            _spans(text, ASSIGN, "assign", lambda m, g: F.length(g) >= MIN_ASSIGN, 2, (":", "=")),
+            _spans(text, ACCESS, "access", lambda m, g: F.length(m) >= MIN_ACCESS, signs=("AKIA",)),
             # A run of 16 or more is a whole run: shorter runs are passed over and nothing else can start inside one.
             _spans(text, HEX, "hex", lambda m, g: F.lit(True)),
         )
@@ -103,13 +122,27 @@ def weak_spans(text: Column, base: Column) -> Column:
     """Array of the spans of weak parts, without those that overlap a base span."""
     mixed = lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
     every = lambda m, g: F.lit(True)
-    over = lambda x, spans: F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    names = F.array_distinct(F.concat(_spans(text, IDENT, "ident", every, 2), _spans(text, MAIL, "ident", every), _spans(text, MARKED, "ident", every)))
-    short = _spans(text, ASSIGN, "weak", lambda m, g: F.length(g).between(MIN_WEAK, MIN_ASSIGN - 1), 2)
-    secrets = F.array_distinct(F.concat(short, _spans(text, BLOB, "weak", lambda m, g: mixed(m))))
-    ends = F.array_distinct(F.concat(_spans(text, ENDPOINT, "endpoint", every), _spans(text, ADDRESS, "endpoint", every)))
-    ends = let(names, lambda n: F.filter(ends, lambda x: ~over(x, n)))
-    return F.filter(F.concat(names, secrets, ends), lambda x: ~over(x, base))
+    names = (
+        _spans(text, IDENT, "ident", every, 2, (":", "=")),
+        _spans(text, MAIL, "ident", every, signs=("@",)),
+        _spans(text, MARKED, "ident", every, signs=("ASIA", "AIza", ".apps")),
+    )
+    short = _spans(text, ASSIGN, "weak", lambda m, g: F.length(g).between(MIN_WEAK, MIN_ASSIGN - 1), 2, (":", "="))
+    secrets = F.concat(short, _spans(text, BLOB, "weak", lambda m, g: mixed(m)))
+    ends = F.concat(_spans(text, ENDPOINT, "endpoint", every, signs=("://",)), _spans(text, ADDRESS, "endpoint", every, signs=(".",)))
+
+    def outside(spans: Column, others: Column) -> Column:
+        return F.filter(spans, lambda x: ~_over(x, others))
+
+    def free(found: Column) -> Column:
+        """``found``: the spans of each pattern of names; each is in order."""
+        ends_left = reduce(outside, [found[f"n{k}"] for k in range(3)], ends)
+        every_name = _distinct(F.concat(*[found[f"n{k}"] for k in range(3)]))
+        return F.concat(every_name, _distinct(secrets), _distinct(ends_left))
+
+    weak = let(F.struct(*[n.alias(f"n{k}") for k, n in enumerate(names)]), free)
+    of_kind = lambda k: F.filter(base, lambda b: b["rank"] == k)
+    return let(F.struct(*[of_kind(k).alias(f"b{k}") for k in range(3)]), lambda b: reduce(outside, [b[f"b{k}"] for k in range(3)], weak))
 
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -147,8 +180,8 @@ def scan(docs: DataFrame, text_col: str = "text", keep_cols: tuple[str, ...] = (
     found = docs.select(row, text_key(F.col(text_col)).alias("text_key"), text.alias("_text"), base_spans(text).alias("base"))
     found = found.select("_row", "text_key", "_text", "base", weak_spans(F.col("_text"), F.col("base")).alias("weak"))
     both = lambda m: m.rlike("[0-9]") & m.rlike("[a-f]")
-    hexed = lambda x: (x["rank"] == KINDS.index("hex")) & both(F.substring("_text", x["start"] + 1, x["end"] - x["start"]))
-    secret = F.transform("base", lambda x: (x["rank"] == KINDS.index("assign")) | hexed(x))
+    hexed = _spans(F.col("_text"), HEX, "hex", lambda m, g: both(m))
+    secret = let(hexed, lambda h: F.transform("base", lambda x: (x["rank"] == KINDS.index("assign")) | (x["rank"] == KINDS.index("hex")) & _over(x, h)))
     found = found.select("_row", "text_key", "base", "weak", F.when(F.size("weak") > 0, secret).alias("proofs"))
     found = stage(found, "secret-spans")
     part = lambda x, proof: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), proof.alias("secret"))

@@ -68,6 +68,19 @@ def test_language_of_one_labelled_row(spark):
         assert out.columns == ["doc_id", "logits", "has", "_row", "lang_pred", "score"] and [r.lang_pred for r in out.collect()] == ["en"]
 
 
+def test_the_sample_is_bounded_however_often_rows_repeat(spark, monkeypatch):
+    kept = []
+    inner = language_id.stage
+    monkeypatch.setattr(language_id, "stage", lambda df, name: kept.append(inner(df, name)) or kept[-1])
+    same = spark.range(20_000).selectExpr("cast(7 as long) as id", "'the same text' as text", "'en' as lang")
+    language_id.train(same, sample_docs=100)
+    assert max(df.count() for df in kept if "calibrate" in df.columns) <= 100
+    kept.clear()
+    many = spark.range(60).selectExpr("id", "concat('text ', id) as text", "concat('l', id % 30) as lang")
+    model = language_id.train(many, sample_docs=10)
+    assert max(df.count() for df in kept if "calibrate" in df.columns) <= 10 and len(model.langs) == 30
+
+
 def test_elastic_net_makes_sparse_weights():
     rng = np.random.default_rng(0)
     samples = [(np.array([label, 2 + int(rng.integers(0, 500))]), np.array([1.0, 0.01]), label) for label in rng.integers(0, 2, 400).tolist()]

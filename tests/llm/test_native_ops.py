@@ -237,3 +237,29 @@ def test_water_fill():
     got = mixing.water_fill(np.array([10, 100, 100]), np.array([3.0, 1, 2]), 315)
     assert got.tolist() == [20, 98.33333333333333, 196.66666666666666]
     assert mixing.water_fill(np.array([0, 10]), np.array([3.0, 1]), 15).tolist() == [0, 15]
+
+
+def test_many_secrets_in_one_text_take_seconds(spark):
+    import hashlib
+    import time
+
+    text = " ".join(f"{hashlib.md5(str(i).encode()).hexdigest()} u{i}@x.org" for i in range(16_000))
+    start = time.perf_counter()
+    (row,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (len(row.base), len(row.linked)) == (16_000, 16_000)
+    assert time.perf_counter() - start < 40
+
+
+def test_overlaps_by_binary_search(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = []
+    for k in range(300):
+        cuts = sorted(draw.sample(range(60), 2 * draw.randrange(0, 9)))
+        start = draw.randrange(60)
+        rows.append((k, [(0, a, b)[1:] for a, b in zip(cuts[::2], cuts[1::2], strict=True)], start, start + draw.randrange(1, 12)))
+    df = spark.createDataFrame(rows, "k int, spans array<struct<start:int,end:int>>, s int, e int")
+    x = secrets.F.struct(secrets.F.col("s").alias("start"), secrets.F.col("e").alias("end"))
+    got = {r.k: r.o for r in df.select("k", secrets._over(x, secrets.F.col("spans")).alias("o")).collect()}
+    assert got == {k: any(a < e and s < b for a, b in spans) for k, spans, s, e in rows}

@@ -205,11 +205,47 @@ def test_leaks_in_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "alpha beta gamma delta epsilon zeta"), (4, "x " * 50_000 + "ALPHA beta gamma-delta epsilon\nzeta"), (5, "too short"), (4, "alpha")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.item_id, r.edits) for r in decontamination.find_leaks(df, items).collect()))
-    assert got == [(0, 1, 0), (0, 4, 0), (4, 1, 0), (4, 4, 0)]
+    assert got == [(0, 1, 0), (0, 4, 0), (4, 1, 0), (4, 4, 0), (5, 3, 0)]
     assert decontamination.find_leaks(df, items.limit(0)).count() == 0
     assert decontamination.find_leaks(df.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("n_items", [1, 5, 40])
+@pytest.mark.parametrize("size", [7, 25, 60, 100])
+def test_recall_at_the_edit_limit(size, n_items):
+    """Fresh copies with all the edits allowed, of benchmarks of few and of many items."""
+    rng = np.random.default_rng(size + n_items)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [rng.choice(vocabulary, size + int(rng.integers(0, 3))).tolist() for _ in range(n_items)]
+    index = decontamination.Index(list(range(n_items)), [" ".join(w) for w in items])
+    found = planted = 0
+    for k in range(400):
+        item = k % n_items
+        w = list(items[item])
+        for at in rng.choice(len(w), decontamination.allowed(len(w)), replace=False):
+            w[at] = f"zz{k}x{at}"
+        raw = np.frombuffer(f"before it {' '.join(w)} after it".encode(), np.uint8)
+        planted += 1
+        found += item in {x[1] for x in index.leaks(raw, np.array([0, len(raw)]))}
+    assert found >= 0.98 * planted
+
+
+def test_repetitions_are_not_those_of_lucky_copies():
+    rng = np.random.default_rng(0)
+    items = [rng.integers(1, 1 << 63, 60).astype(np.uint64)]
+    walks = decontamination.Walks(32, decontamination.MAX_REPEATS)
+    few, many = decontamination.repeats_for(items, walks, copies=8), decontamination.repeats_for(items, walks)
+    assert few is None and many >= 12  # eight copies cannot vouch for the recall
+    assert decontamination.lower_bound(1024, 1024) > 0.99 > decontamination.lower_bound(256, 256)
+
+
+def test_short_items_match_word_for_word(spark):
+    items = spark.createDataFrame([(1, "alpha"), (2, "Beta gamma"), (3, "beta, gamma"), (4, "a b c d"), (5, "")], "item_id long, text string")
+    rows = [(1, "x alpha alpha y"), (2, "beta gamm"), (3, "z Beta-GAMMA"), (4, "a b c"), (5, "d a b c d"), (6, "beta"), (7, "gamma alphabet")]
+    got = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, 1, 0), (3, 2, 1, 2, 0), (3, 3, 1, 2, 0), (5, 4, 1, 4, 0)]
+
+
 def test_alignment():
     rng = np.random.default_rng(1)
     for _ in range(50):
