@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterworks.llm import decontamination, language_id, line_dedup, mixing, near_dedup
+from letterworks.llm.columns import text_key
 from letterworks.session import prepare, stage, table
 
 #: A document goes if its language is not known with at least this probability.
@@ -49,19 +50,19 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = stays.select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node"))
     alone = rows.where("root is null").select("doc_id", "node").distinct().select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
     kept = stays.withColumn("_alone", F.lit(False)).unionByName(alone.withColumn("_alone", F.lit(True)))
-    keyed = docs.withColumn("_key", near_dedup.text_key(F.col("text")))
+    keyed = docs.withColumn("_key", text_key(F.col("text")))
     joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_node")))
     single = joined.where("not _alone").dropDuplicates(["_id", "_node"])
     return single.unionByName(joined.where("_alone")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of the benchmark. Texts stand for documents, so ids may be null or repeat."""
+    """Drops the documents that hold a passage of the benchmark. Keys of texts stand for documents, so ids may be null or repeat."""
     prepare(spark)
-    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    keyed = docs.select(text_key(F.col("text")).alias("doc_id"), "text")
     leaks = stage(decontamination.find_leaks(keyed, table(spark, sf_dir, "benchmark")), "pipeline-leaks")
     ids = leaks.select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(ids, F.xxhash64(docs["text"]) == F.col("_leak"), "left_anti")
+    return docs.join(ids, text_key(docs["text"]) == F.col("_leak"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
