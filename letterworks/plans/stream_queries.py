@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from letterworks.operators import search as S
 from letterworks.plans import frames as fr
 from letterworks.plans.registry import query
-from letterworks.session import prepare, scratch, table
+from letterworks.session import prepare, scratch, stage, table
+from letterworks.sources import cursor as C
 from letterworks.sources import files as A
 from letterworks.streaming import incremental as I
+from letterworks.streaming.readiness import ready_files
+from letterworks.streaming.segments import SegmentLog
 
 
 @query("SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant') THEN 'role' WHEN length(text) < 100 THEN 'too_short' END AS problem FROM conversations WHERE role NOT IN ('user', 'assistant') OR length(text) < 100")
@@ -97,6 +100,29 @@ def o96_stable_files(spark, sf):
     return I.stable_files(_observations(spark, sf), 60).select("path", "at", "since", "ready")
 
 
+_READY = """WITH obs AS (SELECT user_id::VARCHAR AS path, event_id + 1 AS p, CAST(floor(value / 150) AS BIGINT) AS size, CAST(user_id // 80 AS BIGINT) AS mtime FROM events),
+c AS (SELECT *, size IS DISTINCT FROM lag(size) OVER w OR mtime IS DISTINCT FROM lag(mtime) OVER w AS changed FROM obs WINDOW w AS (PARTITION BY path ORDER BY p)),
+i AS (SELECT *, lead(p) OVER (PARTITION BY path ORDER BY p) AS ended FROM c WHERE changed)
+SELECT path, size AS n_bytes, mtime, p AS since, p + 300 AS ready_at FROM i WHERE p + 300 <= (SELECT max(event_id) + 1 FROM events) AND (ended IS NULL OR ended >= p + 300)"""
+
+
+def _seen(spark, sf):
+    """Observations of a file for each user."""
+    e = table(prepare(spark), sf, "events")
+    return e.select(F.col("user_id").cast("string").alias("path"), (F.col("event_id") + 1).alias("at"), F.floor(F.col("value") / 150).alias("size"), F.floor(F.col("user_id") / 80).alias("mtime"))
+
+
+@query(_READY)
+def o96_ready_files(spark, sf):
+    return ready_files(_seen(spark, sf), 300)
+
+
+@query(_READY)
+def o96_ready_stream(spark, sf):
+    rows = _seen(spark, sf)
+    return I.ready_files_result(spark, I.as_files(rows, "at", 6), rows.schema, 300)
+
+
 @query("""WITH s AS (SELECT doc_id AS cursor, source, doc_id % 2 AS epoch FROM documents), st AS (SELECT source, doc_id % 2 AS epoch, max(doc_id) AS c FROM documents WHERE doc_id % 3 = 0 AND doc_id < 500 AND source <> 'src1' GROUP BY ALL)
 SELECT cursor, s.source, CAST(s.epoch AS BIGINT) AS epoch FROM s LEFT JOIN st ON s.source = st.source AND s.epoch = st.epoch WHERE c IS NULL OR cursor > c""")
 def o97_incremental_by_cursor(spark, sf):
@@ -105,6 +131,47 @@ def o97_incremental_by_cursor(spark, sf):
     return I.incremental_by_cursor(rows, state).select("cursor", "source", "epoch")
 
 
+_FEED = """feed AS (SELECT source, CAST(doc_id % 2 AS BIGINT) AS epoch, doc_id AS cursor, text AS payload FROM documents WHERE doc_id % 2 = 0 OR source <> 'src1')"""
+
+
+def _feed(spark, sf):
+    """Every document as a row of its source's feed; all sources but one have changed their identity."""
+    rows = table(prepare(spark), sf, "documents").where("doc_id % 2 = 0 or source <> 'src1'")
+    return rows.select("source", (F.col("doc_id") % 2).alias("epoch"), F.col("doc_id").alias("cursor"), F.col("text").alias("payload"))
+
+
+@query(f"""WITH {_FEED} SELECT source, epoch, count(*) AS n_rows, max(cursor) AS last_cursor, sum(length(payload)) AS chars
+FROM feed JOIN (SELECT source, max(epoch) AS epoch FROM feed GROUP BY 1) USING (source, epoch) GROUP BY 1, 2""")
+def o97_read_cursors(spark, sf):
+    """The feed written for its file form, then streamed: only the present identity of each source is read."""
+    root, out = scratch(spark, "feed"), scratch(spark, "feed-out")
+    C.write_feed(_feed(spark, sf), root)
+    q = C.read_cursors(spark, root).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "feed-checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(C.SCHEMA).parquet(out)
+    return rows.groupBy("source", "epoch").agg(F.count(F.lit(1)).alias("n_rows"), F.max("cursor").alias("last_cursor"), F.sum(F.length("payload")).alias("chars"))
+
+
+@query("""WITH p AS (SELECT 'user-' || user_id AS source, ts AS seen, event_type <> 'error' AS ok, CASE WHEN event_type = 'error' THEN 'OSError: detail ' || event_id END AS error FROM events),
+s AS (SELECT DISTINCT 'user-' || user_id AS source, user_id % 10 <> 3 AS enabled FROM events UNION ALL SELECT 'new-' || r_regionkey, true FROM region),
+l AS (SELECT source, max(seen) AS last_checked_at, max(seen) FILTER (WHERE ok) AS last_success_at, max(seen) FILTER (WHERE NOT ok) AS last_failure_at, arg_max(ok, (seen, NOT ok)) AS k, count(*) AS polls, count(*) FILTER (WHERE NOT ok) AS failures FROM p GROUP BY 1)
+SELECT source, CASE WHEN NOT enabled THEN 'disabled' WHEN last_checked_at IS NULL THEN 'unknown' WHEN k THEN 'healthy' ELSE 'degraded' END AS health, last_checked_at, last_success_at, last_failure_at,
+ CASE WHEN NOT k THEN 'OSError' END AS last_error, coalesce(polls, 0) AS polls, coalesce(failures, 0) AS failures FROM s LEFT JOIN l USING (source)""")
+def o97_source_health(spark, sf):
+    e = table(prepare(spark), sf, "events")
+    name, failed = F.concat(F.lit("user-"), F.col("user_id").cast("string")), F.col("event_type") == "error"
+    polls = e.select(name.alias("source"), F.col("ts").alias("at"), (~failed).alias("ok"), F.when(failed, F.concat(F.lit("OSError: detail "), F.col("event_id").cast("string"))).alias("error"))
+    new = table(spark, sf, "region").select(F.concat(F.lit("new-"), F.col("r_regionkey").cast("string")).alias("source"), F.lit(True).alias("enabled"))
+    return C.source_health(polls, e.select(name.alias("source"), (F.col("user_id") % 10 != 3).alias("enabled")).distinct().unionByName(new))
+
+
+@query(f"""WITH {_FEED}, now AS (SELECT source, max(epoch) AS e FROM feed GROUP BY 1)
+SELECT source, epoch, cursor, CASE WHEN epoch = e THEN 'retry' ELSE 'identity_changed' END AS outcome FROM feed JOIN now USING (source) WHERE cursor % 7 = 0""")
+def o97_void_retries(spark, sf):
+    rows = _feed(spark, sf).drop("payload")
+    return C.void_retries(rows.where("cursor % 7 = 0"), C.last_cursors(rows))
+
+
 @query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def o98_journal_stream(spark, sf):
     e = table(prepare(spark), sf, "events").select("ts", "event_type")
@@ -124,3 +191,18 @@ def o99_stream_projection(spark, sf):
     letters = fr.letters(spark, sf)
     out = I.stream_projection(spark, I.as_files(letters, "doc_id", 6), letters.schema, S.build_projection, "doc_id")
     return out.select("doc_id", "identifier_text", "amount_value")
+
+
+@query("""WITH u AS (SELECT l_orderkey AS doc_id, l_linenumber AS batch, count(*) AS n, sum(l_quantity) AS quantity, bool_or(l_linestatus = 'O' AND l_linenumber % 3 = 0) AS removed FROM lineitem GROUP BY 1, 2),
+n AS (SELECT doc_id, max(batch) AS batch FROM u GROUP BY 1) SELECT doc_id, batch, n, CAST(quantity AS DOUBLE) AS quantity FROM u JOIN n USING (doc_id, batch) WHERE NOT removed""")
+def o99_segment_log(spark, sf):
+    """Seven batches of changes, some of them removals, through the levelled log."""
+    x = table(prepare(spark), sf, "lineitem")
+    gone = F.max((F.col("l_linestatus") == "O") & (F.col("l_linenumber") % 3 == 0)).alias("removed")
+    rows = x.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("double").alias("quantity"), gone)
+    rows = stage(rows, "changes")
+    log = SegmentLog(spark, scratch(spark, "segments"), rows.drop("removed").schema, "doc_id", 3)
+    for b in range(1, 8):
+        own = rows.where(F.col("batch") == b)
+        log.append(own.where("not removed").drop("removed"), b, own.where("removed"))
+    return log.read()
