@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from letterworks.operators import extract as X
+from letterworks.operators import library as L
 from letterworks.operators import migrate as M
+from letterworks.operators import postings as P
 from letterworks.operators import quality as Q
 from letterworks.operators import search as S
 from letterworks.plans import frames as fr
+from letterworks.plans import search_queries
 from letterworks.plans.registry import query
-from letterworks.session import prepare, table
+from letterworks.session import prepare, stage, table
 
 
 @query(f"""WITH {fr.LIBRARY} SELECT source_id, coalesce(s_name, 'missing-correspondent-' || correspondent) AS correspondent_name, CASE WHEN tag = 4 THEN 'missing-tag-4' ELSE 'tag' || tag END AS tag_name
@@ -213,3 +216,127 @@ def o94_ocr_similarity(spark, sf):
     """Similarity of each whole text with what was recognised; matching blocks are no SQL, the tests hold them against a plain version."""
     rows = Q.ocr_samples(*_recognised(spark, sf))
     return rows.select("sample_id", "category", F.round("similarity", 6).alias("similarity"))
+
+
+_RAW_RATING = "CASE source_id % 4 WHEN 0 THEN '4' WHEN 1 THEN '\"four\"' WHEN 2 THEN '4.5' ELSE 'null' END"
+
+
+def _raw_library(spark, sf):
+    """The parts as foreign documents: JSON objects with references, fields of several types, and unsupported ones; and the catalogs."""
+    rows = fr.library(spark, sf)
+    k = F.col("source_id")
+    s = k.cast("string")
+    rating = F.when(k % 4 == 0, "4").when(k % 4 == 1, '"four"').when(k % 4 == 2, "4.5").otherwise("null")
+    extra = F.when(k % 9 == 0, F.concat(F.lit(',"workflow_state":{"step":'), s, F.lit("}"))).when(k % 9 == 1, ',"workflow_state":[1,2]').otherwise("")
+    fields = F.concat(F.lit('[{"field":1,"value":'), s, F.lit('},{"field":'), (k % 3 + 2).cast("string"), F.lit(',"value":'), rating, F.lit("}]"))
+    raw = F.concat(
+        *[x if not isinstance(x, str) else F.lit(x) for x in (
+            '{"id":', s, ',"title":', F.to_json(F.struct(F.col("title").alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("title").alias("t")))) - 6), ',"created":"', F.col("created").cast("string"), 'T00:00:00Z"',
+            ',"correspondent":', F.col("correspondent").cast("string"), ',"tags":[', F.col("tag").cast("string"), ",", (k % 7 + 10).cast("string"), '],"custom_fields":', fields,
+            ',"storage_path":', F.when(k % 5 == 0, "null").otherwise((k % 5).cast("string")), ',"archive_serial_number":', F.when(k % 6 == 0, s).otherwise("null"), ',"notes":[', F.when(k % 10 == 0, '{"id":1,"note":"n"}').otherwise(""), ']',
+            ',"content":', F.when(k % 2 == 0, '"some text"').otherwise("null"), ',"original_file_name":"f"', F.when(k % 70 == 0, "").otherwise(',"archived_file_name":"a"'), ',"rating":', rating, extra, "}",
+        )]
+    )
+    entry = lambda kind, i, name, detail="": F.struct(F.lit(kind).alias("kind"), F.lit(str(i)).alias("id"), F.lit(name).alias("name"), F.lit(detail).alias("detail"))
+    some = [entry("tag", t, f"tag{t}") for t in (0, 1, 2, 3, 10, 11, 12)] + [entry("custom_field", f, f"field{f}", d) for f, d in ((1, "integer"), (2, "string"), (3, "float"))] + [entry("storage_path", p, f"path{p}") for p in (1, 2)] + [entry("workflows", w, "w") for w in (1, 2)]
+    fixed = spark.range(1).select(F.inline(F.array(*some)))
+    suppliers = table(spark, sf, "supplier").select(F.lit("correspondent").alias("kind"), F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.lit("").alias("detail"))
+    return rows.select(raw.alias("raw")), fixed.unionByName(suppliers)
+
+
+@query(f"""WITH {fr.LIBRARY} SELECT source_id::VARCHAR AS source_id, title, created, s_name AS correspondent, CASE source_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'path1' WHEN 2 THEN 'path2' ELSE (source_id % 5)::VARCHAR END AS storage_path,
+ (CASE WHEN tag < 4 THEN 'tag' || tag ELSE tag::VARCHAR END) || ',' || (CASE WHEN source_id % 7 < 3 THEN 'tag' || (source_id % 7 + 10) ELSE (source_id % 7 + 10)::VARCHAR END) AS tags,
+ '1:field1:integer:' || source_id || ',' || (source_id % 3 + 2) || CASE source_id % 3 WHEN 0 THEN ':field2:string:' WHEN 1 THEN ':field3:float:' ELSE ':?:?:' END || {_RAW_RATING} AS custom_fields,
+ CASE WHEN source_id % 6 = 0 THEN source_id::VARCHAR END AS archive_serial_number FROM library LEFT JOIN supplier ON s_suppkey = correspondent""")
+def o84_map_library(spark, sf):
+    m = L.map_library(*_raw_library(spark, sf))
+    unknown = lambda c: F.coalesce(c, F.lit("?"))
+    fields = F.array_join(F.transform("custom_fields", lambda f: F.concat_ws(":", f["field"], unknown(f["name"]), unknown(f["data_type"]), f["value"])), ",")
+    return m.select("source_id", "title", "created", "correspondent", "storage_path", F.array_join("tags", ",").alias("tags"), fields.alias("custom_fields"), "archive_serial_number")
+
+
+@query(f"""WITH {fr.LIBRARY} SELECT 'rating' AS field, count(*) AS occurrences, array_to_string(list_sort(list(DISTINCT CASE source_id % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'string' WHEN 2 THEN 'number' ELSE 'null' END)), ',') AS value_types,
+ 'preserved_metadata_and_canonical_metadata.migration.unsupported.rating' AS handling, TRUE AS preserved, FALSE AS cutover_blocker FROM library
+UNION ALL SELECT 'workflow_state', count(*), array_to_string(list_sort(list(DISTINCT CASE WHEN source_id % 9 = 0 THEN 'object' ELSE 'array' END)), ','), 'preserved_metadata_and_canonical_metadata.migration.unsupported.workflow_state', TRUE, FALSE FROM library WHERE source_id % 9 < 2""")
+def o85_unsupported_fields(spark, sf):
+    rows = L.unsupported_fields(L.map_library(*_raw_library(spark, sf)))
+    return rows.withColumn("value_types", F.array_join("value_types", ","))
+
+
+@query(f"""WITH {fr.LIBRARY} SELECT 'documents' AS measure, count(*) AS n FROM library UNION ALL SELECT 'notes', count(*) FILTER (WHERE source_id % 10 = 0) FROM library UNION ALL SELECT 'contents', count(*) FILTER (WHERE source_id % 2 = 0) FROM library
+UNION ALL SELECT 'original_files', count(*) FROM library UNION ALL SELECT 'archived_files', count(*) FILTER (WHERE source_id % 70 <> 0) FROM library UNION ALL SELECT 'documents_with_unsupported', count(*) FROM library
+UNION ALL SELECT 'unsupported_occurrences', count(*) + count(*) FILTER (WHERE source_id % 9 < 2) FROM library UNION ALL SELECT 'repeated_ids', 0
+UNION ALL SELECT 'catalog_tag', 7 UNION ALL SELECT 'catalog_custom_field', 3 UNION ALL SELECT 'catalog_storage_path', 2 UNION ALL SELECT 'catalog_workflows', 2 UNION ALL SELECT 'catalog_correspondent', count(*) FROM supplier""")
+def o85_library_inventory(spark, sf):
+    raw, catalogs = _raw_library(spark, sf)
+    return L.library_inventory(L.map_library(raw, catalogs), catalogs)
+
+
+_NOTES = """cur AS (SELECT l_orderkey AS doc_id, l_linenumber AS note_id, min(l_returnflag) AS text, CASE WHEN l_orderkey % 11 = 0 THEN 'user' ELSE 'foreign' END AS origin FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1, 2),
+want AS (SELECT l_orderkey AS doc_id, l_linenumber AS note_id, max(l_returnflag) AS text FROM lineitem WHERE l_orderkey % 3 < 2 GROUP BY 1, 2)"""
+
+
+def _notes(spark, sf):
+    """Notes as they are, some of the users' own, and as the foreign library has them."""
+    x = table(prepare(spark), sf, "lineitem")
+    k = F.col("l_orderkey")
+    keys = [k.alias("doc_id"), F.col("l_linenumber").alias("note_id")]
+    current = x.where(k % 3 > 0).groupBy(*keys).agg(F.min("l_returnflag").alias("text")).withColumn("origin", F.when(F.col("doc_id") % 11 == 0, "user").otherwise("foreign"))
+    return current, x.where(k % 3 < 2).groupBy(*keys).agg(F.max("l_returnflag").alias("text"))
+
+
+_SYNC = f"""{_NOTES}, sync AS (SELECT CASE WHEN c.doc_id IS NULL THEN 'insert' WHEN origin = 'foreign' AND w.doc_id IS NULL THEN 'delete' WHEN origin = 'foreign' AND w.text <> c.text THEN 'update' END AS op,
+  coalesce(w.doc_id, c.doc_id) AS doc_id, coalesce(w.note_id, c.note_id) AS note_id, w.text FROM cur c FULL JOIN want w ON c.doc_id = w.doc_id AND c.note_id = w.note_id)"""
+
+
+@query(f"WITH {_SYNC} SELECT op, doc_id, note_id, text FROM sync WHERE op IS NOT NULL")
+def o87_sync_rows(spark, sf):
+    return L.sync_rows(*_notes(spark, sf), ["doc_id", "note_id"], ["text"], "foreign")
+
+
+@query(f"""WITH {_SYNC} SELECT doc_id, note_id, text, origin FROM cur WHERE (doc_id, note_id) NOT IN (SELECT (doc_id, note_id) FROM sync WHERE op IN ('delete', 'update'))
+UNION ALL SELECT doc_id, note_id, text, 'foreign' FROM sync WHERE op IN ('insert', 'update')""")
+def o87_synced_rows(spark, sf):
+    current, wanted = _notes(spark, sf)
+    current = stage(current, "notes")
+    changes = stage(L.sync_rows(current, wanted, ["doc_id", "note_id"], ["text"], "foreign"), "note-changes")
+    return L.apply_sync(current, changes, ["doc_id", "note_id"], ["text"], "foreign")
+
+
+@query(f"""WITH {_IMPORT}, r AS (SELECT source_id % 40 AS run_id, count(*) FILTER (WHERE status = 'imported') AS n_imported, count(*) FILTER (WHERE status = 'skipped') AS n_skipped, count(*) FILTER (WHERE status = 'failed') AS n_failed FROM items GROUP BY 1)
+SELECT *, CASE WHEN n_failed > 0 THEN 'failed' WHEN n_skipped > 0 THEN 'completed_with_warnings' ELSE 'completed' END AS run_status FROM r""")
+def o87_run_rollup(spark, sf):
+    return L.run_rollup(_import(spark, sf)[1].withColumn("run_id", F.col("source_id") % 40))
+
+
+@query(f"""WITH {_IMPORT}, stored AS (SELECT source_id AS doc_id, source_id % 17 <> 0 AS same, source_id % 4 > 0 AS indexed FROM library WHERE source_id % 7 <> 0),
+r AS (SELECT l.source_id, i.source_id AS i, meta_old, doc_id, same, indexed, l.source_id % 3 < 2 AS archived, l.source_id % 3 = 1 AS covered FROM library l LEFT JOIN items i ON l.source_id = i.source_id LEFT JOIN stored ON document_id = doc_id),
+c AS (SELECT count(*) AS o, count(doc_id) AS d, count(*) FILTER (WHERE same) AS h, count(*) FILTER (WHERE archived) AS a, count(*) FILTER (WHERE archived AND same) AS ah, count(*) FILTER (WHERE covered) AS cv, count(*) FILTER (WHERE doc_id IS NOT NULL AND NOT meta_old) AS m, count(*) FILTER (WHERE indexed) AS x FROM r),
+p AS (SELECT unnest(['coverage', 'assets', 'assets', 'assets', 'metadata', 'search']) AS section, unnest(['linked_documents', 'original_hash_matches', 'archive_hash_matches', 'archives_covered_by_original', 'complete', 'projections']) AS measure,
+  unnest([d, h, ah, cv, m, x]) AS n, unnest([o, o, a, a, o, d]) AS "of" FROM c) SELECT *, CASE WHEN "of" > 0 THEN round(n / "of", 6) END AS ratio FROM p""")
+def o88_import_coverage(spark, sf):
+    source, items = _import(spark, sf)
+    k = F.col("source_id")
+    archive = F.when(k % 3 == 0, F.sha2(F.concat(F.lit("a"), "content_hash"), 256)).when(k % 3 == 1, F.col("content_hash"))
+    source = source.withColumn("archive_hash", archive)
+    old = lambda c: F.when(k % 17 == 0, F.lit("old")).otherwise(F.col(c)).alias(c)
+    docs = source.where(k % 7 != 0).select(k.alias("doc_id"), old("content_hash"), old("archive_hash"), (k % 4 > 0).alias("indexed"))
+    return L.import_coverage(source, items, docs)
+
+
+@query("""WITH s AS (SELECT 'processing' AS section, o_orderstatus AS state FROM orders UNION ALL SELECT 'review', o_orderpriority FROM orders UNION ALL SELECT 'knowledge', CASE WHEN l_linestatus = 'O' THEN 'pending' ELSE 'accepted' END FROM lineitem)
+SELECT section, state, count(*) AS n, TRUE AS is_state FROM s GROUP BY ALL UNION ALL SELECT section, NULL, count(*), FALSE FROM s GROUP BY 1 UNION ALL SELECT NULL, NULL, count(*), FALSE FROM s""")
+def o88_state_rollup(spark, sf):
+    o, x = table(prepare(spark), sf, "orders"), table(spark, sf, "lineitem")
+    one = lambda df, section, state: df.select(F.lit(section).alias("section"), state.alias("state"))
+    rows = one(o, "processing", F.col("o_orderstatus")).unionByName(one(o, "review", F.col("o_orderpriority"))).unionByName(one(x, "knowledge", F.when(F.col("l_linestatus") == "O", "pending").otherwise("accepted")))
+    return L.state_rollup(rows)
+
+
+@query()
+def o88_search_sample(spark, sf):
+    """Representative searches for every letter whose id is divisible by 100, answered through the postings of all letters."""
+    rows = search_queries.projection(spark, sf)
+    docs = rows.select("doc_id", F.col("title_text").alias("title"), F.substring_index("identifier_text", "\n", 1).alias("archive_serial_number"), F.col("organization_text").alias("correspondent"), F.col("body_text").alias("body"))
+    sample = stage(L.search_sample(docs), "import-sample")
+    return L.sample_matches(sample, P.search_indexed(sample, P.build_postings(rows), rows, 20))
