@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterworks.functions.spans import once
+from letterworks.operators.constraints import Table
 from letterworks.operators.ops import FINAL, UNSUCCESSFUL
 from letterworks.session import prepare, spread, table
 
@@ -261,3 +262,45 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
 DECISIONS = """decisions AS (SELECT DISTINCT doc_id * 10 + pos + 1 AS proposal_id, decision, CASE WHEN decision = 'edit' THEN 'edited-' || doc_id END AS edited,
   1700000000 + doc_id % 1000 AS decided_at FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 'edit' WHEN quality = 1 THEN 'accept' ELSE 'reject' END AS decision FROM labels),
   (VALUES (0), (1)) AS v(pos))"""
+
+
+#: The given tables with what should hold in them; some rows do not.
+TABLES = {
+    "region": Table({"r_regionkey": "int", "r_name": "string"}, ("r_regionkey",), unique=(("r_regionkey",),)),
+    "nation": Table({"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}, ("n_nationkey", "n_regionkey"), references={"n_regionkey": ("region", "r_regionkey")}),
+    "customer": Table({"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}, ("c_custkey",), ranges={"c_acctbal": (0, None)}, unique=(("c_custkey",),), references={"c_nationkey": ("nation", "n_nationkey")}),
+    "supplier": Table({"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"}, ("s_suppkey",), lengths={"s_name": (1, 255)}, references={"s_nationkey": ("nation", "n_nationkey")}),
+    "part": Table({"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "smallint", "p_retailprice": "decimal(18,2)"}, ("p_partkey", "p_name"), ranges={"p_size": (1, 45)}, unique=(("p_partkey",),)),
+    "orders": Table({"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"}, ("o_orderkey",), {"o_orderstatus": ("O", "F")}, unique=(("o_orderkey",),), references={"o_custkey": ("customer", "c_custkey")}),
+    "lineitem": Table(
+        {"l_orderkey": "bigint", "l_partkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_discount": "double", "l_returnflag": "string"}, ("l_orderkey",), {"l_returnflag": ("A", "N", "R")}, {"l_discount": (0, 0.09)},
+        unique=(("l_orderkey", "l_linenumber"),), references={"l_orderkey": ("orders", "o_orderkey")},
+    ),
+    "events": Table({"event_id": "bigint", "ts": "timestamp", "user_id": "bigint", "event_type": "string", "value": "double"}, ("event_id", "ts"), {"event_type": ("view", "click", "purchase", "signup")}, {"value": (None, 200)}, unique=(("event_id",),)),
+    "documents": Table({"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}, ("doc_id", "text"), {"lang": ("en", "de", "fr")}, lengths={"text": (1, 10_000)}, unique=(("doc_id",),)),
+    "embeddings": Table({"vec_id": "bigint", "label": "int"}, ("vec_id",), unique=(("vec_id",),)),
+    "pages": Table({"page_id": "bigint", "url": "string", "html": "string"}, ("page_id", "url"), unique=(("page_id",), ("url",))),
+    "benchmark": Table({"item_id": "bigint", "text": "string"}, ("item_id", "text")),
+    "labels": Table({"doc_id": "bigint", "quality": "int", "toxic": "int"}, ("doc_id",), ranges={"quality": (0, 1), "toxic": (0, 0)}, references={"doc_id": ("documents", "doc_id")}),
+    "conversations": Table({"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"}, ("conv_id", "turn"), {"role": ("user", "assistant")}, lengths={"text": (40, 4000)}, unique=(("conv_id", "turn"),)),
+}
+
+
+def tables_sql() -> str:
+    """What ``TABLES`` forbids, counted by DuckDB: rows of (table, problem, n)."""
+    parts = []
+    for name, t in TABLES.items():
+        say = lambda problem, test, name=name: parts.append(f"SELECT '{name}' AS \"table\", '{problem}' AS problem, count(*) AS n FROM {name} WHERE {test} HAVING count(*) > 0")
+        for c in t.required:
+            say(f"missing:{c}", f"{c} IS NULL")
+        for c, words in t.enums.items():
+            say(f"enum:{c}", f"{c} NOT IN ({', '.join(map(repr, words))})")
+        for c, (low, high) in t.ranges.items():
+            say(f"range:{c}", " OR ".join([f"{c} < {low}"] * (low is not None) + [f"{c} > {high}"] * (high is not None)))
+        for c, (low, high) in t.lengths.items():
+            say(f"length:{c}", f"length({c}) NOT BETWEEN {low} AND {high}")
+        for keys in t.unique:
+            say(f"unique:{'+'.join(keys)}", f"({', '.join(keys)}) IN (SELECT ({', '.join(keys)}) FROM {name} GROUP BY {', '.join(keys)} HAVING count(*) > 1)")
+        for c, (other, key) in t.references.items():
+            say(f"reference:{c}", f"{c} IS NOT NULL AND {c} NOT IN (SELECT {key} FROM {other} WHERE {key} IS NOT NULL)")
+    return " UNION ALL ".join(parts)

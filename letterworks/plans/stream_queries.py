@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from letterworks.operators import constraints as K
 from letterworks.operators import search as S
 from letterworks.plans import frames as fr
 from letterworks.plans.registry import query
@@ -21,6 +22,23 @@ def o01_read_corpus(spark, sf):
     return A.read_corpus(prepare(spark), sf, "conversations", "conv_id long, turn long, role string, text string", checks)[1].select("conv_id", "turn", "problem")
 
 
+def _tables(spark, sf):
+    """All tables as they come from a text export: every value a text."""
+    prepare(spark)
+    read = {name: table(spark, sf, name) for name in fr.TABLES}
+    return {name: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns if c in fr.TABLES[name].columns]) for name, df in read.items()}
+
+
+@query(fr.tables_sql())
+def o01_load_tables(spark, sf):
+    return K.rejection_report(K.load_all(spark, _tables(spark, sf), fr.TABLES)[1])
+
+
+@query("""SELECT doc_id, lang, source, n_chars FROM documents WHERE text IS NOT NULL AND (lang IS NULL OR lang IN ('en', 'de', 'fr')) AND length(text) BETWEEN 1 AND 10000""")
+def o01_valid_documents(spark, sf):
+    return K.load(_tables(spark, sf)["documents"], fr.TABLES["documents"])[0].select("doc_id", "lang", "source", "n_chars")
+
+
 @query("SELECT lang, TRUE AS stored, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
 def o02_asset_inventory(spark, sf):
     """Texts stored as files by language, a language in several, then listed."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from letterworks.functions import text as T
 from letterworks.functions.spans import once
+from letterworks.operators import constraints as K
 from letterworks.operators import extract as X
 from letterworks.plans import frames as fr
 from letterworks.plans.registry import query
@@ -238,6 +239,36 @@ def o30_verify_evidence(spark, sf):
     return X.verify_evidence(_spans(spark, sf), fr.letters(spark, sf)).select("doc_id", "start", "verified", "doc_ok")
 
 
+def _run(spark, sf):
+    """Types, organizations and identifiers of all letters, each in its section's one field, some of them spoilt by the document's key."""
+    letters = fr.letters(spark, sf)
+    k = F.col("doc_id")
+    found = X.findings(letters, kinds=("type", "organization", "identifier")).join(letters.select("doc_id", F.col("text").alias("_t")), "doc_id")
+    span = F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start"))
+    spoilt = {
+        "span": F.when(k % 13 == 0, F.concat(span, F.lit("x"))).otherwise(span),
+        "field": F.when((k % 17 == 0) & (F.col("kind") == "identifier"), "invoice_date").otherwise(F.when(F.col("kind") == "type", "document_type").otherwise(F.col("kind"))),
+        "normalized": F.when((k % 19 == 0) & (F.col("kind") == "type"), "poem").otherwise(F.col("normalized")),
+        "confidence": F.when(k % 23 == 0, F.col("confidence") + 1).otherwise(F.col("confidence")),
+    }
+    return found.withColumns(spoilt).drop("_t", "notes"), letters
+
+
+_ASIDE = f"""{fr.BASE}, n AS (SELECT doc_id, t, CASE WHEN t < 4 THEN 1 ELSE 0 END AS types, CASE WHEN t IN (0, 1, 2, 4) THEN 1 ELSE 0 END AS orgs, CASE t WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS ids FROM base),
+r AS (SELECT doc_id, types + orgs + ids AS n_findings, list_sort(list_filter([CASE WHEN doc_id % 23 = 0 THEN 'confidence' END, CASE WHEN doc_id % 13 = 0 THEN 'evidence' END, CASE WHEN doc_id % 19 = 0 AND types > 0 THEN 'unknown_document_type' END,
+  CASE WHEN doc_id % 17 = 0 AND ids > 0 THEN 'wrong_section' END], lambda x: x IS NOT NULL)) AS reasons FROM n WHERE types + orgs + ids > 0)"""
+
+
+@query(f"WITH {_ASIDE} SELECT doc_id, n_findings, array_to_string(reasons, ',') AS reasons FROM r WHERE len(reasons) > 0")
+def o30_runs_aside(spark, sf):
+    return K.set_aside(*_run(spark, sf))[1].withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(f"WITH {_ASIDE} SELECT doc_id, n_findings FROM r WHERE len(reasons) = 0")
+def o30_sound_runs(spark, sf):
+    return K.set_aside(*_run(spark, sf))[0].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_findings"))
+
+
 @query(f"""WITH {fr.BASE} SELECT doc_id, CASE t WHEN 0 THEN 'invoice_issued' WHEN 1 THEN 'contract_started' ELSE 'contract_changed' END AS event_type, d AS event_date, 0.9::DOUBLE AS confidence FROM base WHERE t < 3
 UNION ALL SELECT doc_id, 'payment_due', d + 14, 0.95 FROM base WHERE t = 0""")
 def o31_extract_events(spark, sf):
