@@ -166,6 +166,20 @@ def contract_detail(contracts: DataFrame, orgs: DataFrame, events: DataFrame, st
     return out.withColumn("n_events", F.coalesce("n_events", F.lit(0)))
 
 
+def contract_page(contracts: DataFrame, orgs: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """Contracts with the organization's name and sorted arrays of what is linked to them.
+
+    ``parts``: name -> frame (contract_id, day, value), such as documents, events, deadlines and actions; each array has
+    {day, value} by day, undated last. All parts go through one shuffle; a contract's parts are one row.
+    """
+    tagged = [part.select("contract_id", F.lit(name).alias("part"), F.col("day").cast("date").alias("day"), F.col("value").cast("string").alias("value")) for name, part in parts.items()]
+    one = F.struct(F.col("day").isNull().alias("undated"), "day", "value")
+    lists = reduce(DataFrame.unionByName, tagged).groupBy("contract_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == name, one))).alias(name) for name in parts])
+    out = contracts.join(orgs.select(F.col("org_id").alias("organization_id"), "canonical_name"), "organization_id", "left").join(lists, "contract_id", "left")
+    plain = lambda name: F.transform(F.coalesce(name, F.array().cast("array<struct<undated:boolean,day:date,value:string>>")), lambda x: F.struct(x["day"].alias("day"), x["value"].alias("value")))
+    return out.withColumns({name: plain(name) for name in parts})
+
+
 def list_relationships(relations: DataFrame, docs: DataFrame) -> DataFrame:
     """Relations that have one of the documents on either side, each once: two semi-joins instead of a disjunction."""
     left = relations.join(docs.select(F.col("doc_id").alias("source_id")), "source_id", "left_semi")

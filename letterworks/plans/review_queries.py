@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from letterworks.operators import entities as N
+from letterworks.operators import history as H
 from letterworks.operators import review as R
 from letterworks.plans import frames as fr
 from letterworks.plans.registry import query
-from letterworks.session import prepare, table
+from letterworks.session import prepare, stage, table
 
 _NORM = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 
@@ -243,3 +244,128 @@ def o56_metadata_history(spark, sf):
 ORDER BY CASE WHEN proposal_type IN ('deadline', 'action_item') THEN 0 WHEN proposal_type IN ('contract', 'event') THEN 1 ELSE 2 END, confidence DESC, created_at, proposal_id LIMIT 50""")
 def o57_knowledge_review_queue(spark, sf):
     return R.knowledge_review_queue(_knowledge(spark, sf), "priority", 0.6, 0.95).select("proposal_id", "proposal_type", "confidence")
+
+
+_REVIEW = f"""{fr.PROPOSALS}, p AS (SELECT doc_id, count(*) AS n FROM proposals WHERE proposal_id % 3 = 0 GROUP BY 1), k AS (SELECT o_custkey % 1000 AS doc_id, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
+c AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 8 = 0 AND doc_id % 16 <> 0)"""
+
+
+def _review(spark, sf):
+    """Documents in review with their proposals, knowledge and comparisons; some comparisons are decided or of an older text."""
+    k = F.col("doc_id")
+    d = table(prepare(spark), sf, "documents")
+    status = F.when(k % 5 == 0, "ready").otherwise("needs_review").alias("status")
+    docs = d.select("doc_id", F.col("n_chars").alias("created_at"), status, (k * 2).alias("canonical_extraction_id"), F.when(k % 7 == 0, F.array(F.concat(F.lit("empty pages in "), F.col("source")))).alias("warnings"))
+    p = fr.proposals(spark, sf).withColumn("status", F.when(F.col("proposal_id") % 3 == 0, "pending").otherwise("accepted"))
+    o = table(spark, sf, "orders")
+    knowledge = o.select((F.col("o_custkey") % 1000).alias("doc_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("accepted").alias("status"))
+    comparisons = d.where(k % 4 == 0).select("doc_id", F.when(k % 16 == 0, k).otherwise(k * 2).alias("baseline_id"), F.when(k % 8 != 0, "keep").alias("review_decision"))
+    return docs, p, knowledge, comparisons
+
+
+@query(f"""WITH {_REVIEW} SELECT d.doc_id, n_chars AS created_at, CASE WHEN d.doc_id % 7 = 0 THEN 'empty pages in ' || source ELSE '' END AS warnings, coalesce(p.n, 0) AS proposal_count, coalesce(k.n, 0) AS knowledge_proposal_count,
+ c.doc_id IS NOT NULL OR d.doc_id = 0 AS extraction_review_required FROM documents d LEFT JOIN p USING (doc_id) LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id WHERE d.doc_id % 5 <> 0 ORDER BY n_chars, d.doc_id LIMIT 50 OFFSET 25""")
+def o53_review_page(spark, sf):
+    return R.review_page(*_review(spark, sf), limit=50, offset=25).withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query(f"""WITH {fr.JOBS}, l AS (SELECT job_id % 1000 AS doc_id, arg_max(job_id || ':' || state, (created_at, job_id)) AS latest_job FROM jobs GROUP BY 1), r AS (SELECT o_custkey % 1000 AS doc_id, max(o_orderkey) AS current_run FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1),
+h AS (SELECT l_orderkey % 1000 AS doc_id, l_shipdate AS seen, l_returnflag AS field, l_partkey::VARCHAR AS value FROM lineitem WHERE l_linenumber = 1),
+a AS (SELECT doc_id, string_agg(field || '=' || value, ',' ORDER BY seen DESC, field DESC, value DESC) AS history FROM h GROUP BY 1)
+SELECT d.doc_id, latest_job, current_run, coalesce(history, '') AS history FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN a USING (doc_id) WHERE d.doc_id < 1000""")
+def o53_review_detail(spark, sf):
+    docs = table(prepare(spark), sf, "documents").where("doc_id < 1000").select("doc_id")
+    jobs = fr.jobs(spark, sf).select((F.col("job_id") % 1000).alias("doc_id"), "job_id", "created_at", "state")
+    runs = table(spark, sf, "orders").select((F.col("o_custkey") % 1000).alias("doc_id"), F.col("o_orderkey").alias("run_id"), (F.col("o_orderkey") % 4 == 0).alias("is_current"))
+    history = table(spark, sf, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_shipdate").alias("confirmed_at"), F.col("l_returnflag").alias("field"), F.col("l_partkey").cast("string").alias("value"))
+    out = R.review_detail(docs, jobs, history, runs)
+    shown = F.array_join(F.transform(F.coalesce("metadata_history", F.array().cast("array<struct<confirmed_at:timestamp_ntz,field:string,value:string>>")), lambda h: F.concat_ws("=", h["field"], h["value"])), ",")
+    return out.select("doc_id", F.when(F.col("latest_job").isNotNull(), F.concat_ws(":", "latest_job.job_id", "latest_job.state")).alias("latest_job"), "current_run", shown.alias("history"))
+
+
+_MATCHED = f"""{fr.ORGS}, {fr.ALIASES}, n AS (SELECT count(*) AS n FROM orgs),
+c AS (SELECT c_custkey AS proposal_id, CASE WHEN c_custkey % 4 = 3 THEN 'deadline' ELSE 'organization' END AS proposal_type, CASE WHEN c_custkey % 9 = 0 THEN 'accepted' ELSE 'pending' END AS status, round(0.5 + (c_custkey % 50) / 100, 2) AS confidence, c_acctbal AS created_at, c_custkey % 1000 AS document_id,
+  CASE c_custkey % 2 WHEN 0 THEN ' Supplier#' || lpad((c_custkey % (n + 20))::VARCHAR, 9, '0') ELSE 'FIRMA Supplier#' || lpad((c_custkey % (n + 20))::VARCHAR, 9, '0') END AS name FROM customer, n),
+live AS (SELECT * FROM orgs WHERE status = 'active'), n1 AS (SELECT {_NORM.format('canonical_name')} AS k1, arg_min(org_id, (created_at, org_id)) AS o1 FROM live GROUP BY 1),
+n2 AS (SELECT {_NORM.format('alias')} AS k2, arg_min(org_id, (created_at, org_id)) AS o2 FROM aliases JOIN live USING (org_id) GROUP BY 1),
+g AS (SELECT * FROM c WHERE status = 'pending' AND confidence >= 0.6 AND document_id IN (SELECT doc_id FROM documents WHERE lower(lang) = 'en')
+  ORDER BY CASE WHEN proposal_type = 'deadline' THEN 0 ELSE 2 END, confidence DESC, created_at, proposal_id LIMIT 200 OFFSET 10)"""
+
+
+@query(f"""WITH {_MATCHED} SELECT proposal_id, proposal_type, confidence, CASE WHEN proposal_type = 'organization' THEN coalesce(o1, o2) END AS possible_existing_organization_id,
+ CASE WHEN proposal_type = 'organization' THEN CASE WHEN o1 IS NOT NULL THEN 'exact normalized canonical name' WHEN o2 IS NOT NULL THEN 'exact normalized alias' END END AS match_reason
+FROM g LEFT JOIN n1 ON {_NORM.format('name')} = k1 LEFT JOIN n2 ON {_NORM.format('name')} = k2""")
+def o57_review_with_matches(spark, sf):
+    """A page of one document type's pending proposals with the organization that each may be."""
+    c, orgs = table(prepare(spark), sf, "customer"), fr.organizations(spark, sf)
+    k = F.col("c_custkey")
+    number = F.lpad((k % (F.col("n") + 20)).cast("string"), 9, "0")
+    rows = c.join(F.broadcast(orgs.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    rows = rows.select(
+        k.alias("proposal_id"), F.when(k % 4 == 3, "deadline").otherwise("organization").alias("proposal_type"), F.when(k % 9 == 0, "accepted").otherwise("pending").alias("status"),
+        F.round(F.lit(0.5) + (k % 50) / 100, 2).alias("confidence"), F.col("c_acctbal").alias("created_at"), (k % 1000).alias("document_id"),
+        F.when(k % 2 == 0, F.concat(F.lit(" Supplier#"), number)).otherwise(F.concat(F.lit("FIRMA Supplier#"), number)).alias("name"), F.array().cast("array<string>").alias("strong"),
+    )
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("document_type"))
+    page = stage(R.knowledge_review_queue(rows, "priority", 0.6, limit=200, document_type=" EN ", docs=docs, offset=10), "review-page")
+    none = orgs.select((F.col("org_id") * 10).alias("proposal_id"), "org_id", F.array("tax_id").alias("strong"), "created_at").limit(0)
+    out = R.with_organization_match(page, orgs, fr.aliases(spark, sf), none)
+    return out.select("proposal_id", "proposal_type", "confidence", "possible_existing_organization_id", "match_reason")
+
+
+@query(f"""WITH {fr.ORGS}, {fr.TIMELINE}, {fr.DEADLINES}, c AS (SELECT o_orderkey AS contract_id, o_custkey % 120 AS organization_id FROM orders WHERE o_orderstatus = 'O'),
+e AS (SELECT doc_id AS contract_id, string_agg(coalesce(strftime(event_date, '%Y-%m-%d'), '') || '=' || event_type, ',' ORDER BY event_date IS NULL, event_date, event_type) AS events FROM timeline GROUP BY 1),
+d AS (SELECT deadline_id AS contract_id, coalesce(strftime(due_at, '%Y-%m-%d'), '') || '=' || deadline_type AS deadlines FROM deadlines),
+o AS (SELECT doc_id AS contract_id, '=' || source AS documents FROM documents), a AS (SELECT o_orderkey AS contract_id, '=' || o_orderpriority AS actions FROM orders WHERE o_orderkey % 3 = 0)
+SELECT contract_id, canonical_name, coalesce(documents, '') AS documents, coalesce(events, '') AS events, coalesce(deadlines, '') AS deadlines, coalesce(actions, '') AS actions
+FROM c LEFT JOIN orgs ON organization_id = org_id LEFT JOIN e USING (contract_id) LEFT JOIN d USING (contract_id) LEFT JOIN o USING (contract_id) LEFT JOIN a USING (contract_id)""")
+def o50_contract_page(spark, sf):
+    o = table(prepare(spark), sf, "orders")
+    k, none = F.col("o_orderkey").alias("contract_id"), F.lit(None).alias("day")
+    contracts = o.where("o_orderstatus = 'O'").select(k, (F.col("o_custkey") % 120).alias("organization_id"))
+    parts = {
+        "documents": table(spark, sf, "documents").select(F.col("doc_id").alias("contract_id"), none, F.col("source").alias("value")),
+        "events": fr.timeline_events(spark, sf).select(F.col("doc_id").alias("contract_id"), F.col("event_date").alias("day"), F.col("event_type").alias("value")),
+        "deadlines": fr.deadlines(spark, sf).select(F.col("deadline_id").alias("contract_id"), F.col("due_at").alias("day"), F.col("deadline_type").alias("value")),
+        "actions": o.where("o_orderkey % 3 = 0").select(k, none, F.col("o_orderpriority").alias("value")),
+    }
+    out = N.contract_page(contracts, fr.organizations(spark, sf), parts)
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.coalesce(x["day"].cast("string"), F.lit("")), F.lit("="), x["value"])), ",").alias(c)
+    return out.select("contract_id", "canonical_name", *[shown(c) for c in parts])
+
+
+def _states(spark, sf):
+    """What organizations, merges, metadata proposals and deadlines were from when on."""
+    orgs, merges = fr.organizations(spark, sf), fr.merges(spark, sf)
+    at = lambda n: F.lit(n)
+    closed = stage(N.close_merges(merges), "merges-closed")
+    named = orgs.join(closed, F.col("org_id") == F.col("source_id"), "left")
+    created = H.resource_states("organization", orgs, "org_id", at(1), 0, {"name": F.col("canonical_name"), "status": F.lit("active")})
+    again = H.resource_states("organization", orgs, "org_id", at(2), 1, {"name": F.col("canonical_name"), "status": F.lit("active")})  # nothing changed
+    merged = H.resource_states("organization", named.where("target_id is not null"), "org_id", at(3), 2, {"name": F.col("canonical_name"), "status": F.lit("merged"), "merged_into": F.col("target_id")})
+    p = fr.proposals(spark, sf)
+    statuses, canonical = R.apply_decisions(p, fr.decisions(spark, sf))
+    pending = H.resource_states("metadata_proposal", p, "proposal_id", at(1), 0, {"status": F.lit("pending")})
+    decided = H.resource_states("metadata_proposal", statuses, "proposal_id", at(2), 1, {"status": F.col("status")})
+    values = H.resource_states("canonical_metadata", canonical.withColumn("id", F.concat_ws(":", "doc_id", "field")), "id", at(2), 1, {"value": F.col("value")})
+    return H.all_states(created, again, merged, pending, decided, values)
+
+
+_LOG = f"""{_CLOSED}, {_FOLD}, s AS (SELECT proposal_id, CASE WHEN won = proposal_id THEN 'accepted' WHEN decision = 'reject' THEN 'rejected' WHEN won IS NOT NULL THEN 'superseded' ELSE 'pending' END AS status FROM j LEFT JOIN w ON j.doc_id = w.doc_id AND j.field = w.field)"""
+
+
+@query(f"""WITH {_LOG} SELECT 'organization' AS resource_type, org_id::VARCHAR AS resource_id, 'created' AS action, NULL AS previous_json, '{{"name":"' || canonical_name || '","status":"active"}}' AS new_json FROM orgs
+UNION ALL SELECT 'organization', source_id::VARCHAR, 'merged', '{{"status":"active"}}', '{{"merged_into":"' || target_id || '","status":"merged"}}' FROM closed
+UNION ALL SELECT 'metadata_proposal', proposal_id::VARCHAR, 'created', NULL, '{{"status":"pending"}}' FROM proposals
+UNION ALL SELECT 'metadata_proposal', proposal_id::VARCHAR, CASE WHEN status = 'rejected' THEN 'rejected' ELSE 'status_changed' END, '{{"status":"pending"}}', '{{"status":"' || status || '"}}' FROM s WHERE status <> 'pending'
+UNION ALL SELECT 'canonical_metadata', doc_id || ':' || field, 'created', NULL, '{{"value":"' || won_value || '"}}' FROM w""")
+def o52_change_log(spark, sf):
+    return H.change_log(_states(spark, sf)).drop("at", "seq")
+
+
+@query(f"""WITH {_LOG} SELECT 'organization' AS resource_type, org_id::VARCHAR AS resource_id, CASE WHEN target_id IS NULL THEN 'name=' || canonical_name || ',status=active' ELSE 'merged_into=' || target_id || ',name=' || canonical_name || ',status=merged' END AS state FROM orgs LEFT JOIN closed ON org_id = source_id
+UNION ALL SELECT 'metadata_proposal', proposal_id::VARCHAR, 'status=' || status FROM s UNION ALL SELECT 'canonical_metadata', doc_id || ':' || field, 'value=' || won_value FROM w""")
+def o52_replay(spark, sf):
+    """The log read back: organizations with their merges, statuses of proposals and canonical values."""
+    states = H.replay(stage(H.change_log(_states(spark, sf)), "change-log"))
+    return states.select("resource_type", "resource_id", F.array_join(F.transform(F.map_entries("values"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("state"))
