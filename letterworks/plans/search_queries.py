@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from letterworks.operators import canonical as C
 from letterworks.operators import postings as P
 from letterworks.operators import search as S
 from letterworks.plans import frames as fr
@@ -204,3 +205,42 @@ def flagship(spark, sf):
     letters = fr.letters(spark, sf)
     rows = S.build_projection(letters).withColumn("document_date", F.lit(None).cast("date"))
     return S.search_lexical(search_batch(spark, sf), rows).select("query_id", "doc_id", "score", "rank")
+
+
+_CANON = f"""{fr.BASE}, canon AS (SELECT doc_id, t, d, re8, c6, i2, amt, CASE WHEN t IN (0, 1, 2, 4) AND doc_id % 4 > 0 THEN 'Haus ' || i2 || ' AG' ELSE '' END AS org, doc_id % 3 > 0 AS has_text FROM base)"""
+
+
+def _canonical(spark, sf):
+    """Documents with canonical fields in many forms for every order, and their canonical texts; every third has none."""
+    o = table(prepare(spark), sf, "orders")
+    k, t = F.col("o_orderkey"), F.col("o_orderkey") % 6
+    i2, c6 = F.lpad((F.col("o_custkey") % 97).cast("string"), 2, "0"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")
+    amount = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
+    org = F.concat(F.lit("Haus "), i2, F.lit(" AG"))
+    whole = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    fields = F.array_compact(
+        F.array(
+            F.when(t.isin(0, 1, 2, 4) & (k % 4 > 0), F.when(k % 2 == 0, whole('"organization":{"name":"', org, '","organization_id":"hidden"}')).otherwise(whole('"organization":"', org, '"'))),
+            F.when(t < 3, whole('"identifier":{"normalized":"V-', c6, '","value":"v ', c6, '"}')),
+            F.when(t < 3, whole('"contract_amount":{"amount":"', amount, ' EUR"}')),
+            F.when(t == 1, whole('"contract":{"title":"Vertrag ', i2, '","reference_identifier":"V-', c6, '","type":"hidden"}')),
+            whole('"tags":["all","tag', (k % 4).cast("string"), '","all"]'),
+            F.lit('"pending_note":"hidden"'),
+        )
+    )
+    docs = o.select(
+        k.alias("doc_id"), F.concat(F.lit("Brief "), k.cast("string")).alias("title"), F.when(t < 3, "contract").alias("document_type"), F.when(t == 0, "finance").alias("life_area"),
+        F.when(k % 5 != 0, F.add_months(F.col("o_orderdate").cast("date"), 300)).alias("document_date"), F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")).alias("canonical_metadata"), F.when(k % 3 > 0, k * 2).alias("canonical_extraction_id"),
+    )
+    letters = fr.letters(spark, sf)
+    return docs, letters.select((F.col("doc_id") * 2).alias("extraction_id"), "text", F.split("text", "\n").alias("pages"), F.sha2("text", 256).alias("content_hash"))
+
+
+@query(f"""WITH {_CANON}, {fr.LETTERS} SELECT c.doc_id, 'Brief ' || c.doc_id AS title_text, org AS organization_text, CASE WHEN t < 3 THEN 'V-' || c6 ELSE '' END AS identifier_text,
+ array_to_string(list_filter([CASE WHEN t < 3 THEN 'contract' END, CASE WHEN t = 0 THEN 'finance' END, CASE WHEN c.doc_id % 5 <> 0 THEN strftime(d, '%Y-%m-%d') END, CASE WHEN t = 1 THEN 'Vertrag ' || i2 END, CASE WHEN t = 1 THEN 'V-' || c6 END,
+  CASE WHEN t < 3 THEN amt || ' EUR' END, 'all', 'tag' || c.doc_id % 4], lambda x: x IS NOT NULL), chr(10)) AS metadata_text, 'all' || chr(10) || 'tag' || c.doc_id % 4 AS tags_text,
+ CASE WHEN t < 3 THEN CAST(replace(replace(amt, '.', ''), ',', '.') AS DECIMAL(18,2)) END AS amount_value, CASE WHEN has_text THEN l.text ELSE '' END AS body_text, CAST(CASE WHEN has_text THEN len(string_split(l.text, chr(10))) ELSE 0 END AS INTEGER) AS n_pages
+FROM canon c JOIN letters l USING (doc_id)""")
+def o58_canonical_projection(spark, sf):
+    rows = C.build_canonical_projection(*_canonical(spark, sf))
+    return rows.select("doc_id", "title_text", "organization_text", "identifier_text", "metadata_text", "tags_text", "amount_value", "body_text", F.size("pages").alias("n_pages"))
