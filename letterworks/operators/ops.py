@@ -163,6 +163,31 @@ def readiness_report(counts: DataFrame) -> DataFrame:
     return rows.unionByName(total.withColumn("verdict", names).drop("_r"))
 
 
+def overview(counts: dict[str, DataFrame]) -> DataFrame:
+    """(measure, n): how many rows each frame has; every frame is counted where it lies."""
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("measure"), F.count(F.lit(1)).alias("n")) for name, df in counts.items()])
+
+
+def readiness_checks(search: DataFrame, assets: DataFrame, import_found: DataFrame, active_users: DataFrame, verified_backups: DataFrame) -> DataFrame:
+    """The checks of ``readiness_report`` from other reports: (name, n, blocking).
+
+    ``search``: one row of missing and stale (the search projection's verification); ``assets``: category of each discrepancy
+    of the storage; ``import_found``: category, blocking, n of an import's discrepancies. Nobody to log in is a failure, no
+    verified backup a warning.
+    """
+    one = lambda df, name, n, blocking: df.select(F.lit(name).alias("name"), n.cast("long").alias("n"), F.lit(blocking).alias("blocking"))
+    none = lambda df: df.agg((F.count(F.lit(1)) == 0).cast("long").alias("n"))
+    rows = [
+        one(search, "search_consistent", F.col("missing") + F.col("stale"), True),
+        one(assets.agg(F.count(F.when(F.col("category") == "missing", 1)).alias("n")), "original_assets_present", F.col("n"), True),
+        one(import_found.agg(F.coalesce(F.sum(F.when(F.col("blocking"), F.col("n"))), F.lit(0)).alias("n")), "import_blockers", F.col("n"), True),
+        one(import_found.agg(F.coalesce(F.sum(F.when(~F.col("blocking"), F.col("n"))), F.lit(0)).alias("n")), "import_warnings", F.col("n"), False),
+        one(none(active_users), "authentication", F.col("n"), True),
+        one(none(verified_backups), "verified_backup", F.col("n"), False),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def attempt_lockouts(attempts: DataFrame, window_seconds: int = 900, most: int = 5) -> DataFrame:
     """Failed attempts with the failures of the same user and source in the window up to them."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp"))

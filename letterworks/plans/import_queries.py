@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from letterworks.operators import extract as X
 from letterworks.operators import library as L
 from letterworks.operators import migrate as M
+from letterworks.operators import ops as O
 from letterworks.operators import postings as P
 from letterworks.operators import quality as Q
 from letterworks.operators import search as S
 from letterworks.plans import frames as fr
-from letterworks.plans import search_queries
+from letterworks.plans import report_queries, search_queries
 from letterworks.plans.registry import query
 from letterworks.session import prepare, stage, table
 
@@ -340,3 +341,60 @@ def o88_search_sample(spark, sf):
     docs = rows.select("doc_id", F.col("title_text").alias("title"), F.substring_index("identifier_text", "\n", 1).alias("archive_serial_number"), F.col("organization_text").alias("correspondent"), F.col("body_text").alias("body"))
     sample = stage(L.search_sample(docs), "import-sample")
     return L.sample_matches(sample, P.search_indexed(sample, P.build_postings(rows), rows, 20))
+
+
+@query(f"""WITH {fr.BASE}, n AS (SELECT count(*) AS documents, count(*) FILTER (WHERE t IN (0, 1, 2, 4)) AS orgs, count(*) FILTER (WHERE t IN (0, 1, 2, 4) AND doc_id % 20 = 0) AS spoilt, 2 * count(*) FILTER (WHERE t = 0) + count(*) FILTER (WHERE t IN (1, 2, 3)) AS ids,
+  count(*) FILTER (WHERE t < 2) AS due, count(*) FILTER (WHERE doc_id % 40 <> 1) AS "right", count(*) FILTER (WHERE t NOT IN (1, 2) OR doc_id % 50 = 2) AS negatives, count(*) FILTER (WHERE t IN (1, 2) AND doc_id % 50 = 2) AS wrong FROM base),
+m AS (SELECT documents, round("right" / documents, 6) AS classification_precision, round((orgs - spoilt + ids + due) / (orgs + ids + due), 6) AS extraction_precision, round((orgs - spoilt + ids + due) / (orgs + ids + due), 6) AS field_recall, 1.0::DOUBLE AS deadline_recall,
+  round(wrong / negatives, 6) AS false_contract_rate, spoilt AS organization_false_positives, round(spoilt / documents, 6) AS proposal_noise_per_document FROM n)
+SELECT *, round(2 * extraction_precision * field_recall / (extraction_precision + field_recall), 6) AS field_f1, classification_precision >= 0.9 AND extraction_precision >= 0.9 AND field_recall >= 0.85 AND false_contract_rate <= 0 AND organization_false_positives <= 0 AND proposal_noise_per_document <= 0.5 AS budget_pass FROM m""")
+def o92_extraction_metrics(spark, sf):
+    """Letters read with errors (a letter in the name of every twentieth sender) against labels that differ from the letters here and there."""
+    letters = fr.letters(spark, sf)
+    seen = letters.withColumn("text", F.when(F.col("doc_id") % 20 == 0, F.replace("text", F.lit("Haus "), F.lit("Maus "))).otherwise(F.col("text")))
+    found = stage(X.findings(seen, kinds=("type", "organization", "date", "identifier")), "findings")
+    kind = F.col("kind")
+    fields = found.where(kind.isin("organization", "identifier") | F.col("field").isin(*Q.DEADLINE_FIELDS)).select("doc_id", F.when(kind == "date", F.col("field")).otherwise(kind).alias("field"), "normalized")
+    o = table(spark, sf, "orders")
+    k, t = F.col("o_orderkey"), F.col("o_orderkey") % 6
+    i2, re8, c6 = F.lpad((F.col("o_custkey") % 97).cast("string"), 2, "0"), F.lpad(k.cast("string"), 8, "0"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")
+    day = lambda n: F.date_add(F.add_months(F.col("o_orderdate").cast("date"), 300), n).cast("string")
+    one = lambda test, field, value: F.when(test, F.struct(F.lit(field).alias("field"), value.alias("normalized")))
+    form = F.when(t == 0, " GmbH").when(t == 4, " KG").otherwise(" AG")
+    parts = [
+        one(t.isin(0, 1, 2, 4), "organization", F.concat(F.lit("Haus "), i2, form)), one(t == 0, "identifier", F.concat(F.lit("RE-"), re8)), one(t == 0, "identifier", F.concat(F.lit("KD-"), c6)),
+        one(t.isin(1, 2), "identifier", F.concat(F.lit("V-"), c6)), one(t == 3, "identifier", F.concat(F.lit("AZ-"), re8)), one(t == 0, "payment_due_date", day(14)), one(t == 1, "cancellation_deadline", day(330)),
+    ]
+    truth = o.select(k.alias("doc_id"), F.explode(F.array_compact(F.array(*parts))).alias("x")).select("doc_id", "x.*")
+    kinds = found.groupBy("doc_id").agg(F.max(F.when(kind == "type", F.col("normalized"))).alias("actual_type"), F.collect_set(F.when(kind == "identifier", F.col("field"))).alias("kinds"))
+    labels = o.select(k.alias("doc_id"), F.when(k % 40 == 1, "poem").when(t == 0, "invoice").when(t == 3, "official_letter").when(t < 3, "contract").alias("expected_type"), (t.isin(1, 2) & (k % 50 != 2)).alias("expected_contract"))
+    docs = labels.join(seen.select("doc_id", "text"), "doc_id").join(kinds, "doc_id", "left")
+    predicted = Q.predicts_contract(F.col("actual_type"), F.col("text"), F.coalesce("kinds", F.array().cast("array<string>")))
+    return Q.extraction_metrics(fields, truth, docs.withColumn("predicted_contract", predicted))
+
+
+@query(f"""WITH {_FOUND}, c AS (SELECT 'search_consistent' AS name, count(*) FILTER (WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 = 0) AS n, TRUE AS blocking FROM orders
+UNION ALL SELECT 'original_assets_present', count(*) FILTER (WHERE doc_id % 40 = 0 AND doc_id % 3 <> 0), TRUE FROM documents UNION ALL SELECT 'import_blockers', count(*) FILTER (WHERE blocking), TRUE FROM v
+UNION ALL SELECT 'import_warnings', count(*) FILTER (WHERE NOT blocking), FALSE FROM v UNION ALL SELECT 'authentication', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END, TRUE FROM customer WHERE c_acctbal > 0
+UNION ALL SELECT 'verified_backup', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END, FALSE FROM orders WHERE o_orderstatus = 'X'), x AS (SELECT *, CASE WHEN n = 0 THEN 'PASS' WHEN blocking THEN 'FAIL' ELSE 'PASS WITH WARNINGS' END AS verdict FROM c)
+SELECT * FROM x UNION ALL SELECT 'overall', CAST(sum(n) AS BIGINT), bool_or(blocking), CASE max(CASE verdict WHEN 'FAIL' THEN 2 WHEN 'PASS' THEN 0 ELSE 1 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'PASS WITH WARNINGS' ELSE 'PASS' END FROM x""")
+def o82_readiness_checks(spark, sf):
+    """Readiness from the reports on the search projection, the stored files and the import."""
+    old, now = search_queries._states(spark, sf)
+    source, items = _import(spark, sf)
+    assets = O.reconcile_assets(*report_queries._assets(spark, sf))
+    users, backups = table(spark, sf, "customer").where("c_acctbal > 0"), table(spark, sf, "orders").where("o_orderstatus = 'X'")
+    return O.readiness_report(O.readiness_checks(S.verify_projection(now, old, now), assets, M.verify_import(source, items, _stored(source)), users, backups))
+
+
+@query(f"""WITH {fr.JOBS} SELECT 'documents' AS measure, count(*) AS n FROM documents UNION ALL SELECT 'queue_depth', count(*) FROM jobs WHERE state = 'queued' UNION ALL SELECT 'review_backlog', count(*) FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT 'migration_runs', count(DISTINCT p_partkey % 40) FROM part UNION ALL SELECT 'external_ingestions', count(*) FROM events""")
+def o82_overview(spark, sf):
+    frames = {
+        "documents": table(prepare(spark), sf, "documents"),
+        "queue_depth": fr.jobs(spark, sf).where("state = 'queued'"),
+        "review_backlog": table(spark, sf, "orders").where("o_orderstatus = 'O'"),
+        "migration_runs": table(spark, sf, "part").select(F.col("p_partkey") % 40).distinct(),
+        "external_ingestions": table(spark, sf, "events"),
+    }
+    return O.overview(frames)
