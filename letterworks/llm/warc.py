@@ -208,6 +208,21 @@ def _heads(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if v}
 
 
+def _whole_number(text: str | None) -> int | None:
+    """A header's number; null for what is none or has more than 64 bits, as other writers may use our headers' names."""
+    number = int(text) if text and text.removeprefix("-").isdecimal() and len(text) < 20 else None
+    return number if number is None or -(1 << 63) <= number < 1 << 63 else None
+
+
+def _target(heads: dict[str, str]) -> str | None:
+    """The address as it was written, also if it is no valid header value."""
+    try:
+        exact = json.loads(heads.get("x-target-uri", "null"))
+    except ValueError:
+        exact = None
+    return exact if isinstance(exact, str) else heads.get("warc-target-uri")
+
+
 def records(file, name: str, payload: bool, wanted) -> Iterator[tuple]:
     """The rows of one archive. ``wanted`` sees a row without its payload and decides before that is inflated."""
     offset, size, record = 0, file.size(), None
@@ -242,10 +257,10 @@ def _record(record: _Member | _Plain, name: str, payload: bool, wanted) -> tuple
         "offset": record.offset,
         "record_type": kind,
         "record_id": heads.get("warc-record-id"),
-        "target_uri": json.loads(heads["x-target-uri"]) if "x-target-uri" in heads else heads.get("warc-target-uri"),
+        "target_uri": _target(heads),
         "date": heads.get("warc-date"),
-        "page_id": int(heads["x-page-id"]) if "x-page-id" in heads else None,
-        "refers_to": int(heads["x-refers-to-page"]) if "x-refers-to-page" in heads else None,
+        "page_id": _whole_number(heads.get("x-page-id")),
+        "refers_to": _whole_number(heads.get("x-refers-to-page")),
         "payload_digest": heads.get("warc-payload-digest", "").removeprefix("sha256:") or None,
         "payload_bytes": None,
         "payload": None,

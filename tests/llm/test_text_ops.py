@@ -323,6 +323,17 @@ def test_many_records_in_a_member_and_damage(spark, tmp_path):
     assert r.file == "one.warc.gz" and len(r.payload) == 20_000
 
 
+def test_foreign_headers_cost_no_record(spark, tmp_path):
+    """Other writers may use our headers' names for something else."""
+    data = b"".join(warc.record_bytes(i, f"http://x/{i}", b"body" * 50, "ab", "response", None) for i in range(1, 4))
+    for name, value in (("text", b"abc-17"), ("big", b"9" * 30), ("huge", b"9300000000000000000"), ("blank", b""), ("odd", "²".encode())):
+        (tmp_path / f"{name}.warc").write_bytes(data.replace(b"X-Page-Id: 2\r\n", b"X-Page-Id: " + value + b"\r\nX-Target-URI: {broken\r\n"))
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert len(rows) == 15 and {r.record_type for r in rows} == {"response"}
+    assert {(r.page_id, r.target_uri) for r in rows} == {(1, "http://x/1"), (None, "http://x/2"), (3, "http://x/3")}
+    assert warc.read_warc(spark, str(tmp_path)).where("page_id is null").count() == 5
+
+
 def test_urls_read_back_as_they_were(spark, tmp_path):
     urls = ["http://x/a  b", " lead", "tab\there", "two\r\nlines: x", "", "é ü", "plain", '"quoted"']
     df = spark.createDataFrame([(i, u, "p") for i, u in enumerate(urls)], "page_id long, url string, html string")
