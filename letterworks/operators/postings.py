@@ -105,6 +105,8 @@ def minimal_covers(items: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
         latest[k] = max(latest[k], first)
         begin = min(latest)
         if begin >= 0 and (not found or begin > found[-1][0]):
+            if found and found[-1][1] == last:
+                found.pop()  # a shorter one with the same end
             found.append((begin, last))
     return found
 
