@@ -175,7 +175,12 @@ def match_indexed(q: DataFrame, postings: DataFrame, projection: DataFrame) -> D
     words = pairs.join(items.select("key", "term").distinct(), "key").join(held, ["term", "doc_id"])
     words = words.groupBy("key", "doc_id").agg(F.collect_list(F.struct("term", "places")).alias("words"))
     rows = pairs.join(words, ["key", "doc_id"], "left").join(q.select("key", "plan"), "key").select("key", "doc_id", "plan", "words")
-    return rows.mapInArrow(_ranked, f"key string, doc_id {dict(pairs.dtypes)['doc_id']}, rank_score double")
+    rows = rows.withColumn("terms", F.coalesce("words.term", F.array().cast("array<string>")))
+    # Only documents with all stems of a branch have their places compared.
+    whole = "plan is null or exists(plan, x -> forall(filter(plan, y -> y.branch = x.branch and not y.absent), y -> forall(y.terms, t -> array_contains(terms, t))))"
+    ranked = rows.where(whole).drop("terms").mapInArrow(_ranked, f"key string, doc_id {dict(pairs.dtypes)['doc_id']}, rank_score double")
+    both = ranked.unionByName(exact.select("key", "doc_id", F.lit(None).cast("double").alias("rank_score")))
+    return both.groupBy("key", "doc_id").agg(F.max("rank_score").alias("rank_score"))
 
 
 def search_indexed(queries: DataFrame, postings: DataFrame, projection: DataFrame, k: int = 10) -> DataFrame:
