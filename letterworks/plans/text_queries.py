@@ -10,7 +10,7 @@ from letterworks.operators import constraints as K
 from letterworks.operators import extract as X
 from letterworks.plans import frames as fr
 from letterworks.plans.registry import query
-from letterworks.session import prepare, table
+from letterworks.session import prepare, spread, table
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -209,10 +209,10 @@ def o27_extract_identifiers(spark, sf):
 @query("""SELECT c_custkey AS doc_id, unnest(['product_name', 'rental_property_address', 'tenant_name', 'landlord_name']) AS field,
  unnest(['RiesterRente CLASSIC ' || c_nationkey, 'Weg ' || c_custkey, c_name, 'Haus ' || c_nationkey || ' GmbH']) AS value FROM customer""")
 def o28_extract_facts(spark, sf):
-    c = table(prepare(spark), sf, "customer")
+    c = spread(table(prepare(spark), sf, "customer").select("c_custkey", "c_nationkey", "c_name"), "c_custkey")
     nation, key = F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")
     text = F.concat(F.lit("Ihre RiesterRente CLASSIC "), nation, F.lit("\nMietobjekt: Weg "), key, F.lit("\nMieterin:  "), "c_name", F.lit("\nVermieter: Haus "), nation, F.lit(" GmbH\nEnde"))
-    found = X.findings(c.select(F.col("c_custkey").alias("doc_id"), text.alias("text")), kinds=("fact",))
+    found = X.findings(once(c.select(F.col("c_custkey").alias("doc_id"), text.alias("text")), "text"), kinds=("fact",))
     return found.select("doc_id", "field", "value")
 
 
