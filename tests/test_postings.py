@@ -152,3 +152,33 @@ def test_stored_filters_are_counted_as_by_a_plain_loop(spark):
     good, bad = search.check_saved_searches(named)
     assert {(r.saved_id, r.reason) for r in bad.collect() if r.saved_id >= 100} == {(i, "name_in_use") for i in range(100, 120)}
     assert good.count() + bad.count() == 120
+
+
+def test_queries_that_forbid_different_rare_phrases_share_their_matches(spark, monkeypatch):
+    """Forty documents and thirty such queries are forty pairs and a few, not twelve hundred; answers stay those of the plain version."""
+    docs = [dict(zip(FIELDS, ("Haus", "", "", "", f"vertrag x{i} y{i % 3}"), strict=True)) | {"doc_id": i} for i in range(40)]
+    docs[3] |= {"title_text": "Haus -x3 Vertrag"}
+    docs[4] |= {"identifier_text": "haus -x4"}
+    docs[5] |= {"organization_text": "Haus -X7"}
+    docs[6] |= {"metadata_text": "alt haus -x88 neu"}
+    docs[9] |= {"body_text": "haus haus vertrag"}
+    df = spark.createDataFrame([tuple(r[c] for c in ("doc_id", *FIELDS)) for r in docs], "doc_id long, " + ", ".join(f"{f} string" for f in FIELDS)).selectExpr("*", "cast(null as date) as document_date")
+    asked = [*[f"haus -x{i}" for i in range(30)], "haus -x8", "haus -x8 -x9", "haus -y1", "-x1 haus", 'haus -"vertrag x2" -y9', "haus or vertrag -x1"]
+    pairs = []
+    keep = postings.stage
+    monkeypatch.setattr(postings, "stage", lambda frame, name: [out := keep(frame, name), name == "search-pairs" and pairs.append(out.count())][0])
+    monkeypatch.setattr(postings, "SLACK", 10)
+    q = spark.createDataFrame([*enumerate(asked)], "query_id long, q string")
+    for k in (3, 1000):
+        got = {(r.query_id, r.doc_id): r.score for r in postings.search_indexed(q, postings.build_postings(df), df, k=k).collect()}
+        want = {}
+        for n, text in enumerate(asked):
+            scores = []
+            for r in docs:
+                rank, low = plain_rank(plain_parse(text), plain_words(r)), text.lower()
+                same = r["identifier_text"].lower() == low
+                if rank is not None or same:
+                    scores.append((round((rank or 0) + 2.0 * same + 0.8 * (r["organization_text"].lower() == low) + 0.6 * (low in r["title_text"].lower()) + 0.3 * (low in r["metadata_text"].lower()), 6), r["doc_id"]))
+            want |= {(n, d): pytest.approx(s, abs=2e-6) for s, d in sorted(scores, key=lambda x: (-x[0], str(x[1])))[:k]}
+        assert got == want
+    assert pairs[0] < 300
