@@ -77,3 +77,29 @@ def test_recognised_samples(spark):
     got = {r.sample_id: (round(r.similarity, 4), r.critical_found, r.critical_total, r.critical_share) for r in quality.ocr_samples(out, crit).collect()}
     assert got == {1: (round(plain("Rechnung 12,30", "rechnung 12,30"), 4), 1, 2, 0.5), 2: (1.0, 0, 0, None), 3: (0.0, 0, 1, 0.0)}
     assert {r.category: (r.samples, r.critical_found) for r in quality.ocr_scorecard(out, crit).collect()} == {"a": (2, 0.5), "b": (1, 0.0)}
+
+
+def test_whole_texts_reach_python_in_small_batches(spark):
+    """Arrow would hand ten thousand pairs of whole texts to a worker at once; texts that cannot change are not handed over at all."""
+    from letterworks.functions import text as T
+
+    pairs = spark.createDataFrame([("Haus am See", "Hans am See"), ("x", "x"), (None, "y")], "a string, b string").repartition(1)
+    rows = pairs.select(T.similarity_ratio(F.col("a"), F.col("b")).alias("r"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [r.r for r in rows.collect()] == [pytest.approx(20 / 22), 1.0, 0.0]
+    seen = spark.createDataFrame([("Haus",), ("\uff21\uff11",), (None,)], "t string").repartition(1).select(T.nfkc(F.col("t")).alias("t"))
+    assert {r.t for r in seen.collect()} == {"Haus", "A1", None}
+    assert "CASE WHEN" in next(line for line in seen._jdf.queryExecution().optimizedPlan().toString().split("EvalPython") if "_nfkc(" in line)
+
+
+def test_critical_values_with_and_without_blanks(spark):
+    from letterworks.operators import quality
+
+    outputs = spark.createDataFrame([(1, "a", "Konto  AB-123, Haus am See", "x"), (2, "a", "leer", "x"), (3, "b", "Haus\nSee Ａ1", "x")], "sample_id int, category string, text string, truth string")
+    critical = spark.createDataFrame([(1, "AB-12"), (1, "Haus am"), (1, "am  See"), (1, "amSee"), (3, "A1"), (3, "Haus See")], "sample_id int, value string")
+    rows = quality.ocr_samples(outputs, critical).select("sample_id", "critical_found", "critical_total")
+    assert {tuple(r) for r in rows.collect()} == {(1, 2, 4), (2, 0, 0), (3, 1, 2)}
+    plan = rows.select("critical_found")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "filter(" in line]
+    assert filters and not any("regexp_replace" in line for line in filters)
