@@ -242,3 +242,11 @@ def test_plans(spark):
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)]" in p and "TakeOrdered" in p and "text" not in p.split("ReadSchema")[1]
     for df in (review.rank_proposals(frames.proposals(spark, SF)), ops.journal_replay(frames.jobs_events(spark, SF))):
         assert "CartesianProduct" not in plan(df) and "SinglePartition" not in plan(df)
+
+
+def test_scalars_are_parsed_once_a_level(spark):
+    """Each of three levels parses arrays and objects once; the text itself is made once."""
+    rows = spark.createDataFrame([('{"a":[1,{"b":["x"]}],"c":null,"d":true}',), ("7",), ("[]",), (None,)], "j string").select(T.flatten_scalars(F.concat("j", F.lit("")), "string").alias("v"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 6 and plan.count("concat(") == 1
+    assert [r.v for r in rows.collect()] == [["1", '["x"]'], ["7"], [], []]
