@@ -80,16 +80,21 @@ def load(df: DataFrame, spec: Table, others: dict[str, DataFrame] | None = None)
     cell = lambda c, kind: (F.col(c).cast(kind) if dict(df.dtypes)[c] == kind else F.col(c).try_cast(kind)) if c in have else F.lit(None).cast(kind)
     rows = df.select(raw.alias("_raw"), *[cell(c, kind).alias(c) for c, kind in spec.columns.items()])
     rows = rows.withColumn("problems", F.array_compact(F.array(*spec.problems())))
-    rows = stage(rows, "checked-rows")
+    rows = checked = stage(rows, "checked-rows")
     for keys in spec.unique:
         repeated = rows.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
         repeated = stage(repeated.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(True).alias("_again")), "repeated-keys")
         rows = rows.join(repeated, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]), "left")
         rows = _with(rows, F.col("_again"), f"unique:{'+'.join(keys)}").drop("_again", *[f"_k{i}" for i in range(len(keys))])
     for c, (name, key) in spec.references.items():
-        there = others[name].select(F.col(key).cast(spec.columns[c]).alias("_key")).where("_key is not null").distinct()
-        rows = rows.join(there, F.col(c) == F.col("_key"), "left")
-        rows = _with(rows, F.col(c).isNotNull() & F.col("_key").isNull(), f"reference:{c}").drop("_key")
+        there = others[name].select(F.col(key).cast(spec.columns[c]).alias("_key"))
+        # Keys alone look for their match; whole rows meet only the keys without one, mostly a small side.
+        keys = checked.select(F.col(c).alias("_lost")).where("_lost is not null").distinct()
+        lost = stage(keys.join(there, F.col("_lost") == F.col("_key"), "left_anti"), "lost-keys")
+        rows = rows.join(lost, F.col(c) == F.col("_lost"), "left")
+        rows = _with(rows, F.col("_lost").isNotNull(), f"reference:{c}").drop("_lost")
+    # Texts as they came are kept of rejected rows only.
+    rows = rows.withColumn("_raw", F.when(F.size("problems") > 0, F.col("_raw")))
     rows = stage(rows, "judged-rows")
     return rows.where("size(problems) = 0").select(*spec.columns), rows.where("size(problems) > 0").select("_raw.*", "problems")
 

@@ -62,3 +62,16 @@ def test_one_bad_finding_takes_the_whole_run(spark):
     }
     none = constraints.set_aside(found.limit(0), docs)
     assert none[0].collect() == [] and none[1].collect() == []
+
+
+def test_whole_rows_meet_only_the_keys_without_a_match(spark, monkeypatch):
+    """Not all keys of the table referred to; and the texts of valid rows are not written a second time."""
+    kept, keep = {}, constraints.stage
+    monkeypatch.setattr(constraints, "stage", lambda df, name: kept.setdefault(name, keep(df, name)))
+    spec = constraints.Table({"k": "int", "ref": "int"}, references={"ref": ("other", "id")})
+    df = spark.range(200).selectExpr("cast(id as string) as k", "if(id % 50 = 7, null, cast(id % 100 as string)) as ref")
+    good, bad = constraints.load(df, spec, {"other": spark.range(98).union(spark.range(5))})
+    assert [tuple(r) for r in bad.orderBy("k").collect()] == [(str(k), str(k % 100), ["reference:ref"]) for k in (198, 199, 98, 99)]
+    assert good.count() == 196 and good.where("ref is null").count() == 4
+    assert sorted(r[0] for r in kept["lost-keys"].collect()) == [98, 99]
+    assert kept["judged-rows"].where("_raw is not null").count() == 4
