@@ -293,8 +293,7 @@ def o33_propose_contracts(spark, sf):
 @query(f"""WITH {fr.BASE}, c AS (SELECT doc_id, t, c6 FROM base WHERE t IN (1, 2))
 SELECT a.doc_id, b.doc_id AS target_id, CASE WHEN a.t = 2 THEN 'amends' ELSE 'belongs_to_same_case' END AS relation, 'V-' || a.c6 AS identifier FROM c a JOIN c b ON a.c6 = b.c6 AND a.doc_id <> b.doc_id""")
 def o34_propose_relationships(spark, sf):
-    letters = fr.letters(spark, sf)
-    return X.propose_relationships(letters, X.propose_contracts(letters))
+    return X.propose_relationships(fr.letters(spark, sf))
 
 
 @query(f"""WITH {fr.BASE} SELECT doc_id, CASE WHEN t = 0 AND doc_id % 3 = 0 THEN amt || ' EUR' ELSE '' END AS missing_amounts, CASE WHEN t = 0 AND doc_id % 3 = 0 THEN '0,01 EUR' ELSE '' END AS added_amounts,
