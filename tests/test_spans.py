@@ -2,10 +2,11 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from letterworks.functions import spans
-from letterworks.operators import extract
+from letterworks.operators import extract, search
 
 TEXTS = ["", "a1 b22", "a1b22 😀 c333", "x  a1  b22", "no", None]
 
@@ -22,3 +23,17 @@ def test_matches_of_texts_with_and_without_the_mark(spark):
 
 def test_a_fact_is_looked_for_once(spark):
     assert str(extract.facts(F.col("text"))).count("RiesterRente") <= 6
+
+
+@pytest.mark.parametrize("n", range(8))
+def test_few_and_many_matches_have_the_same_places(spark, n):
+    text = "ä " + "".join(f"k{i}: 𝄞{i * 7} " for i in range(n)) + "ende"
+    row = spark.createDataFrame([(text,)], "t string").select(spans.matches(F.col("t"), r"(\w)\d: (\S+)", 2).alias("m")).first().m
+    assert [(r.start, r.end, r.hit, r.part) for r in row] == [(m.start(), m.end(), m[0], m[2]) for m in re.finditer(r"([a-z])\d: (\S+)", text)]
+
+
+def test_search_rows_look_for_no_facts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Muster GmbH\nMietvertrag\nMieter: Ada Beispiel")], "doc_id long, text string")
+    want = search.build_projection(docs).collect()
+    monkeypatch.setattr(extract, "facts", None)
+    assert search.build_projection(docs).collect() == want and want[0].title_text == "Muster GmbH – rental_contract"
