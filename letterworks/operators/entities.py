@@ -181,7 +181,10 @@ def contract_page(contracts: DataFrame, orgs: DataFrame, parts: dict[str, DataFr
 
 
 def list_relationships(relations: DataFrame, docs: DataFrame) -> DataFrame:
-    """Relations that have one of the documents on either side, each once: two semi-joins instead of a disjunction."""
+    """Relations that have one of the documents on either side, each once: two semi-joins instead of a disjunction.
+
+    ``relations`` may repeat; only those that are found are made distinct.
+    """
     left = relations.join(docs.select(F.col("doc_id").alias("source_id")), "source_id", "left_semi")
     right = relations.join(docs.select(F.col("doc_id").alias("target_id")), "target_id", "left_semi")
     return left.unionByName(right).distinct()

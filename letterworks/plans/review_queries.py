@@ -195,7 +195,7 @@ def o50_contract_detail(spark, sf):
 @query("""WITH r AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey AS target_id FROM lineitem), d AS (SELECT doc_id FROM documents WHERE source = 'src3')
 SELECT * FROM r WHERE source_id IN (SELECT doc_id FROM d) OR target_id IN (SELECT doc_id FROM d)""")
 def o51_list_relationships(spark, sf):
-    relations = table(prepare(spark), sf, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id")).distinct()
+    relations = table(prepare(spark), sf, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"))
     return N.list_relationships(relations, table(spark, sf, "documents").where("source = 'src3'")).select("source_id", "target_id")
 
 
