@@ -98,9 +98,12 @@ class SegmentLog:
         return min((level for level, n in counts.items() if n >= self.fanout), default=None)
 
     def read(self) -> DataFrame:
-        """The present rows."""
+        """The present rows; columns that are not selected afterwards are neither read nor moved."""
         segments = self.segments()
-        rows = self._newest(self._rows(segments)) if len(segments) > 1 else self._rows(segments)
+        rows = self._rows(segments)
+        if len(segments) > 1:
+            newest = [F.max_by(f.name, "_batch").alias(f.name) for f in self.stored.fields if f.name != self.key]
+            rows = rows.groupBy(self.key).agg(*newest)
         return rows.where("not _removed").select(*self.schema.fieldNames())
 
     def held(self, keys: DataFrame, segments: list[dict] | None = None) -> DataFrame:
