@@ -172,25 +172,28 @@ def cover_rank(plan: list[dict], places: dict[str, dict[int, float]]) -> float |
 
 
 def _ranked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    plans: dict[str, tuple[list[dict], set[str]]] = {}
+    plans: dict[str, list[dict]] = {}
+    known: dict[str, float | None] = {}
     for batch in rows:
-        key, doc, plan, words = batch.columns
-        each, ends = words.flatten(), np.r_[0, np.cumsum(words.value_lengths().fill_null(0).to_numpy())].tolist()
-        places = each.field("places")
-        terms, spots = each.field("term").to_pylist(), places.flatten()
-        pos, weight = spots.field("pos").to_pylist(), spots.field("weight").to_pylist()
-        cuts = np.r_[0, np.cumsum(places.value_lengths().to_numpy())].tolist()
+        key, doc, plan, words, seen = batch.columns
+        coded = seen.dictionary_encode()
+        codes, at = np.unique(coded.indices.to_numpy(zero_copy_only=False), return_index=True)
+        first = np.empty(len(codes), np.int64)
+        first[codes] = at
         if len(plans) > 100_000:
             plans.clear()
+        if len(known) > 1_000_000:
+            known.clear()
         ranks = []
-        for i, name in enumerate(key.to_pylist()):
-            if name not in plans:
-                own = plan[i].as_py() or []
-                plans[name] = own, {t for x in own for t in x["terms"]}
-            own, asked = plans[name]
-            held = {terms[w]: dict(zip(pos[cuts[w] : cuts[w + 1]], weight[cuts[w] : cuts[w + 1]], strict=True)) for w in range(ends[i], ends[i + 1]) if terms[w] in asked}
-            ranks.append(cover_rank(own, held))
-        yield pa.RecordBatch.from_pydict({"key": key, "doc_id": doc, "rank_score": pa.array(ranks, pa.float64())})
+        for i, same in zip(first.tolist(), coded.dictionary.to_pylist(), strict=True):
+            if same not in known:
+                name = key[i].as_py()
+                if name not in plans:
+                    plans[name] = plan[i].as_py() or []
+                held = {w["term"]: {p["pos"]: p["weight"] for p in w["places"]} for w in words[i].as_py()}
+                known[same] = cover_rank(plans[name], held)
+            ranks.append(known[same])
+        yield pa.RecordBatch.from_pydict({"key": key, "doc_id": doc, "rank_score": pa.array(ranks, pa.float64()).take(coded.indices)})
 
 
 def _single(plan: str, needed: bool) -> str:
@@ -262,7 +265,10 @@ def match_indexed(q: DataFrame, held: DataFrame, counts: DataFrame, projection:
     for some in ("busy", "not busy"):
         rows = pairs.where(some).select("key", "doc_id").join(words, "doc_id", "left").join(marked.where(some).select("key", "plan"), "key")
         rows = rows.withColumn("terms", F.coalesce("words.term", F.array().cast("array<string>"))).where(whole)
-        parts.append(rows.select("key", "doc_id", "plan", "words").mapInArrow(_ranked, f"key string, doc_id {dict(pairs.dtypes)['doc_id']}, rank_score double"))
+        # Only the places of a search's own stems are handed over; documents that are alike in them have one rank.
+        own = F.coalesce(F.expr("filter(words, w -> exists(plan, x -> array_contains(x.terms, w.term)))"), F.array().cast(dict(words.dtypes)["words"]))
+        rows = rows.select("key", "doc_id", "plan", F.array_sort(own).alias("words"))
+        parts.append(once(rows, "words").withColumn("seen", F.concat("key", F.lit(" "), F.to_json("words"))).mapInArrow(_ranked, f"key string, doc_id {dict(pairs.dtypes)['doc_id']}, rank_score double"))
     return parts[0].unionByName(parts[1]).where("rank_score is not null")
 
 
